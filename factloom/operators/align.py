@@ -126,3 +126,29 @@ def persisted(pairs: DataFrame) -> DataFrame:
                         "layer1_reason", "layer2_reason")
 
 
+
+
+# --- documents that outgrow a task ------------------------------------------
+
+TASK_CHARS = 8_000_000  # statement text one task may hold for one document
+BLOCK_FACTS = 2048
+
+
+def align_any(facts: DataFrame, threshold: float = 0.78, carry: list[str] | None = None, vector: str | None = None,
+              largest_document: int | None = None) -> DataFrame:
+    """Align every document, routing each by its size.
+
+    ``largest_document`` is a proven bound on the characters of any document's facts;
+    when it fits a task no measuring pass is needed. Otherwise sizes are measured and
+    only oversized documents take the distributed route.
+    """
+    if largest_document is not None and largest_document <= TASK_CHARS:
+        return align(facts, threshold, carry, vector)
+    text = fact_text("natural_language", "subject", "predicate", "object")
+    oversized = facts.groupBy(*SCOPE).agg(F.sum(F.length(text)).alias("n_chars")).where(
+        F.col("n_chars") > TASK_CHARS).select(*SCOPE)
+    if oversized.isEmpty():
+        return align(facts, threshold, carry, vector)
+    ordinary = align(facts.join(oversized, SCOPE, "left_anti"), threshold, carry, vector)
+    large = align_large(facts.join(oversized, SCOPE, "left_semi"), threshold, carry)
+    return ordinary.unionByName(large)

@@ -98,9 +98,12 @@ def best_window(quote: str, text: str) -> tuple[float, int, int]:
     return best[0], 0, len(text)
 
 
-@F.pandas_udf("struct<score:double,start:int,end:int>")
-def fuzzy_anchor(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([best_window(q or "", t or "") for q, t in zip(quotes, texts)], columns=["score", "start", "end"])
+def fuzzy_anchor(quote, text) -> Column:
+    @F.pandas_udf("struct<score:double,start:int,end:int>")
+    def locate(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_window(q or "", t or "") for q, t in zip(quotes, texts)], columns=["score", "start", "end"])
+
+    return locate(quote, text)
 
 
 def anchor_quotes(rows: DataFrame, quote: str = "source_quote", text: str = "section_text", base: str = "base_offset") -> DataFrame:
@@ -219,7 +222,11 @@ def bands_of(quote: str, subject: str, predicate: str, obj: str) -> list[tuple]:
     return out
 
 
-@F.pandas_udf("array<struct<start:int,end:int,role:string,fuzzy:boolean>>")
-def spo_bands(quote: pd.Series, subject: pd.Series, predicate: pd.Series, obj: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("start", "end", "role", "fuzzy"), b)) for b in bands_of(q or "", s, p, o)]
-                      for q, s, p, o in zip(quote, subject, predicate, obj)])
+def spo_bands(quote, subject, predicate, obj) -> Column:
+    """Where subject, predicate and object of a fact show up in its quote."""
+    @F.pandas_udf("array<struct<start:int,end:int,role:string,fuzzy:boolean>>")
+    def locate(quotes: pd.Series, subjects: pd.Series, predicates: pd.Series, objects: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("start", "end", "role", "fuzzy"), b)) for b in bands_of(q or "", s, p, o)]
+                          for q, s, p, o in zip(quotes, subjects, predicates, objects)])
+
+    return locate(quote, subject, predicate, obj)

@@ -74,21 +74,21 @@ def edges(resolved: DataFrame, pairs: DataFrame) -> DataFrame:
     edge shows is either a scalar aggregate or a capped list.
     """
     members = edge_facts(resolved)
+    decided = strongest_by(labels_of_facts(pairs), [*SCOPE, "fact_id"]).withColumnRenamed("conflict_label", "_label")
     said = F.concat(T.text_or_empty("source_locator.quote"), F.lit(" "), T.text_or_empty("natural_language"))
     condition, temporal = T.strip(T.text_or_empty("condition")), T.strip(T.text_or_empty("temporal_context"))
-    scalars = members.groupBy(*EDGE).agg(
+    scalars = members.join(decided, [*SCOPE, "fact_id"], "left").groupBy(*EDGE).agg(
         F.count_distinct("fact_id").alias("n_facts"),
         F.array_sort(F.collect_set("annotator")).alias("annotators"),
-        F.bool_or(R.is_conditional(condition, said)).alias("conditional"))
+        F.bool_or(R.is_conditional(condition, said)).alias("conditional"),
+        F.max_by("_label", F.when(F.col("_label").isNotNull(), R.severity("_label"))).alias("conflict_label"))
     kinds = F.concat(
         F.transform(_qualifiers("subject", "object"), lambda q: F.struct(F.lit("qualifier").alias("kind"), q.alias("value"))),
         F.array(F.struct(F.lit("group").alias("kind"), T.strip(T.text_or_empty("group_id")).alias("value")),
                 F.struct(F.lit("condition").alias("kind"), F.substring(condition, 1, EDGE_CONDITION_CHARS).alias("value")),
                 F.struct(F.lit("temporal").alias("kind"), F.substring(temporal, 1, EDGE_TEMPORAL_CHARS).alias("value"))))
     lists = capped_values(members.select(*EDGE, F.explode(kinds).alias("k")).select(*EDGE, "k.kind", "k.value"), EDGE, EDGE_CAPS)
-    labelled = strongest_by(members.select(*EDGE, "fact_id").join(
-        strongest_by(labels_of_facts(pairs), [*SCOPE, "fact_id"]), [*SCOPE, "fact_id"]), EDGE)
-    return (scalars.join(lists, EDGE, "left").join(labelled, EDGE, "left")
+    return (scalars.join(lists, EDGE, "left")
             .withColumn("conflict_label", F.coalesce("conflict_label", F.lit("unlabeled")))
             .withColumn("n_annotators", F.size("annotators"))
             .withColumn("edge_id", T.sha_id(*EDGE, prefix="e_")))

@@ -124,9 +124,13 @@ def _blocks_of(page: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(f"array<{BLOCK}>")
-def html_blocks(pages: pd.Series) -> pd.Series:
-    return pages.map(_blocks_of)
+def html_blocks(page) -> Column:
+    """Leaf blocks of a page in document order."""
+    @F.pandas_udf(f"array<{BLOCK}>")
+    def tokenize(pages: pd.Series) -> pd.Series:
+        return pages.map(_blocks_of)
+
+    return tokenize(page)
 
 
 def page_title(blocks: str) -> Column:

@@ -82,7 +82,7 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def _same_ends(facts: DataFrame, how) -> DataFrame:
     """Ordered pairs of facts of two annotators linking the same entities; equi-join on the ends."""
-    ends = ["guideline_version", "s_cluster", "o_cluster"]
+    ends = [*SCOPE, "s_cluster", "o_cluster"]  # entities belong to a document and version
     side = facts.where("s_cluster is not null and o_cluster is not null")
     a = side.select(*ends, *[F.col(c).alias(f"{c}_a") for c in ("fact_id", "annotator", "predicate", "predicate_norm", "condition")])
     b = side.select(*ends, *[F.col(c).alias(f"{c}_b") for c in ("fact_id", "annotator", "predicate", "predicate_norm", "condition")])
@@ -125,7 +125,7 @@ def cardinality(facts: DataFrame, predicate: str | None = None, more_than: int =
     rows = facts.where("s_cluster is not null and o_cluster is not null")
     if predicate is not None:
         rows = rows.where(F.col("predicate_norm") == predicate)
-    key = ["guideline_version", "predicate_norm", "s_cluster"]
+    key = [*SCOPE, "predicate_norm", "s_cluster"]
     per_object = rows.groupBy(*key, "o_cluster").agg(F.count(F.lit(1)).alias("n"))
     return per_object.groupBy(*key).agg(F.count(F.lit(1)).alias("distinct_objects"), F.sum("n").alias("n_facts")).where(
         F.col("distinct_objects") > more_than)

@@ -122,7 +122,7 @@ keyed AS (SELECT guideline_version, doc_id, fact_pos // 2 AS p, annotator, fact_
 pairs AS (
   SELECT a.guideline_version, a.doc_id, 'ann_a' AS annotator_a, 'ann_b' AS annotator_b,
     a.fact_id AS fact_a_id, b.fact_id AS fact_b_id,
-    CASE WHEN b.fact_id IS NULL THEN {DROPPED_BEST} ELSE CASE a.synth_op {cosine} END END AS cosine,
+    CAST(CASE WHEN b.fact_id IS NULL THEN {DROPPED_BEST} ELSE CASE a.synth_op {cosine} END END AS DOUBLE) AS cosine,
     CASE WHEN b.fact_id IS NULL THEN 'unmatched_a' ELSE 'matched' END AS status
   FROM (SELECT * FROM keyed WHERE annotator = 'ann_a') a
   LEFT JOIN (SELECT * FROM keyed WHERE annotator = 'ann_b' AND part = 0) b
