@@ -131,7 +131,7 @@ def persisted(pairs: DataFrame) -> DataFrame:
 # --- documents that outgrow a task ------------------------------------------
 
 TASK_CHARS = 8_000_000  # statement text one task may hold for one document
-BLOCK_FACTS = 2048
+STORED_VECTOR_CHARS = 500  # what a fact with a stored vector counts for
 
 
 def align_any(facts: DataFrame, threshold: float = 0.78, carry: list[str] | None = None, vector: str | None = None,
@@ -145,10 +145,14 @@ def align_any(facts: DataFrame, threshold: float = 0.78, carry: list[str] | None
     if largest_document is not None and largest_document <= TASK_CHARS:
         return align(facts, threshold, carry, vector)
     text = fact_text("natural_language", "subject", "predicate", "object")
-    oversized = facts.groupBy(*SCOPE).agg(F.sum(F.length(text)).alias("n_chars")).where(
+    size = F.lit(STORED_VECTOR_CHARS) if vector else F.length(text)
+    oversized = facts.groupBy(*SCOPE).agg(F.sum(size).alias("n_chars")).where(
         F.col("n_chars") > TASK_CHARS).select(*SCOPE)
     if oversized.isEmpty():
         return align(facts, threshold, carry, vector)
     ordinary = align(facts.join(oversized, SCOPE, "left_anti"), threshold, carry, vector)
+    from factloom.operators.align_large import align_large
+    if vector is not None:
+        raise ValueError("oversized documents are aligned on TF-IDF vectors; raise TASK_CHARS to use stored vectors")
     large = align_large(facts.join(oversized, SCOPE, "left_semi"), threshold, carry)
     return ordinary.unionByName(large)

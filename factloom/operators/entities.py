@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators.align import SCOPE
+from factloom.operators.align import SCOPE, TASK_CHARS
 from factloom.operators.components import connected_components
-from factloom.operators.encode import gram_counts, product, sparse_vectors, unit_length
+from factloom.operators.encode import product, sparse_vectors, stored_vectors, weighted_vectors
 
 
 def surface_forms(facts: DataFrame) -> DataFrame:
@@ -87,26 +87,17 @@ def cluster_large(facts: DataFrame, threshold: float = 0.78, core_entities: bool
     """
     forms = surface_forms(facts).select(*SCOPE, "surface").distinct().withColumn("key", _merge_key(core_entities))
     keys = forms.groupBy(*SCOPE, "key").agg(F.count(F.lit(1)).alias("copies"))
-    counts = gram_counts(keys, SCOPE, "key", "key").join(keys, [*SCOPE, "key"])
-    total = keys.groupBy(*SCOPE).agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n_keys"))
-    df = counts.groupBy(*SCOPE, "gram").agg(F.sum("copies").alias("df"))
-    weight = (F.log("tf") + 1.0) * (F.log((F.col("total") + 1.0) / (F.col("df") + 1.0)) + 1.0)
-    vectors = (counts.join(df, [*SCOPE, "gram"]).join(total, SCOPE)
-               .groupBy(*SCOPE, "key", "n_keys").agg(F.collect_list(F.struct("gram", weight.alias("w"))).alias("v")))
+    sizes = keys.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_keys"))
+    vectors = weighted_vectors(keys, SCOPE, "key", "key").join(sizes, SCOPE)
     spread = F.greatest(F.lit(1), F.ceil(F.col("n_keys") / block)).cast("int")
     placed = vectors.withColumn("n_blocks", spread).withColumn("own", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     met = met.select(*SCOPE, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "key",
-                     F.col("v.gram").alias("grams"), F.col("v.w").alias("weights"))
+                     "grams", "weights")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        index: dict[str, int] = {}
-        lengths = pdf["grams"].map(len).to_numpy()
-        rows = np.repeat(np.arange(len(pdf)), lengths)
-        cols = np.array([index.setdefault(g, len(index)) for gs in pdf["grams"] for g in gs], dtype=np.int64)
-        values = np.concatenate(pdf["weights"].to_list()) if len(rows) else np.zeros(0)
-        unit = unit_length(rows, values, cols, len(pdf)) + (len(index),)
-        label = _labels(_similar(unit, len(pdf), threshold))
+        pdf = pdf.sort_values("key", kind="stable").reset_index(drop=True)
+        label = _labels(_similar(stored_vectors(pdf["grams"], pdf["weights"]), len(pdf), threshold))
         key = pdf["key"].to_numpy()
         return pd.DataFrame({"guideline_version": pdf["guideline_version"].iloc[0], "doc_id": pdf["doc_id"].iloc[0],
                              "a": key[label], "b": key})
@@ -120,6 +111,19 @@ def cluster_large(facts: DataFrame, threshold: float = 0.78, core_entities: bool
         *SCOPE, "surface", cluster_id(F.col("representative")).alias("cluster_id"))
 
 
+def cluster_any(facts: DataFrame, threshold: float = 0.78, core_entities: bool = True,
+                largest_document: int | None = None) -> DataFrame:
+    """Clusters of every document, routed by size like ``align_any``."""
+    if largest_document is not None and largest_document <= TASK_CHARS:
+        return cluster(facts, threshold, core_entities)
+    oversized = surface_forms(facts).groupBy(*SCOPE).agg(F.sum(F.length("surface")).alias("n")).where(
+        F.col("n") > TASK_CHARS).select(*SCOPE)
+    if oversized.isEmpty():
+        return cluster(facts, threshold, core_entities)
+    return cluster(facts.join(oversized, SCOPE, "left_anti"), threshold, core_entities).unionByName(
+        cluster_large(facts.join(oversized, SCOPE, "left_semi"), threshold, core_entities))
+
+
 def alignment_components(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """(scope, fact_id, component): facts linked by any chain of pairs; singletons keep their own id."""
     links = pairs.where("fact_a_id is not null and fact_b_id is not null").select(
