@@ -13,9 +13,8 @@ from factloom.operators.align import SCOPE, annotator_pairs
 BIN_CHARS = 4096
 
 
-def merged_intervals(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Union of half-open intervals per key as disjoint rows; touching intervals merge."""
-    longest = spans.where(F.col(end) > F.col(start)).groupBy(*keys, start).agg(F.max(end).alias(end))
+def _islands(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    longest = spans.groupBy(*keys, start).agg(F.max(end).alias(end))
     before = W.partitionBy(*keys).orderBy(start).rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy(*keys).orderBy(start).rowsBetween(W.unboundedPreceding, 0)
     opened = longest.withColumn("_reach", F.max(end).over(before))
@@ -23,6 +22,26 @@ def merged_intervals(spans: DataFrame, keys: list[str], start: str = "start", en
     return opened.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
+def _cut(spans: DataFrame, keys: list[str], start: str, end: str, bin_size: int) -> DataFrame:
+    """Pieces of the intervals inside bins; after folding equal starts a bin holds at most ``bin_size`` of them."""
+    real = spans.where(F.col(end) > F.col(start)).groupBy(*keys, start).agg(F.max(end).alias(end))
+    pieces = real.withColumn("_bin", F.explode(F.sequence(
+        F.floor(F.col(start) / bin_size), F.floor((F.col(end) - 1) / bin_size))))
+    return pieces.select(*keys, "_bin", F.greatest(F.col(start), F.col("_bin") * bin_size).cast("long").alias(start),
+                         F.least(F.col(end), (F.col("_bin") + 1) * bin_size).cast("long").alias(end))
+
+
+def merged_intervals(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end",
+                     bin_size: int = BIN_CHARS) -> DataFrame:
+    """Union of half-open intervals per key as disjoint rows; touching intervals merge.
+
+    Bins are merged first, so the scan over a whole key only sees the islands of its
+    bins, which touch at the borders and join up again.
+    """
+    local = _islands(_cut(spans, keys, start, end, bin_size), [*keys, "_bin"], start, end)
+    return _islands(local, keys, start, end)
+
+
 def covered_length(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end",
                    bin_size: int = BIN_CHARS) -> DataFrame:
     """Length of the union of intervals per key.
@@ -31,11 +50,7 @@ def covered_length(spans: DataFrame, keys: list[str], start: str = "start", end:
     folding equal starts a bin holds at most ``bin_size`` rows, so the ordered scan
     never sees an unbounded group even if one key holds most intervals.
     """
-    real = spans.where(F.col(end) > F.col(start)).groupBy(*keys, start).agg(F.max(end).alias(end))
-    cut = real.withColumn("_bin", F.explode(F.sequence(
-        F.floor(F.col(start) / bin_size), F.floor((F.col(end) - 1) / bin_size))))
-    cut = cut.select(*keys, "_bin", F.greatest(F.col(start), F.col("_bin") * bin_size).cast("long").alias("_s"),
-                     F.least(F.col(end), (F.col("_bin") + 1) * bin_size).cast("long").alias("_e"))
+    cut = _cut(spans, keys, start, end, bin_size).withColumnRenamed(start, "_s").withColumnRenamed(end, "_e")
     cut = cut.groupBy(*keys, "_bin", "_s").agg(F.max("_e").alias("_e"))
     before = W.partitionBy(*keys, "_bin").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     reach = F.coalesce(F.max("_e").over(before), F.col("_s"))

@@ -457,13 +457,13 @@ def k12(spark, sf):
 
 
 RUNS = """
-runs AS (SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN 'qwen' ELSE 'gemma' END AS model, 'v1' AS guideline_version,
+runs AS (SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN 'model_a' ELSE 'model_b' END AS model, 'v1' AS guideline_version,
   CASE WHEN n_chars % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, n_chars % 40 AS fact_count FROM documents)"""
 
 
 def _runs(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", F.when(F.col("lang").isin("en", "fr"), F.lit("qwen")).otherwise(F.lit("gemma")).alias("model"), F.lit("v1").alias("guideline_version"),
+        "doc_id", F.when(F.col("lang").isin("en", "fr"), F.lit("model_a")).otherwise(F.lit("model_b")).alias("model"), F.lit("v1").alias("guideline_version"),
         F.when(F.col("n_chars") % 5 == 0, F.lit("failed")).otherwise(F.lit("ok")).alias("status"), (F.col("n_chars") % 40).alias("fact_count"))
 
 
@@ -474,20 +474,20 @@ def a24(spark, sf):
 
 
 @register("j14_run_matrix", with_sql(RUNS, """
-SELECT d.doc_id, m.model, v.guideline_version, coalesce(status, 'pending') AS status FROM documents d, (VALUES ('qwen'), ('gemma')) m(model), (VALUES ('v1'), ('v2')) v(guideline_version)
+SELECT d.doc_id, m.model, v.guideline_version, coalesce(status, 'pending') AS status FROM documents d, (VALUES ('model_a'), ('model_b')) m(model), (VALUES ('v1'), ('v2')) v(guideline_version)
 LEFT JOIN runs r ON r.doc_id = d.doc_id AND r.model = m.model AND r.guideline_version = v.guideline_version""".replace(
-    "FROM documents d, (VALUES ('qwen'), ('gemma')) m(model), (VALUES ('v1'), ('v2')) v(guideline_version)",
-    "FROM documents d CROSS JOIN (VALUES ('qwen'), ('gemma')) m(model) CROSS JOIN (VALUES ('v1'), ('v2')) v(guideline_version)")))
+    "FROM documents d, (VALUES ('model_a'), ('model_b')) m(model), (VALUES ('v1'), ('v2')) v(guideline_version)",
+    "FROM documents d CROSS JOIN (VALUES ('model_a'), ('model_b')) m(model) CROSS JOIN (VALUES ('v1'), ('v2')) v(guideline_version)")))
 def j14(spark, sf):
     runs = _runs(spark, sf)
-    return S.extraction_matrix(table(spark, sf, "documents"), ["qwen", "gemma"], ["v1", "v2"], runs).select("doc_id", "model", "guideline_version", "status")
+    return S.extraction_matrix(table(spark, sf, "documents"), ["model_a", "model_b"], ["v1", "v2"], runs).select("doc_id", "model", "guideline_version", "status")
 
 
 @register("f14_pending_cells", with_sql(RUNS, """
-SELECT d.doc_id, m.model FROM documents d CROSS JOIN (VALUES ('qwen'), ('gemma')) m(model)
+SELECT d.doc_id, m.model FROM documents d CROSS JOIN (VALUES ('model_a'), ('model_b')) m(model)
 WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = d.doc_id AND r.model = m.model AND status = 'ok')"""))
 def f14(spark, sf):
-    cells = table(spark, sf, "documents").select("doc_id", F.explode(F.array(F.lit("qwen"), F.lit("gemma"))).alias("model"))
+    cells = table(spark, sf, "documents").select("doc_id", F.explode(F.array(F.lit("model_a"), F.lit("model_b"))).alias("model"))
     return S.pending_cells(cells, _runs(spark, sf))
 
 

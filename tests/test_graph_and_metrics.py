@@ -103,7 +103,8 @@ def test_interval_union(spark):
         assert {r.k: r.covered for r in M.covered_length(df, ["k"], bin_size=size).collect()} == {
             k: covered([(s, e) for x, s, e in spans if x == k]) for k in "ab"}
     three = spark.createDataFrame([("a", 0, 10), ("a", 5, 20), ("a", 30, 40), ("a", 7, 7)], "k string, start int, end int")
-    assert {(r.start, r.end) for r in M.merged_intervals(three, ["k"]).collect()} == {(0, 20), (30, 40)}
+    for size in (8, 4096):
+        assert {(r.start, r.end) for r in M.merged_intervals(three, ["k"], bin_size=size).collect()} == {(0, 20), (30, 40)}
 
 
 def test_overlap_depth_equals_brute_force(spark):
@@ -180,3 +181,12 @@ def test_matrix_rows(make_facts):
     facts = make_facts([fact("A", "a1", "Council", "adopts", "rule"), fact("A", "a2", "x", "y", "zed"), fact("B", "b1", "Council", "adopts", "rule")])
     rows = matrix_rows(facts, "A", "B").orderBy("ia").collect()
     assert rows[0].cosines == [1.0] and len(rows) == 2 and 0 <= rows[1].cosines[0] < 0.5
+
+
+def test_islands_and_neighbours(spark):
+    rows = [("v1", "d1", s, "p", o) for s, o in (("a", "b"), ("b", "c"), ("x", "y"), ("q", "q"))]
+    edges = spark.createDataFrame(rows, "guideline_version string, doc_id string, s_cluster string, predicate_key string, o_cluster string")
+    assert {r.s_cluster for r in G.without_islands(edges).collect()} == {"a", "b"}
+    assert {r.s_cluster for r in G.without_islands(edges, 1).collect()} == {"a", "b", "x"}
+    centre = spark.createDataFrame([("v1", "d1", "b")], "guideline_version string, doc_id string, centre string")
+    assert {r.neighbour for r in G.neighbourhood(edges, centre).collect()} == {"a", "c"}
