@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
+from factloom.llm import decontaminate, licenses, line_dedup, ngram_join, packing, pii, quality, topk, toxicity, url_filter
 from factloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,35 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+# The rules of the query.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query
+def op3_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).drop("url")
+
+
+ORACLE["op3_url_digests"] = """
+WITH u AS (SELECT row_number() OVER () AS rid, page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+SELECT any_value(page_id) AS page_id, any_value(host) AS host, any_value(path) AS path, arg_max(h || p, length(h || p)) AS rule,
+  coalesce(arg_max(v, length(h || p)), 'allow') AS verdict
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid"""
+
+
+@query
+def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(toxicity.fold("doc_id", quality.FOLDS) == quality.HELD_OUT, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,11 +74,69 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("restored").alias("n_restored"))
 
 
+@query
+def op6_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % topk.EVERY == 0)
+
+
+ORACLE["op6_norm_bucket_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The query's key; a user brings a secret one.
+SURROGATE_KEY = b"surrogates of the registered query"
+
+
+@query
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    of = F.transform("entities", lambda e: e["kind"])
+    counts = [(F.size(of) - F.size(F.array_remove(of, k))).alias(f"n_{k}") for k in pii.KINDS]
+    return pii.replace(docs, SURROGATE_KEY).select("doc_id", "text", F.size("entities").alias("n_entities"), *counts, F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op9_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
+                      F.array_join("licenses", ",").alias("licenses"), F.array_join("license_classes", ",").alias("classes"))
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
+    rows = []
+    for name, kind, wanted in licenses.RULES:
+        rest, fits = "ids", []
+        for w in wanted:
+            fits.append(f"list_contains({rest}, '{w}')")
+            rest = f"{rest}[list_position({rest}, '{w}') + 1:]"
+        rows.append(f"CASE WHEN {' AND '.join(fits)} THEN {{'name': '{name}', 'kind': '{kind}'}} END")
+    return f"""
+WITH known(sentence, id) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+n AS (SELECT rid, pos, rtrim(ltrim(regexp_replace(regexp_replace(lower(line), '[^a-z0-9.+-]+', ' ', 'g'), '[.] ', ' ', 'g'), ' '), '. ') AS sentence FROM l),
+f AS (SELECT rid, list(id ORDER BY pos) AS ids FROM n JOIN known USING (sentence) GROUP BY rid),
+h AS (SELECT rid, ids, list_filter([{', '.join(rows)}], lambda x: x IS NOT NULL) AS hits FROM f)
+SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.name))), ','), '') AS licenses,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.kind))), ','), '') AS classes
+FROM d LEFT JOIN h USING (rid)"""
+
+
+ORACLE["op9_license_sentences"] = _license_sql()
+
+
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
