@@ -142,10 +142,19 @@ def test_best_window_against_exhaustive_search():
     assert abs(score - best) < 1e-9 and "defcit fell" in text[start:end]
 
 
-def test_spo_bands():
-    bands = X.bands_of("The Commission services' estimate was revised.", "the commission", "was revised", "services estimate of the Commission")
-    assert bands[0][:3] == (0, 14, "subject") and ("predicate" in [b[2] for b in bands])
-    assert all(a[1] <= b[0] for a, b in zip(bands, bands[1:]))
+def test_spo_bands(spark):
+    rows = [(1, "The Commission services' estimate was revised.", "the commission", "was revised", "services estimate of the Commission"),
+            (2, "a deficit of 2,3 % of GDP", "deficit", "of", "gdp of 2,3 % total"), (3, None, "x", "y", None), (4, "nothing here", "", " ", "other words"),
+            (5, "one two one two three", "two", "one", "three two")]
+    df = spark.createDataFrame(rows, "i int, q string, s string, p string, o string")
+    got = {r.i: [tuple(b) for b in r.b] for r in df.select("i", X.spo_bands("q", "s", "p", "o").alias("b")).collect()}
+    assert got[1] == [(0, 14, "subject", False), (14, 33, "object", True), (34, 45, "predicate", False)]
+    assert got[2] == [(2, 9, "subject", False), (10, 12, "predicate", False), (13, 25, "object", True)]
+    assert got[3] == got[4] == [] and got[5] == [(4, 7, "subject", False), (8, 11, "predicate", False), (12, 21, "object", True)]
+    for spans in got.values():
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    spans = df.where("i = 2").select(X.token_spans(df["q"]).alias("t")).first().t
+    assert [(x.token, x.start, x.end) for x in spans][3:5] == [("2,3", 13, 16), ("%", 17, 18)]
 
 
 def test_fact_files_and_guidelines(spark, tmp_path):

@@ -118,10 +118,15 @@ def test_arbiter_only_sees_open_pairs(spark):
         raise TimeoutError("slow")
 
     failed = L.layer2(open_pair, broken).first()
-    assert (failed.conflict_label, failed.layer2_reason) == ("escalate", "call_error_attempt_2:TimeoutError")
+    assert (failed.conflict_label, failed.layer2_reason) == ("escalate", "call failed: TimeoutError")
     odd = L.layer2(open_pair, lambda p: '{"label": "MAYBE"}').first()
-    assert odd.conflict_label == "escalate" and odd.layer2_reason.startswith("parse_fail_attempt_2:invalid_label")
-    assert L.arbitrate_once("q", lambda q: '{"label": "NEW"}')["label"] == "NEW"
+    assert odd.conflict_label == "escalate" and odd.layer2_reason == "label not allowed: MAYBE"
+    told = L.try_arbiter(spark.createDataFrame([("q",)], "question string"), lambda q: '{"label": "NEW"}').first()
+    assert (told.label, told.reason, told.failure) == ("NEW", None, None)
+    raws = spark.createDataFrame([(r,) for r in (None, " ", "{", "{}", '{"label": 3}', '{"label": "granularity", "reason": " r "}')], "raw string")
+    got = [tuple(r.v) for r in raws.select(L.verdict(raws["raw"]).alias("v")).collect()]
+    assert got == [(None, "", "no answer"), (None, "", "no answer"), (None, "", "answer is not JSON"), (None, "", "answer has no label"),
+                   (None, "", "label not allowed: 3"), ("granularity", "r", "")]
 
 
 def test_template_comment_is_dropped(spark):
