@@ -92,7 +92,7 @@ def align(facts: DataFrame, threshold: float = 0.78, carry: list[str] | None = N
 
 
 def orphans_of_empty_sides(facts: DataFrame, roster: DataFrame) -> DataFrame:
-    """Orphans, with cosine 0, where an announced annotator has no fact in a document."""
+    """Orphans where an announced annotator has no fact in a document; their cosine is null, as there was nobody to compare with."""
     present = facts.select(*SCOPE, "annotator").distinct()
     silent = roster.select(*SCOPE, "annotator").distinct().join(present, [*SCOPE, "annotator"], "left_anti")
     silent = silent.withColumnRenamed("annotator", "other")
@@ -101,7 +101,7 @@ def orphans_of_empty_sides(facts: DataFrame, roster: DataFrame) -> DataFrame:
     return rows.select(
         *SCOPE, F.least("annotator", "other").alias("annotator_a"), F.greatest("annotator", "other").alias("annotator_b"),
         F.when(first, F.col("fact_id")).alias("fact_a_id"), F.when(~first, F.col("fact_id")).alias("fact_b_id"),
-        F.lit(0.0).alias("cosine"), F.when(first, F.lit("unmatched_a")).otherwise(F.lit("unmatched_b")).alias("status"))
+        F.lit(None).cast("double").alias("cosine"), F.when(first, F.lit("unmatched_a")).otherwise(F.lit("unmatched_b")).alias("status"))
 
 
 def annotator_pairs(facts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -71,26 +72,53 @@ def _common_subsequence(pattern: dict[str, int], size: int, window: str) -> int:
     return size - state.bit_count()
 
 
+def _most_common_chars(short: str, long: str) -> list[int]:
+    """For each place of ``short`` over ``long``, hanging over at both ends, how many characters the window shares with it at most."""
+    left = Counter(short)
+    size, shared, out = len(short), 0, []
+    for end in range(1, len(long) + size):
+        if end <= len(long):
+            shared += left[long[end - 1]] > 0
+            left[long[end - 1]] -= 1
+        if end > size:
+            left[long[end - size - 1]] += 1
+            shared -= left[long[end - size - 1]] > 0
+        out.append(shared)
+    return out
+
+
 def best_window(quote: str, text: str) -> tuple[float, int, int]:
     """(score, start, end) of the part of ``text`` most similar to ``quote``.
 
     The shorter string slides over the longer one, hanging over at both ends; the
-    score is twice the common subsequence over both lengths, in percent.
+    score is twice the common subsequence over both lengths, in percent. Every
+    window has a bound from the characters that it shares, kept up while sliding;
+    windows are scored from the highest bound down, the one that most 4-grams
+    point to first, until no bound is above the best score.
     """
     if not quote or not text:
         return 0.0, 0, 0
     short, long = (quote, text) if len(quote) <= len(text) else (text, quote)
+    size = len(short)
     pattern: dict[str, int] = {}
     for i, ch in enumerate(short):
         pattern[ch] = pattern.get(ch, 0) | (1 << i)
+    spans = [(max(s, 0), min(s + size, len(long))) for s in range(1 - size, len(long))]
+    bounds = [200.0 * n / (size + hi - lo) for n, (lo, hi) in zip(_most_common_chars(short, long), spans)]
+    places: dict[str, list[int]] = {}
+    for i in range(size - 3):
+        places.setdefault(short[i : i + 4], []).append(i)
+    votes = Counter(j - i for j in range(len(long) - 3) for i in places.get(long[j : j + 4], ())[:16])
+    order = sorted(range(len(spans)), key=lambda k: (-bounds[k], k))
+    if votes:
+        order.insert(0, max(votes, key=lambda s: (votes[s], -s)) + size - 1)
     best = (0.0, 0, 0)
-    for start in range(1 - len(short), len(long)):
-        lo, hi = max(start, 0), min(start + len(short), len(long))
-        edge = long[hi - 1] if start <= 0 or hi < len(long) else long[lo]
-        if edge not in pattern:
-            continue
-        score = 200.0 * _common_subsequence(pattern, len(short), long[lo:hi]) / (len(short) + hi - lo)
-        if score > best[0]:
+    for turn, k in enumerate(order):
+        if bounds[k] < best[0] and (turn or not votes):
+            break
+        lo, hi = spans[k]
+        score = 200.0 * _common_subsequence(pattern, size, long[lo:hi]) / (size + hi - lo)
+        if score > best[0] or score == best[0] and lo < best[1]:
             best = (score, lo, hi)
     if short is quote:
         return best

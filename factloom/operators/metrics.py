@@ -119,7 +119,7 @@ def agreement(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     union = F.col("n_a") + F.col("n_b") - n
     return rows.select(
         *key, "n_a", "n_b", n.alias("n_matched"), F.when(union > 0, F.round(n / union, 3)).alias("jaccard"),
-        F.round("mean", 3).alias("mean_cosine"),
+        F.round("mean", 6).alias("mean_cosine"),
         *[F.coalesce(f"n_{l}", F.lit(0)).alias(f"n_{l}") for l in R.LABELS + ["escalate"]])
 
 

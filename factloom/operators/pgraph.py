@@ -205,16 +205,18 @@ def custom_query(spark: SparkSession, tables: dict[str, DataFrame], statement: s
                  limit: int | None = None) -> DataFrame:
     """Run a gated SELECT over the graph tables, named ``pg_<name>`` in the statement.
 
-    The views live in a session of their own, so calls do not see each other's. A ``limit`` keeps that many rows of a
-    statement that orders them itself.
+    The views are gone when the statement is planned. A ``limit`` keeps that many rows of a statement that orders them itself.
     """
     allowed, reason = check_custom_query(statement)
     if not allowed:
         raise ValueError(reason)
     if statement_words(statement)[0] not in ("select", "with"):
         raise ValueError("only SELECT or WITH queries are accepted")
-    own = spark.newSession()
-    for name, df in tables.items():
-        DataFrame(df._jdf, own).createOrReplaceTempView(f"pg_{name}")
-    found = own.sql(statement, args=args or {})
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(f"pg_{name}")
+        found = spark.sql(statement, args=args or {})
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(f"pg_{name}")
     return found if limit is None else found.limit(limit)

@@ -46,8 +46,8 @@ def read_fact_files(spark: SparkSession, root: str) -> DataFrame:
     """One row per fact from ``<root>/<annotator dir>/<doc>.json``.
 
     The annotator is the file's own name for it, else the directory. Broken files are
-    skipped. When two directories claim the same annotator and document, the last
-    directory in name order wins.
+    skipped. When two directories claim the same annotator, document and guideline
+    version, the last directory in name order wins.
     """
     raw = spark.read.text(f"{root}/*/*.json", wholetext=True).select(
         F.from_json("value", S.FACT_FILE.replace(", ", ",")).alias("j"), F.col("_metadata.file_path").alias("path"))
@@ -55,9 +55,10 @@ def read_fact_files(spark: SparkSession, root: str) -> DataFrame:
         "j.*", F.element_at(F.split("path", "/"), -2).alias("directory"),
         F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "").alias("stem"))
     files = files.withColumn("annotator", F.coalesce(F.nullif(F.col("annotator"), F.lit("")), "directory")).withColumn(
-        "doc_id", F.coalesce("doc_id", "stem"))
-    newest = files.groupBy("doc_id", "annotator").agg(F.max("directory").alias("directory"))
-    kept = files.join(newest, ["doc_id", "annotator", "directory"], "left_semi")
+        "doc_id", F.coalesce("doc_id", "stem")).withColumn(
+        "_version", F.coalesce("guideline_version", F.get("facts", F.lit(0))["guideline_version"], F.lit("v1")))
+    newest = files.groupBy("doc_id", "annotator", "_version").agg(F.max("directory").alias("directory"))
+    kept = files.join(newest, ["doc_id", "annotator", "_version", "directory"], "left_semi")
     rows = kept.select(F.col("doc_id").alias("_d"), F.col("annotator").alias("_a"), F.col("guideline_version").alias("_v"),
                        F.posexplode("facts").alias("fact_pos", "f"))
     text_fields = ("condition", "temporal_context", "group_id", "logic_group", "logic_op")
@@ -185,9 +186,11 @@ def extraction_matrix(documents: DataFrame, models: list[str], versions: list[st
 
 
 def pending_cells(cells: DataFrame, runs: DataFrame, force: bool = False) -> DataFrame:
+    """Cells without a finished run; where both tables tell the guideline version, a run counts for its own version only."""
     if force:
         return cells
-    return cells.join(runs.where("status = 'ok'").select("doc_id", "model"), ["doc_id", "model"], "left_anti")
+    key = ["doc_id", "model", *(["guideline_version"] if "guideline_version" in cells.columns and "guideline_version" in runs.columns else [])]
+    return cells.join(runs.where("status = 'ok'").select(*key), key, "left_anti")
 
 
 def extraction_totals(runs: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.reviews import latest
 
 DOCUMENT_TABLES = ("documents", "facts", "pairs", "entity_clusters", "graph_nodes", "graph_edges", "reviews", "verifications")
+VERSION_SPREAD = 32  # tasks that write one version at most
 
 
 def write_by_version(df: DataFrame, path: str) -> None:
@@ -16,7 +18,9 @@ def write_by_version(df: DataFrame, path: str) -> None:
     Rows are clustered by version and a spread of documents, so a version that
     holds most rows is written by many tasks.
     """
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("guideline_version").parquet(path)
+    parts = F.pmod(F.xxhash64("doc_id"), F.lit(VERSION_SPREAD)) if "doc_id" in df.columns else F.lit(0)
+    df.repartition("guideline_version", parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "guideline_version").parquet(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -51,8 +55,10 @@ def drop_document(spark: SparkSession, warehouse: str, target: str, doc_id: str)
     for name in DOCUMENT_TABLES:
         try:
             table = spark.read.parquet(f"{warehouse}/{name}")
-        except Exception:  # noqa: BLE001 - a table never written has nothing to drop
-            continue
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # a table never written has nothing to drop
         removed[name] = table.where(F.col("doc_id") == doc_id).count()
         writer = table.where(F.col("doc_id") != doc_id).write.mode("errorifexists")
         if "guideline_version" in table.columns:

@@ -14,9 +14,7 @@ from factloom.functions import text as T
 
 # Edit codes, by (doc, position): 0-2 same, 3 dropped, 4 number changed, 5 subject
 # reworded, 6 object shortened, 7 split in two, 8 negated, 9 condition added.
-PAIR_COSINE = {0: 1.0, 1: 1.0, 2: 1.0, 4: 0.9, 5: 0.93, 6: 0.8, 7: 0.82, 8: 0.94, 9: 0.99}
-DROPPED_BEST = 0.41
-SPLIT_REST = 0.55
+MATCHED_FROM = 0.78
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +43,11 @@ def _edit(version: Column) -> Column:
 
 def annotated_sentences(spark: SparkSession, sf_dir: str, versions=("v1",)) -> DataFrame:
     """One row per sentence and version: triple, edit code and the facts of both annotators."""
-    base = sentences(spark, sf_dir).withColumn("w", T.words("body")).where("size(w) >= 4")
+    base = sentences(spark, sf_dir).withColumn("w", T.words("body"))
     base = base.select(
         "doc_id", "pos", "char_start", "char_end", "body",
         F.array_join(F.slice("w", 1, 2), " ").alias("subject"),
-        F.element_at("w", 3).alias("predicate"),
+        F.coalesce(F.get("w", F.lit(2)), F.lit("")).alias("predicate"),
         F.btrim(F.array_join(F.expr("slice(w, 4, size(w))"), " "), F.lit(T.ENTITY_EDGE_PUNCTUATION)).alias("object"))
     if len(versions) == 1:
         base = base.withColumn("guideline_version", F.lit(versions[0]))
@@ -72,8 +70,8 @@ def _fact(annotator: str, part: int, subject, predicate, obj, condition, start,
         F.lit(None).cast("string").alias("annex_id"), F.lit(None).cast("int").alias("table_id"),
         F.lit(None).cast("int").alias("row_idx"), F.lit(None).cast("array<int>").alias("col_indices"),
         F.lit(None).cast("string").alias("linearized_sentence"))
-    statement = F.concat(subject, F.lit(" "), predicate,
-                         F.when(obj == "", F.lit("")).otherwise(F.concat(F.lit(" "), obj)), F.lit("."))
+    more = lambda c: F.when(c == "", F.lit("")).otherwise(F.concat(F.lit(" "), c))
+    statement = F.concat(subject, more(predicate), more(obj), F.lit("."))
     return F.struct(
         T.fact_id(F.lit(annotator), doc, section, F.col("pos"), F.lit(part)).alias("fact_id"),
         F.lit(annotator).alias("annotator"),
@@ -96,11 +94,11 @@ def _facts_of_row() -> tuple[Column, Column, Column]:
     start, end = F.col("char_start"), F.col("char_end")
     none = F.lit("")
     middle = (start + (end - start) / 2).cast("int")
-    a = _fact("ann_a", 0, s, p, F.when(e == 4, F.concat(o, F.lit(" 2,3 %"))).otherwise(o), none, start, end)
+    a = _fact("ann_a", 0, s, p, F.when(e == 4, F.trim(F.concat(o, F.lit(" 2,3 %")))).otherwise(o), none, start, end)
     b0 = _fact(
         "ann_b", 0, F.when(e == 5, F.concat(F.lit("the "), s)).otherwise(s),
-        F.when(e == 8, F.concat(F.lit("not "), p)).otherwise(p),
-        F.when(e == 4, F.concat(o, F.lit(" 2,8 %"))).when(e.isin(6, 7), F.col("half")).otherwise(o),
+        F.when(e == 8, F.trim(F.concat(F.lit("not "), p))).otherwise(p),
+        F.when(e == 4, F.trim(F.concat(o, F.lit(" 2,8 %")))).when(e.isin(6, 7), F.col("half")).otherwise(o),
         F.when(e == 9, F.concat(F.lit("if "), s)).otherwise(none),
         start, F.when(e.isin(6, 7), middle).otherwise(end))
     b1 = _fact("ann_b", 1, s, F.concat(F.lit("also "), p), F.col("rest"), none, middle, end)
@@ -114,21 +112,31 @@ def facts(spark: SparkSession, sf_dir: str, versions=("v1",)) -> DataFrame:
                        F.col("edit").alias("synth_op"))
 
 
+def _shared(left: Column, right: Column) -> Column:
+    """Cosine of the sets of words of two statements, to three places."""
+    a, b = (F.array_distinct(F.split(F.rtrim(c, F.lit(".")), " ")) for c in (left, right))
+    return F.round(F.size(F.array_intersect(a, b)) / F.sqrt((F.size(a) * F.size(b)).cast("double")), 3)
+
+
 def pairs(spark: SparkSession, sf_dir: str, versions=("v1",)) -> DataFrame:
-    """Pairs known by construction, with a cosine fixed per edit; input of the pair operators."""
+    """Pairs known by construction with the cosine of their words; pairs below ``MATCHED_FROM`` fall apart into two orphans.
+
+    The best partner of a dropped fact is taken to be what shares its subject and predicate only.
+    """
     first, second, third = _facts_of_row()
-    cosine = F.lit(None).cast("double")
-    for edit, value in PAIR_COSINE.items():
-        cosine = F.when(F.col("edit") == edit, F.lit(value)).otherwise(cosine)
-    main = F.struct(
-        first["fact_id"].alias("fact_a_id"), second["fact_id"].alias("fact_b_id"),
-        F.when(F.col("edit") == 3, F.lit(DROPPED_BEST)).otherwise(cosine).alias("cosine"),
-        F.when(F.col("edit") == 3, F.lit("unmatched_a")).otherwise(F.lit("matched")).alias("status"))
-    extra = F.struct(
-        F.lit(None).cast("string").alias("fact_a_id"), third["fact_id"].alias("fact_b_id"),
-        F.lit(SPLIT_REST).alias("cosine"), F.lit("unmatched_b").alias("status"))
-    rows = annotated_sentences(spark, sf_dir, versions).withColumn(
-        "p", F.explode(F.array(main, F.when(third.isNotNull(), extra))))
+    said = first["natural_language"]
+    cosine = _shared(said, F.when(F.col("edit") == 3, F.concat_ws(" ", "subject", "predicate")).otherwise(second["natural_language"]))
+    none = F.lit(None).cast("string")
+
+    def pair(a, b, score, status):
+        return F.struct(a.alias("fact_a_id"), b.alias("fact_b_id"), score.alias("cosine"), F.lit(status).alias("status"))
+
+    together = F.col("cosine") >= MATCHED_FROM
+    rows = annotated_sentences(spark, sf_dir, versions).withColumn("cosine", cosine).withColumn("p", F.explode(F.array(
+        F.when((F.col("edit") != 3) & together, pair(first["fact_id"], second["fact_id"], F.col("cosine"), "matched")),
+        F.when((F.col("edit") == 3) | ~together, pair(first["fact_id"], none, F.col("cosine"), "unmatched_a")),
+        F.when((F.col("edit") != 3) & ~together, pair(none, second["fact_id"], F.col("cosine"), "unmatched_b")),
+        F.when(third.isNotNull(), pair(none, third["fact_id"], _shared(said, third["natural_language"]), "unmatched_b")))))
     return rows.where("p is not null").select(
         "guideline_version", F.col("doc_id").cast("string").alias("doc_id"),
         F.lit("ann_a").alias("annotator_a"), F.lit("ann_b").alias("annotator_b"), "p.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.sources.tables import DROPPED_BEST, PAIR_COSINE, SPLIT_REST
+from factloom.sources.tables import MATCHED_FROM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,9 +70,9 @@ tokens AS (
   SELECT *, list_filter(string_split_regex(body, '\s+'), lambda x: x <> '') AS w FROM sents),
 triples AS (
   SELECT doc_id, pos, char_start, char_end, body,
-    array_to_string(w[1:2], ' ') AS subject, w[3] AS predicate,
+    array_to_string(w[1:2], ' ') AS subject, coalesce(w[3], '') AS predicate,
     trim(array_to_string(w[4:len(w)], ' '), ' ,;:.') AS object
-  FROM tokens WHERE len(w) >= 4),
+  FROM tokens),
 annotated AS (
   SELECT *, array_to_string(o[1:(len(o) + 1) // 2], ' ') AS half,
     array_to_string(o[(len(o) + 1) // 2 + 1:len(o)], ' ') AS rest,
@@ -90,7 +90,7 @@ def _fact_sql(annotator: str, part: int, s: str, p: str, o: str, cond: str, star
     substr(sha1(concat_ws('|', 'grp', '{annotator}', doc_id, section_path, pos)), 1, 16) AS group_id,
     CASE WHEN pos % 6 < 2 THEN 'lg' || (pos // 6) ELSE '' END AS logic_group,
     CASE WHEN pos % 6 < 2 THEN CASE WHEN pos % 12 < 6 THEN 'OR' ELSE 'AND' END ELSE '' END AS logic_op,
-    {s} || ' ' || {p} || CASE WHEN {o} = '' THEN '' ELSE ' ' || {o} END || '.' AS natural_language,
+    {s} || CASE WHEN {p} = '' THEN '' ELSE ' ' || {p} END || CASE WHEN {o} = '' THEN '' ELSE ' ' || {o} END || '.' AS natural_language,
     section_path, CAST({start} AS BIGINT) AS char_start, CAST({end} AS BIGINT) AS char_end, body AS quote,
     'unlabeled' AS conflict_label, pos * 2 + {part} AS fact_pos, edit AS synth_op
   FROM annotated WHERE {where}"""
@@ -100,36 +100,37 @@ def facts_sql(versions=("v1",)) -> str:
     """CTE list ending in ``facts``."""
     mid = "(char_start + (char_end - char_start) // 2)"
     a = _fact_sql("ann_a", 0, "subject", "predicate",
-                  "(CASE WHEN edit = 4 THEN object || ' 2,3 %' ELSE object END)", "''",
+                  "(CASE WHEN edit = 4 THEN trim(object || ' 2,3 %') ELSE object END)", "''",
                   "char_start", "char_end", "true")
     b0 = _fact_sql("ann_b", 0, "(CASE WHEN edit = 5 THEN 'the ' || subject ELSE subject END)",
-                   "(CASE WHEN edit = 8 THEN 'not ' || predicate ELSE predicate END)",
-                   "(CASE WHEN edit = 4 THEN object || ' 2,8 %' WHEN edit IN (6, 7) THEN half ELSE object END)",
+                   "(CASE WHEN edit = 8 THEN trim('not ' || predicate) ELSE predicate END)",
+                   "(CASE WHEN edit = 4 THEN trim(object || ' 2,8 %') WHEN edit IN (6, 7) THEN half ELSE object END)",
                    "(CASE WHEN edit = 9 THEN 'if ' || subject ELSE '' END)",
                    "char_start", f"(CASE WHEN edit IN (6, 7) THEN {mid} ELSE char_end END)", "edit <> 3")
     b1 = _fact_sql("ann_b", 1, "subject", "('also ' || predicate)", "rest", "''", mid, "char_end",
                    "edit = 7 AND rest <> ''")
-    return annotated_sql(versions) + f",\nfacts AS ({a}\n  UNION ALL{b0}\n  UNION ALL{b1})"
+    return annotated_sql(versions) + f",\nfacts AS MATERIALIZED ({a}\n  UNION ALL{b0}\n  UNION ALL{b1})"
 
 
 def pairs_sql(versions=("v1",)) -> str:
     """CTE list ending in ``facts`` and ``pairs``."""
-    cosine = " ".join(f"WHEN {e} THEN {c}" for e, c in PAIR_COSINE.items())
-    keyed = """
-keyed AS (SELECT guideline_version, doc_id, fact_pos // 2 AS p, annotator, fact_pos % 2 AS part, fact_id, synth_op
-  FROM facts)"""
-    return facts_sql(versions) + "," + keyed + f""",
-pairs AS (
-  SELECT a.guideline_version, a.doc_id, 'ann_a' AS annotator_a, 'ann_b' AS annotator_b,
-    a.fact_id AS fact_a_id, b.fact_id AS fact_b_id,
-    CAST(CASE WHEN b.fact_id IS NULL THEN {DROPPED_BEST} ELSE CASE a.synth_op {cosine} END END AS DOUBLE) AS cosine,
-    CASE WHEN b.fact_id IS NULL THEN 'unmatched_a' ELSE 'matched' END AS status
+    words = "list_distinct(string_split(rtrim({x}, '.'), ' '))"
+    shared = "round(len(list_intersect({a}, {b})) / sqrt(CAST(len({a}) * len({b}) AS DOUBLE)), 3)"
+    return facts_sql(versions) + f""",
+keyed AS MATERIALIZED (SELECT guideline_version, doc_id, fact_pos // 2 AS p, annotator, fact_pos % 2 AS part, fact_id,
+  {words.format(x="natural_language")} AS w, {words.format(x="concat_ws(' ', subject, predicate)")} AS core
+  FROM facts),
+sides AS MATERIALIZED (SELECT a.guideline_version, a.doc_id, a.fact_id AS fa, b.fact_id AS fb, b.part,
+  CASE WHEN b.fact_id IS NULL THEN {shared.format(a="a.w", b="a.core")} ELSE {shared.format(a="a.w", b="b.w")} END AS cosine
   FROM (SELECT * FROM keyed WHERE annotator = 'ann_a') a
-  LEFT JOIN (SELECT * FROM keyed WHERE annotator = 'ann_b' AND part = 0) b
-    USING (guideline_version, doc_id, p)
-  UNION ALL
-  SELECT guideline_version, doc_id, 'ann_a', 'ann_b', NULL, fact_id, {SPLIT_REST}, 'unmatched_b'
-  FROM keyed WHERE annotator = 'ann_b' AND part = 1)"""
+  LEFT JOIN (SELECT * FROM keyed WHERE annotator = 'ann_b') b USING (guideline_version, doc_id, p)),
+pairs AS MATERIALIZED (
+  SELECT guideline_version, doc_id, 'ann_a' AS annotator_a, 'ann_b' AS annotator_b, fa AS fact_a_id, fb AS fact_b_id, cosine, 'matched' AS status
+  FROM sides WHERE part = 0 AND cosine >= {MATCHED_FROM}
+  UNION ALL SELECT guideline_version, doc_id, 'ann_a', 'ann_b', fa, NULL, cosine, 'unmatched_a' FROM sides
+    WHERE fb IS NULL OR part = 0 AND cosine < {MATCHED_FROM}
+  UNION ALL SELECT guideline_version, doc_id, 'ann_a', 'ann_b', NULL, fb, cosine, 'unmatched_b' FROM sides
+    WHERE part = 1 OR part = 0 AND cosine < {MATCHED_FROM})"""
 
 
 def with_sql(ctes: str, select: str) -> str:

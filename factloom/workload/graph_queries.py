@@ -442,11 +442,17 @@ def a19(spark, sf):
     return _export(spark, sf)["facts"].where("conditional").groupBy("doc_id", "guideline_version").agg(F.count(F.lit(1)).alias("n_conditional"))
 
 
-@register("a20_version_label_distribution", with_sql(labelled_sql(("v1", "v2")), """
-SELECT guideline_version, conflict_label, count(*) AS n FROM (SELECT guideline_version, fact_a_id, conflict_label FROM labelled WHERE fact_a_id IS NOT NULL) GROUP BY ALL"""))
+@register("a20_version_label_distribution", with_sql(labelled_sql(("v1", "v2")) + f""",
+decided AS (SELECT guideline_version, fact_id, max_by(conflict_label, {SEVERITY_SQL.format(x='conflict_label')}) AS label FROM (
+  SELECT guideline_version, fact_a_id AS fact_id, conflict_label FROM labelled UNION ALL SELECT guideline_version, fact_b_id, conflict_label FROM labelled)
+  WHERE fact_id IS NOT NULL AND conflict_label NOT IN ('unlabeled', 'escalate') GROUP BY ALL)""", """
+SELECT guideline_version, coalesce(label, 'unlabeled') AS conflict_label, count(*) AS n
+FROM facts LEFT JOIN decided USING (guideline_version, fact_id) GROUP BY ALL"""))
 def a20(spark, sf):
-    p = labelled(spark, sf, ("v1", "v2")).where("fact_a_id is not null")
-    return p.groupBy("guideline_version", "conflict_label").agg(F.count(F.lit(1)).alias("n"))
+    """Facts of both annotators by version and the strongest label among their pairs."""
+    decided = G.strongest_by(G.labels_of_facts(labelled(spark, sf, ("v1", "v2"))), [*SCOPE, "fact_id"])
+    f = facts(spark, sf, ("v1", "v2")).select(*SCOPE, "fact_id").join(decided, [*SCOPE, "fact_id"], "left")
+    return f.groupBy("guideline_version", F.coalesce("conflict_label", F.lit("unlabeled")).alias("conflict_label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("a25_graph_status", with_sql(BASE + R5, "SELECT (SELECT count(*) FROM facts) AS n_facts, (SELECT count(*) FROM conflicts) AS n_conflicts_with"))

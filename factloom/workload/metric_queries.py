@@ -83,7 +83,7 @@ def a5(spark, sf):
 SELECT n.doc_id, n_a, n_b, coalesce(n_matched, 0) AS n_matched, round(coalesce(n_matched, 0) / CAST(n_a + n_b - coalesce(n_matched, 0) AS DOUBLE), 3) AS jaccard,
   mean_cosine, coalesce(n_contradiction, 0) AS n_contradiction, coalesce(n_redundancy, 0) AS n_redundancy
 FROM (SELECT doc_id, count(*) FILTER (WHERE annotator = 'ann_a') AS n_a, count(*) FILTER (WHERE annotator = 'ann_b') AS n_b FROM facts GROUP BY ALL) n
-LEFT JOIN (SELECT doc_id, count(*) AS n_matched, round(avg(round(cosine, 4)), 3) AS mean_cosine, count(*) FILTER (WHERE conflict_label = 'contradiction') AS n_contradiction,
+LEFT JOIN (SELECT doc_id, count(*) AS n_matched, round(avg(round(cosine, 4)), 6) AS mean_cosine, count(*) FILTER (WHERE conflict_label = 'contradiction') AS n_contradiction,
   count(*) FILTER (WHERE conflict_label = 'redundancy') AS n_redundancy FROM labelled WHERE status = 'matched' GROUP BY ALL) m USING (doc_id)
 WHERE n_a > 0 AND n_b > 0"""))
 def a6(spark, sf):
@@ -394,14 +394,14 @@ def _responses(spark, sf):
 
 @register("p10_parse_responses", with_sql(facts_sql(), """
 SELECT doc_id, fact_pos, CAST(t.i AS BIGINT) AS triple_index, subject, object, 'per triple' AS condition, 'today' AS temporal_context, logic_op FROM facts, (VALUES (0), (1)) t(i)
-WHERE annotator = 'ann_a' AND fact_pos % 7 <> 0 AND trim(object) <> ''"""))
+WHERE annotator = 'ann_a' AND fact_pos % 7 <> 0 AND trim(object) <> '' AND predicate <> ''"""))
 def p10(spark, sf):
     return X.parse_responses(_responses(spark, sf)).select("doc_id", "fact_pos", "triple_index", "subject", "object", "condition", "temporal_context", "logic_op")
 
 
 @register("p11_p12_anchored_facts", with_sql(facts_sql(), """
 SELECT doc_id, char_start, char_start + length(quote) AS char_end, substr(sha1(concat_ws('|', 'ann_a', doc_id, section_path, 0, t.i)), 1, 16) AS fact_id
-FROM facts, (VALUES (0), (1)) t(i) WHERE annotator = 'ann_a' AND fact_pos % 7 <> 0 AND trim(object) <> ''"""))
+FROM facts, (VALUES (0), (1)) t(i) WHERE annotator = 'ann_a' AND fact_pos % 7 <> 0 AND trim(object) <> '' AND predicate <> ''"""))
 def p11(spark, sf):
     anchored = X.anchor_quotes(X.parse_responses(_responses(spark, sf)).drop("fact_pos"))
     return X.build_facts(anchored).select("doc_id", "source_locator.char_start", "source_locator.char_end", "fact_id")
@@ -410,7 +410,7 @@ def p11(spark, sf):
 @register("p11_fuzzy_anchors")
 def p11_fuzzy(spark, sf):
     """Statements whose subject was reworded no longer occur verbatim and need the similarity search."""
-    f = facts(spark, sf).where("annotator = 'ann_b' and synth_op = 5 and length(source_locator.quote) < 400")
+    f = facts(spark, sf).where("annotator = 'ann_b' and synth_op = 5")
     rows = f.select("fact_id", F.col("natural_language").alias("source_quote"), F.col("source_locator.quote").alias("section_text"),
                     F.col("source_locator.char_start").alias("base_offset"))
     return X.anchor_quotes(rows).select("fact_id", "char_start", "char_end", F.round("anchor_score", 3).alias("anchor_score"))

@@ -94,8 +94,10 @@ def test_rule_labels(spark):
     assert polar.layer1_reason == "polarity asymmetry: A=∅ B=['not']"
     cited = matched(spark, fact("A", "a1", "x", "cites", "y", nl="x cites Regulation No 584/75"), fact("B", "b1", "x", "cites", "y", nl="x cites y"), 0.9).first()
     assert cited.layer1_reason.startswith("no rule fired")
-    orphan = matched(spark, fact("A", "a1", "x", "p", "y"), None, 0.0, "unmatched_a").first()
-    assert (orphan.conflict_label, orphan.layer1_reason) == ("unlabeled", "orphan_unmatched_a")
+    orphan = matched(spark, fact("A", "a1", "x", "p", "y"), None, None, "unmatched_a").first()
+    assert (orphan.conflict_label, orphan.layer1_reason, orphan.cosine) == ("unlabeled", "orphan_unmatched_a", 0.0)
+    alone = matched(spark, fact("A", "a1", "x", "p", "y"), None, 0.0, "unmatched_a").first()
+    assert alone.layer1_reason == "best partner cosine=0.000 < 0.78"
     elsewhere = matched(spark, fact("A", "a1", "x", "p", "y"), None, 0.9, "unmatched_a").first()
     assert elsewhere.layer1_reason == "best partner cosine=0.900, assigned elsewhere"
 
