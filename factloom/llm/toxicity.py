@@ -9,10 +9,11 @@ the likeliest one. Restored words and their prefixes then carry log-odds learned
 from labelled documents; a logistic curve over the strongest of them gives the
 score.
 
-Labels are learned from rows whose crc32 remainder is not held out. All of them
-give the log-odds, as sums; the curve is fitted on at most ``CURVE_ROWS`` of
-them, taken in hash order, each scored without its own share of the counts.
-A score sees the text alone.
+Labels are learned from rows whose crc32 remainder is not held out, at most
+``FIT_ROWS`` of them in hash order, so that ids and labels fit a broadcast of
+known size and no text is shuffled. They give the log-odds, as sums; the first
+``CURVE_ROWS`` of them give the curve, each scored without its own share of the
+counts. A score sees the text alone.
 
 Defined cases: null and empty texts score like a text without marks; repeated
 rows are scored each; a null id is never learned from and never held out;
@@ -29,14 +30,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh, remembered
+from factloom.llm.common import cut, fresh, remembered
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 MODEL_BUCKETS = 1 << 19
 MARK_BUCKETS = 1 << 20
-#: The curve is fitted on at most this many labelled rows.
-CURVE_ROWS = 20_000
+#: Labelled rows to learn log-odds from, and of these to fit the curve on, at most.
+FIT_ROWS, CURVE_ROWS = 60_000, 20_000
 #: A mark needs as many toxic documents.
 LEAST_TOXIC = 3
 BEAM = 200
@@ -49,7 +50,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "abcdefghijklmnopqrstuvwxyz"}
 COST_LEET, COST_SAME, COST_DROPPED, COST_REPEAT, COST_KEPT_RUN, COST_GAP = 1.0, 3.0, 3.0, 0.5, 4.0, 2.0
 
-_TOKEN = re.compile(r"(?:[^\W_]|[@$!|*+])+")
+_TOKEN = re.compile(r"[\w@$!|*+]+")
 _EDGE = re.compile(r"^[!|*+]+|^([@$])\1+|[!|*+]+$|([@$])\2+$")
 _ODD = re.compile(r"[^\W\d_].*[\d@$!|*+]|[\d@$!|*+].*[^\W\d_]|([^\W\d_])\1\1")
 _MASK = (1 << 64) - 1
@@ -184,10 +185,12 @@ class Restorer:
         """The likeliest word or words behind letters that stand apart."""
         return self.best(self.lattice(" ".join(letters), gaps=True))
 
-    def words(self, text: str) -> tuple[set[str], list[tuple[str, str]]]:
-        """Distinct restored words of a text, and (observed, restored) of those that were changed."""
-        tokens = _TOKEN.findall(text.lower())
-        out, changed = set(), []
+    def split(self, text: str) -> tuple[set[str], list[tuple[str, str]]]:
+        """Distinct tokens of a text, and (observed, restored) of its runs of letters that stand apart."""
+        text = text.lower()
+        if "_" in text:
+            text = text.replace("_", " ")
+        tokens, runs = _TOKEN.findall(text), []
         single = [i for i, t in enumerate(tokens) if len(t) == 1]
         at = 0
         while at < len(single):
@@ -196,22 +199,47 @@ class Restorer:
                 end += 1
             if end - at >= 2:
                 run = tokens[single[at] : single[end] + 1]
-                got = self.spaced(run)
-                out.update(got.split())
-                changed.append((" ".join(run), got))
+                runs.append((" ".join(run), self.spaced(run)))
             at = end + 1
-        odd = _ODD.search
-        for t in set(tokens):
-            if odd(t) or not (t[0].isalnum() and t[-1].isalnum()):
-                core, got = _EDGE.sub("", t), self.word(t)
-                if got != core:
-                    changed.append((t, got))
-                out.update(got.split())
-            else:
-                out.add(t)
+        return set(tokens), runs
+
+    def words(self, text: str) -> tuple[set[str], list[tuple[str, str]]]:
+        """Distinct restored words of a text, and (observed, restored) of those that were changed."""
+        tokens, changed = self.split(text)
+        out = {w for _, got in changed for w in got.split()}
+        for t in tokens:
+            got = self.word(t)
+            if got != _EDGE.sub("", t):
+                changed.append((t, got))
+            out.update(got.split())
         return out, sorted(changed)
 
 
+class Lexicon:
+    """What each token is worth after restoration; ``value`` rates a tuple of words, and every token is rated once."""
+
+    def __init__(self, restorer: Restorer, value, most: int = 400_000):
+        self.restorer, self.value, self.most = restorer, value, most
+        self.known: dict[str, object] = {}
+        self.changed: dict[str, str] = {}
+
+    def read(self, text: str) -> tuple[list, list[tuple[str, str]]]:
+        """Values of the distinct tokens and of the spaced-out runs, and (observed, restored) of what was changed."""
+        tokens, runs = self.restorer.split(text)
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+            self.changed.clear()
+        for t in tokens:
+            if t not in known:
+                got = self.restorer.word(t)
+                known[t] = self.value(got.split())
+                if got != _EDGE.sub("", t):
+                    self.changed[t] = got
+        out = [known[t] for t in tokens] + [self.value(got.split()) for _, got in runs]
+        return out, sorted([(t, self.changed[t]) for t in tokens & self.changed.keys()] + runs)
+
+
 def marks_of(word: str) -> list[int]:
     """Buckets of a word and of its first three, four and five characters."""
     import xxhash
@@ -242,11 +270,9 @@ def fold(id_col: str, of: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of))
 
 
-def _restorer(key: str, table: np.ndarray) -> Restorer:
-    held = remembered()
-    if held.get("restorer", ("", None))[0] != key:
-        held["restorer"] = (key, Restorer(table))
-    return held["restorer"][1]
+def _share(id_col: str, most: int, n: int) -> Column:
+    """Rows of least hash, so that about ``most`` of ``n`` stay; by 3 per cent fewer, which chance does not make up for."""
+    return F.lit(True) if n <= most else F.pmod(F.xxhash64(F.lit(6), id_col), F.lit(1 << 20)) < int(0.97 * most / n * (1 << 20))
 
 
 class Model:
@@ -256,23 +282,13 @@ class Model:
         self.key, self.table, self.odds, self.curve, self.share = key, table, odds, curve, share
 
 
-def _stats(texts, restorer: Restorer, odds: np.ndarray, known: dict[str, float]) -> tuple[np.ndarray, list]:
+def _stats(texts, lexicon: Lexicon) -> tuple[np.ndarray, list]:
     out, changed_all = np.zeros((len(texts), len(STATS))), []
-    get = known.get
     for row, text in enumerate(texts):
-        words, changed = restorer.words(text or "")
-        if len(known) > 400_000:
-            known.clear()
-        found = []
-        for w in words:
-            x = get(w)
-            if x is None:
-                x = known[w] = float(odds[marks_of(w)].max())
-            if x > 0:
-                found.append(x)
-        found.sort(reverse=True)
+        values, changed = lexicon.read(text or "")
+        found = sorted([x for x in values if x > 0], reverse=True)
         top = (found + [0.0, 0.0, 0.0])[:3]
-        out[row] = [*top, np.log1p(sum(x > 3 for x in found)), np.log1p(len(words))]
+        out[row] = [*top, np.log1p(sum(x > 3 for x in found)), np.log1p(len(values))]
         changed_all.append([{"observed": a, "restored": b} for a, b in changed])
     return out, changed_all
 
@@ -282,9 +298,11 @@ def _stat_udf(spark, key: str, table: np.ndarray, odds: np.ndarray):
 
     @F.pandas_udf("stats array<double>, restored array<struct<observed:string,restored:string>>")
     def stats(texts: pd.Series) -> pd.DataFrame:
-        restorer = _restorer(key, shared.value[0])
-        known = remembered().setdefault(("odds", key), {})
-        x, changed = _stats(texts.tolist(), restorer, shared.value[1], known)
+        held = remembered()
+        if held.get("lexicon", ("", None))[0] != key:
+            odds = shared.value[1]
+            held["lexicon"] = (key, Lexicon(Restorer(shared.value[0]), lambda words: max((float(odds[marks_of(w)].max()) for w in words), default=0.0)))
+        x, changed = _stats(texts.tolist(), held["lexicon"][1])
         return pd.DataFrame({"stats": list(x), "restored": changed})
 
     return stats
@@ -299,28 +317,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = char_model(docs, text_col)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, folds) != held_out)).groupBy(
         F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
+    known = cut(known)
+    n = known.count()
+    # ids and labels only, of a bounded number of rows: the broadcasts below cannot grow
+    known = cut(known.where(_share("id", FIT_ROWS, n)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(table.astype(np.float32))
 
     def count(batches):
-        restorer, seen = _restorer(key, shared.value), np.zeros((2, MARK_BUCKETS), dtype=np.int32)
-        sizes, buckets = np.zeros(2, dtype=np.int64), {}
+        seen, sizes = np.zeros((2, MARK_BUCKETS), dtype=np.int32), np.zeros(2, dtype=np.int64)
+        lexicon = Lexicon(Restorer(shared.value), lambda words: tuple({m for w in words for m in marks_of(w)}))
         for b in batches:
             for text, y in zip(b["text"].tolist(), b["y"].tolist()):
-                held = set()
-                if len(buckets) > 400_000:
-                    buckets.clear()
-                for w in restorer.words(text or "")[0]:
-                    m = buckets.get(w)
-                    if m is None:
-                        m = buckets[w] = marks_of(w)
-                    held.update(m)
+                held = set().union(*lexicon.read(text or "")[0])
                 sizes[y] += 1
                 seen[y, np.fromiter(held, dtype=np.int64, count=len(held))] += 1
         at = np.flatnonzero(seen.any(axis=0))
         yield pd.DataFrame({"slot": np.append(at, -1), "clean": np.append(seen[0, at], sizes[0]), "toxic": np.append(seen[1, at], sizes[1])})
 
-    summed = texts.select("text", "y").mapInPandas(count, "slot long, clean long, toxic long").groupBy("slot").agg(
+    summed = texts.join(F.broadcast(known), "id").select("text", "y").mapInPandas(count, "slot long, clean long, toxic long").groupBy("slot").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("toxic") >= LEAST_TOXIC) | (F.col("slot") < 0)).toPandas()
     sizes = summed[summed["slot"] < 0]
     n_clean, n_toxic = int(sizes["clean"].sum()), int(sizes["toxic"].sum())
@@ -338,11 +353,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not (n_clean and n_toxic):
         return Model(key, table, np.zeros(MARK_BUCKETS), [], share)
     odds = odds_without(0, 0)
-    sample = texts.select("id", "y", "text").orderBy(F.xxhash64(F.lit(6), "id"), "id", "y").limit(CURVE_ROWS)
+    sample = known.where(_share("id", CURVE_ROWS, n))
     parts = []
     for y, own in ((0, (0, 1)), (1, (1, 0))):
         stats = _stat_udf(spark, f"{key}-{y}", table, odds_without(*own))
-        parts.append(sample.where(F.col("y") == y).select("y", stats("text").getField("stats").alias("x")).toPandas())
+        rows = texts.join(F.broadcast(sample.where(F.col("y") == y)), "id")
+        parts.append(rows.select("y", stats("text").getField("stats").alias("x")).toPandas())
     got = pd.concat(parts)
     curve = logistic(np.array(got["x"].tolist()).reshape(len(got), len(STATS)), got["y"].to_numpy(dtype=float))
     return Model(key, table, odds, curve, share)
