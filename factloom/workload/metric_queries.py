@@ -530,14 +530,16 @@ def s18(spark, sf):
 
 
 @register("s14_guideline_rules", r"""
-WITH p AS (SELECT lang, 'intro' || chr(10) || '<guideline>' || chr(10) || string_agg('### ' || n || '. ' || title, chr(10) ORDER BY n) || chr(10) || '</guideline>' AS body FROM (
-  SELECT lang, doc_id AS n, source AS title FROM documents) GROUP BY lang)
-SELECT lang, regexp_extract(h, '###\s*(\d+)', 1) AS rule_id, regexp_extract(h, '\.\s*(.+)$', 1) AS title FROM (SELECT lang, unnest(regexp_extract_all(body, '### \d+\. [^\n]+')) AS h FROM p)""")
+WITH p AS (SELECT doc_id, 'intro' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '<guideline>' || chr(10) END || '### ' || doc_id || '. ' || source || chr(10) || 'text'
+    || chr(10) || '### 7. ' || lang || ' only' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '</guideline>' || chr(10) END || '### 99. outside' || chr(10) AS body FROM documents),
+h AS (SELECT doc_id, unnest(regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN body ELSE split_part(body, '</guideline>', 1) END, '### \d+\. [^\n]+')) AS h FROM p)
+SELECT doc_id, regexp_extract(h, '###\s*(\d+)', 1) AS rule_id, regexp_extract(h, '\.\s*(.+)$', 1) AS title FROM h""")
 def s14(spark, sf):
-    d = table(spark, sf, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "source"))).alias("r"))
-    body = F.concat(F.lit("intro\n<guideline>\n"), F.array_join(F.transform("r", lambda x: F.concat(F.lit("### "), x["doc_id"].cast("string"), F.lit(". "), x["source"])), "\n"),
-                    F.lit("\n</guideline>"))
-    return S.guideline_rules(d.select("lang", body.alias("value"))).select("lang", "rule_id", "title")
+    """One guideline per document, two out of three with a block that leaves the last heading outside."""
+    block = lambda text: F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.lit(text))
+    body = F.concat(F.lit("intro\n"), block("<guideline>\n"), F.lit("### "), F.col("doc_id").cast("string"), F.lit(". "), "source", F.lit("\ntext\n### 7. "), "lang",
+                    F.lit(" only\n"), block("</guideline>\n"), F.lit("### 99. outside\n"))
+    return S.guideline_rules(table(spark, sf, "documents").select("doc_id", body.alias("value"))).select("doc_id", "rule_id", "title")
 
 
 @register("s16_section_prompts", with_sql(SENTENCES_SQL, """

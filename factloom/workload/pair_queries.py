@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from factloom.functions import rules as R
@@ -164,12 +167,12 @@ grams3 AS (SELECT *, {TRIGRAMS_SQL.format(x='la')} AS ta, {TRIGRAMS_SQL.format(x
 measured AS (SELECT *, {JACCARD_SQL} AS overlap, regexp_extract_all(soa, '\d+[,.]?\d*') AS na, regexp_extract_all(sob, '\d+[,.]?\d*') AS nb,
   {_POL.format(x='nla')} AS pa, {_POL.format(x='nlb')} AS pb FROM grams3),
 ruled AS (SELECT *, CASE WHEN status <> 'matched' THEN 'unlabeled' WHEN {redundant} THEN 'redundancy' ELSE 'escalate' END AS l1,
-  CASE WHEN status <> 'matched' THEN 'best partner cosine=' || {_fixed('cosine', 3)} || ' < 0.78'
+  CASE WHEN status <> 'matched' THEN 'best partner cosine=' || {_fixed('cosine', 3)} || CASE WHEN cosine < 0.78 THEN ' < 0.78' ELSE ', assigned elsewhere' END
     WHEN {redundant} THEN 'cos=' || {_fixed('cosine', 3)} || '≥0.95; subj+obj trigram jaccard=' || {_fixed('overlap', 2)} || '≥0.75'
     WHEN {numeric} THEN 'numeric mismatch: A=' || {_quoted('na', '[]')} || '  B=' || {_quoted('nb', '[]')} || '; cos=' || {_fixed('cosine', 3)}
     WHEN {polar} THEN 'polarity asymmetry: A=' || {_quoted('pa', '∅')} || ' B=' || {_quoted('pb', '∅')}
     ELSE 'no rule fired; cos=' || {_fixed('cosine', 3)} || ' overlap=' || {_fixed('overlap', 2)} END AS layer1_reason FROM measured),
-labelled AS (SELECT *, (status = 'matched' AND l1 = 'escalate') AS layer2_called,
+labelled AS MATERIALIZED (SELECT *, (status = 'matched' AND l1 = 'escalate') AS layer2_called,
   CASE WHEN status = 'matched' AND l1 = 'escalate' THEN
     CASE WHEN len(list_distinct(regexp_extract_all(qa || chr(10) || nla || chr(10) || nlb, '\d+[,.]?\d+\s*%'))) >= 2 THEN 'contradiction'
       WHEN contains(lower(qa || chr(10) || nla || chr(10) || nlb), 'split') OR contains(lower(qa || chr(10) || nla || chr(10) || nlb), 'qualified') THEN 'granularity'
@@ -187,6 +190,28 @@ def l2(spark, sf):
     return labelled(spark, sf).select("fact_a_id", "fact_b_id", "conflict_label", "layer2_called", "layer2_reason")
 
 
+REPLAYED = ["CONTRADICTION", "granularity", "Redundancy", "NO_CONFLICT"]
+
+
+def replay(question: str) -> str:
+    """Answers as they were stored once: the digest of the question picks one, every fourth is of no use."""
+    h = hashlib.sha1(question.encode()).hexdigest()
+    d = int(h[0], 16)
+    return (json.dumps({"label": REPLAYED[d % 4], "reason": f" told {h[1]} "}) if d < 12
+            else [" ", "no json", '{"label": "MAYBE"}', '{"reason": "none"}'][d - 12])
+
+
+@register("l2_replayed_answers", with_sql(labelled_sql() + """,
+asked AS (SELECT fact_a_id, fact_b_id, sha1(replace(replace(replace(replace(t.body, '<<DOC_TITLE>>', doc_id), '<<SOURCE_QUOTE>>', qa), '<<FACT_A>>', nla), '<<FACT_B>>', nlb)) AS h
+  FROM labelled, (SELECT '%s' AS body) t WHERE layer2_called),
+told AS (SELECT *, strpos('0123456789abcdef', h[1]) - 1 AS d FROM asked)""" % L.ARBITER_TEMPLATE.replace("'", "''"), """
+SELECT fact_a_id, fact_b_id, CASE WHEN d < 12 THEN ['contradiction', 'granularity', 'redundancy', 'no_conflict'][d % 4 + 1] ELSE 'escalate' END AS conflict_label,
+  CASE WHEN d < 12 THEN 'told ' || h[2] ELSE ['no answer', 'answer is not JSON', 'label not allowed: MAYBE', 'answer has no label'][d - 11] END AS layer2_reason FROM told"""))
+def l2_replayed(spark, sf):
+    out = L.layer2(L.layer1(known_pairs(spark, sf)), replay)
+    return out.where("layer2_called").select("fact_a_id", "fact_b_id", "conflict_label", "layer2_reason")
+
+
 @register("p15_persisted_pairs", with_sql(labelled_sql(), """
 SELECT fact_a_id, fact_b_id, round(cosine, 4) AS cosine, status, conflict_label FROM labelled"""))
 def p15(spark, sf):
