@@ -48,15 +48,20 @@ ENDINGS = {"latin": {"m": "n", "f": "a", "": "l"}, "cyrillic": {"m": "н", "f":
 _ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 _TITLE_GENDER = {t.lower(): g for g, held in TITLES.items() for t in held}
 _NAME = "[^\\W\\d_](?:[^\\W\\d_]|['’-](?=[^\\W\\d_]))+"
-_PATTERNS = [
-    ("secret", re.compile(r"\b(?:AKIA|ASIA)(?=[A-Z0-9]{16}\b)(?P<v>[A-Z0-9]{16})\b")),
-    ("secret", re.compile(r"\b(?i:password|passwd|secret|token|api[_-]?key)\b\s*[:=]\s*[\"']?(?P<v>[^\s\"']{6,})")),
-    ("email", re.compile(r"(?P<v>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})\b")),
+_ACCESS_KEY = re.compile(r"(?:AKIA|ASIA)(?P<v>[A-Z0-9]{16})(?![A-Za-z0-9])")
+_SECRET_WORDS = ("password", "passwd", "secret", "token", "api")
+_SECRET = re.compile(r"\b(?i:password|passwd|secret|token|api[_-]?key)\b\s*[:=]\s*[\"']?(?P<v>[^\s\"']{6,})")
+_EMAIL = re.compile(r"(?P<v>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})\b")
+_EMAIL_BEFORE, _EMAIL_AFTER = 66, 400
+#: Runs of digits and what stands between them; the numeric entities lie inside such runs.
+_RUN = re.compile(r"[\d+(][\d().+ -]{5,}\d")
+_NUMERIC = [
     ("ip", re.compile(r"(?<![\d.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d.]*\d)")),
     ("number", re.compile(r"(?<![\d-])(?P<v>\d{4}(?:[ -]?\d{4}){2}(?:[ -]?\d{1,7}))(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(?P<v>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])(?:\d{2,4}[ .-]){0,3}\d{3,4}|\+\d{8,14})(?![\w])")),
-    ("name", re.compile(rf"\b(?P<t>{'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})\b\.? (?P<v>{_NAME}(?: {_NAME})?)", re.I)),
 ]
+_TITLED = re.compile(rf"(?P<t>{'|'.join(sorted((t for held in TITLES.values() for t in held), key=len, reverse=True))})\.? (?P<v>{_NAME}(?: {_NAME})?)")
+_RANK = {k: i for i, k in enumerate(("secret", "email", "ip", "number", "phone", "name"))}
 
 
 class Keyed:
@@ -166,13 +171,35 @@ def parts_of(kind: str, value: str, title: str) -> list[tuple[str, str]]:
     return [("first", f"{gender}:{canonical('first', f)}") for f in first] + [("last", canonical("last", last))]
 
 
+def _found(text: str):
+    """(kind, match) of everything that looks like an entity; a search runs only where its first sign is there."""
+    if "AKIA" in text or "ASIA" in text:
+        for m in _ACCESS_KEY.finditer(text):
+            if not text[max(0, m.start() - 1) : m.start()].isalnum():
+                yield "secret", m
+    low = text.lower()
+    if any(w in low for w in _SECRET_WORDS):
+        for m in _SECRET.finditer(text):
+            yield "secret", m
+    at = text.find("@")
+    while at >= 0:
+        # the address around this sign: its local part is bounded, and its domain is searched as far as it can reach
+        m = next((m for m in _EMAIL.finditer(text, max(0, at - _EMAIL_BEFORE), at + _EMAIL_AFTER) if m.start() < at < m.end()), None)
+        if m:
+            yield "email", m
+        at = text.find("@", at + 1)
+    for run in _RUN.finditer(text):
+        for kind, pattern in _NUMERIC:
+            for m in pattern.finditer(text, run.start(), min(len(text), run.end() + 1)):
+                yield kind, m
+    for m in _TITLED.finditer(text):
+        if not text[max(0, m.start() - 1) : m.start()].isalnum():
+            yield "name", m
+
+
 def mentions(text: str | None) -> list[tuple[int, int, str, str, str]]:
     """(begin, end, kind, value, title), in order, without overlaps; what begins first, and then the earlier kind, wins."""
-    text = text or ""
-    found = []
-    for rank, (kind, pattern) in enumerate(_PATTERNS):
-        for m in pattern.finditer(text):
-            found.append((m.start("v"), rank, m.end("v"), kind, m["v"], m.groupdict().get("t") or ""))
+    found = [(m.start("v"), _RANK[kind], m.end("v"), kind, m["v"], m["t"] if kind == "name" else "") for kind, m in _found(text or "")]
     out, last = [], 0
     for begin, _, end, kind, value, title in sorted(found):
         if begin < last or kind == "name" and not value[0].isupper():
