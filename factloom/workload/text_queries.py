@@ -91,7 +91,7 @@ cores AS (SELECT raw, dates, CASE
 
 @register("x2_split_entity", with_sql(annotated_sql() + "," + ENTITY_SQL, """
 SELECT sha1(raw) AS surface_sha,
-  coalesce(nullif(trim(array_to_string(kept, ' '), ' ,;:.'), ''), raw) AS core,
+  coalesce(nullif(trim(array_to_string(kept, ' '), ' ,;:.'), ''), trim(raw)) AS core,
   array_to_string(CASE WHEN tail <> '' THEN list_append(dates, tail) ELSE dates END, '|') AS qualifiers FROM cores"""))
 def x2(spark, sf):
     a = annotated_sentences(spark, sf)
