@@ -301,7 +301,8 @@ def _stat_udf(spark, key: str, table: np.ndarray, odds: np.ndarray):
         held = remembered()
         if held.get("lexicon", ("", None))[0] != key:
             odds = shared.value[1]
-            held["lexicon"] = (key, Lexicon(Restorer(shared.value[0]), lambda words: max((float(odds[marks_of(w)].max()) for w in words), default=0.0)))
+            marked = {int(i): float(odds[i]) for i in np.flatnonzero(odds)}
+            held["lexicon"] = (key, Lexicon(Restorer(shared.value[0]), lambda words: max((marked.get(m, 0.0) for w in words for m in marks_of(w)), default=0.0)))
         x, changed = _stats(texts.tolist(), held["lexicon"][1])
         return pd.DataFrame({"stats": list(x), "restored": changed})
 
