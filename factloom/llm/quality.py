@@ -1,9 +1,10 @@
 """Document quality by regularised quadratic discriminant analysis.
 
 Each text becomes a dozen transformed statistics (logs of lengths, of shares of
-characters, of repetition). Class means and covariances come from sums over all
-labelled rows, added up in the tasks and then by Spark; covariances shrink
-towards the pooled one. The Cholesky factors are taken once and travel with the
+characters, of repetition). Class means and covariances come from sums over at
+most ``FIT_ROWS`` labelled rows, added up in the tasks and then by Spark, so that
+their ids fit a broadcast and no text is shuffled; covariances shrink towards
+the pooled one. The Cholesky factors are taken once and travel with the
 scoring task; a score is the logistic of the difference of the two log-densities
 from Mahalanobis distances, plus the log of the prior odds.
 
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import fresh
-from factloom.llm.toxicity import fold
+from factloom.llm.toxicity import labelled
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 SHRINK, RIDGE = 0.15, 1e-4
+#: Labelled rows to learn from, at most, in hash order.
+FIT_ROWS = 60_000
 FEATURES = ("words", "word_length", "distinct", "upper", "digits", "symbols", "stops", "repeats", "top_word", "line_copies",
             "packed", "line_words", "capitals")
 
@@ -114,10 +117,10 @@ class Discriminant:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         folds: int = FOLDS, held_out: int = HELD_OUT) -> Discriminant:
-    """Learn from all rows of ``labels`` whose remainder is not ``held_out``."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, folds) != held_out)).groupBy(
-        F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    return Discriminant(sums(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").select("text", "y")))
+    """Learn from rows of ``labels`` whose remainder is not ``held_out``."""
+    known, _ = labelled(labels, id_col, label_col, folds, held_out, FIT_ROWS)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return Discriminant(sums(texts.join(F.broadcast(known), "id").select("text", "y")))
 
 
 def score(docs: DataFrame, model: Discriminant, text_col: str = "text") -> DataFrame:

@@ -270,11 +270,22 @@ def fold(id_col: str, of: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of))
 
 
-def _share(id_col: str, most: int, n: int) -> Column:
+def share_of(id_col: str, most: int, n: int) -> Column:
     """Rows of least hash, so that about ``most`` of ``n`` stay; by 3 per cent fewer, which chance does not make up for."""
     return F.lit(True) if n <= most else F.pmod(F.xxhash64(F.lit(6), id_col), F.lit(1 << 20)) < int(0.97 * most / n * (1 << 20))
 
 
+def labelled(labels: DataFrame, id_col: str, label_col: str, folds: int, held_out: int, most: int) -> tuple[DataFrame, int]:
+    """(id, y) of at most about ``most`` labelled rows that are not held out, and how many there are in all.
+
+    Ids and labels only, of a bounded number of rows: a broadcast of them cannot grow.
+    """
+    known = cut(labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, folds) != held_out)).groupBy(
+        F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")))
+    n = known.count()
+    return cut(known.where(share_of("id", most, n))), n
+
+
 class Model:
     """What was learned: character table, log-odds of marks, curve."""
 
@@ -316,12 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     spark, key = docs.sparkSession, uuid.uuid4().hex
     table = char_model(docs, text_col)
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, folds) != held_out)).groupBy(
-        F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    known = cut(known)
-    n = known.count()
-    # ids and labels only, of a bounded number of rows: the broadcasts below cannot grow
-    known = cut(known.where(_share("id", FIT_ROWS, n)))
+    known, n = labelled(labels, id_col, label_col, folds, held_out, FIT_ROWS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(table.astype(np.float32))
 
@@ -354,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not (n_clean and n_toxic):
         return Model(key, table, np.zeros(MARK_BUCKETS), [], share)
     odds = odds_without(0, 0)
-    sample = known.where(_share("id", CURVE_ROWS, n))
+    sample = known.where(share_of("id", CURVE_ROWS, n))
     parts = []
     for y, own in ((0, (0, 1)), (1, (1, 0))):
         stats = _stat_udf(spark, f"{key}-{y}", table, odds_without(*own))
