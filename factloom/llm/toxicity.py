@@ -53,6 +53,7 @@ COST_LEET, COST_SAME, COST_DROPPED, COST_REPEAT, COST_KEPT_RUN, COST_GAP = 1.0,
 _TOKEN = re.compile(r"[\w@$!|*+]+")
 _EDGE = re.compile(r"^[!|*+]+|^([@$])\1+|[!|*+]+$|([@$])\2+$")
 _ODD = re.compile(r"[^\W\d_].*[\d@$!|*+]|[\d@$!|*+].*[^\W\d_]|([^\W\d_])\1\1")
+_TRIPLE = re.compile(r"(.)\1\1")
 _MASK = (1 << 64) - 1
 _MUL = 0x9E3779B97F4A7C15
 _SALT = 0x632BE59BD9B4E019
@@ -232,6 +233,9 @@ class Lexicon:
             self.changed.clear()
         for t in tokens:
             if t not in known:
+                if t.isalpha() and not _TRIPLE.search(t):  # nothing to restore
+                    known[t] = self.value((t,))
+                    continue
                 got = self.restorer.word(t)
                 known[t] = self.value(got.split())
                 if got != _EDGE.sub("", t):
