@@ -3,8 +3,9 @@
 Every item gets a 64-bit SimHash of its word pairs. Documents slide windows of the
 items' own sizes: the per-bit votes of all pairs are summed up once per document,
 so a window's fingerprint is a difference of two rows. Item sizes are gathered in
-classes a few per cent apart, and windows step by a small part of their size, so
-one window is always nearly in place. A multi-index over blocks of the
+classes a few per cent apart, and windows step by a small part of their size from
+the first word of each document on, with one more window at its end, so one
+window is always nearly in place. A multi-index over blocks of the
 fingerprint finds, by the pigeonhole principle, every item of the class within
 the radius. Survivors are moved over the words around them and verified by the
 exact weighted Jaccard similarity of their word shingles with the item's; a
@@ -54,12 +55,21 @@ def votes(pairs: np.ndarray, kind: type) -> np.ndarray:
     return out
 
 
-def fingerprints(sums: np.ndarray, kind: type, size: int, step: int) -> np.ndarray:
-    """SimHash of the windows of ``size`` pairs that begin at every ``step``-th pair."""
-    ones = np.ascontiguousarray(sums[size::step] - sums[: len(sums) - size : step]).view(kind)
+def fingerprints(sums: np.ndarray, kind: type, size: int, starts: np.ndarray) -> np.ndarray:
+    """SimHash of the windows of ``size`` pairs that begin at ``starts``."""
+    ones = (sums[starts + size] - sums[starts]).view(kind)
     return np.packbits(ones.reshape(-1) > size // 2, bitorder="little").view("<u8")
 
 
+def grid(begins: np.ndarray, lengths: np.ndarray, size: int, step: int) -> np.ndarray:
+    """First words of the windows of ``size`` words: every ``step`` words from each text's begin, and the last one of each text."""
+    fits = lengths >= size
+    begins, last = begins[fits], lengths[fits] - size
+    each = -(-last // step) + 1
+    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    return np.repeat(begins, each) + np.minimum(at * step, np.repeat(last, each))
+
+
 class Index:
     """Items of one slice: by size class a multi-index of fingerprints, and their weighted shingles."""
 
@@ -96,7 +106,7 @@ class Index:
     @staticmethod
     def _print(hashes: np.ndarray) -> int:
         pairs = shingles(hashes, 2)
-        return int(fingerprints(votes(pairs, np.uint32), np.uint32, len(pairs), 1)[0])
+        return int(fingerprints(votes(pairs, np.uint32), np.uint32, len(pairs), np.array([0]))[0])
 
     def _tables(self, prints: np.ndarray, blocks: int) -> list[np.ndarray]:
         """For each block, which of its values lie near enough to an item's: whoever differs in at most ``radius``
@@ -134,19 +144,17 @@ class Index:
         doc_of = np.repeat(np.arange(len(words)), lengths)
         pairs = shingles(flat, 2)
         most = max(c[0] for c in self.classes)
+        longer = [(begins[lengths > size], lengths[lengths > size]) for size, *_ in self.classes]
+        grids = [grid(*of, max(2, size), step) for of, (size, step, *_) in zip(longer, self.classes)]
         for lo in range(0, len(pairs), BLOCK):
-            part = pairs[lo : lo + BLOCK + most]
-            sums = votes(part, self.kind)
-            for size, step, held, prints, tables in self.classes:
-                wide = max(1, size - 1)
-                if wide > len(part):
+            sums = votes(pairs[lo : lo + BLOCK + most], self.kind)
+            for (size, _, held, prints, tables), starts in zip(self.classes, grids):
+                starts = starts[slice(*np.searchsorted(starts, [lo, lo + BLOCK]))]
+                if not len(starts):
                     continue
-                for w, i in self._near(fingerprints(sums, self.kind, wide, step), prints, tables):
-                    first = lo + w * step
-                    inside = doc_of[first] == doc_of[np.minimum(first + size - 1, len(flat) - 1)]
-                    if inside.any():
-                        first, i = first[inside], i[inside]
-                        yield doc_of[first], held[i], first - begins[doc_of[first]], size
+                for w, i in self._near(fingerprints(sums, self.kind, max(1, size - 1), starts - lo), prints, tables):
+                    first = starts[w]
+                    yield doc_of[first], held[i], first - begins[doc_of[first]], size
         for size, _, held, prints, _ in self.classes:  # a text not longer than the window is one window, if long enough to match
             for d in np.flatnonzero((lengths <= size) & (lengths > 0) & (lengths >= self.similarity * size - self.n)).tolist():
                 got = np.array([self._print(words[d])], dtype=np.uint64)

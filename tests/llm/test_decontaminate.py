@@ -67,3 +67,28 @@ def test_blocks_find_everything_within_the_radius(rng):
     got = np.array(got, dtype=np.uint64)
     found = {(int(w), int(i)) for ws, js in index._near(got, prints, tables) for w, i in zip(ws, js)}
     assert found == {(w, i) for w in range(len(got)) for i in range(len(prints)) if bin(int(got[w]) ^ int(prints[i])).count("1") <= 7}
+
+
+def test_windows_start_anew_in_every_document(rng):
+    sizes = [s for s in (20, 40, 58, 120, 500) for _ in range(3)]
+    items = [prose(rng, s) for s in sizes]
+    index = D.Index(list(range(len(items))), items, 5, 0.8, D.RADIUS, D.BLOCKS)
+    docs = [(None, prose(rng, rng.randrange(3, 200))) for _ in range(60)]
+    for i, (item, size) in enumerate(zip(items, sizes)):
+        for more in range(round(size / D.STEP) + 1):
+            before = rng.randrange(more + 1)
+            docs.append((i, " ".join([prose(rng, before), item, prose(rng, more - before)]).strip()))
+    for _ in range(3):
+        rng.shuffle(docs)
+        for at in range(0, len(docs), 64):
+            part = docs[at : at + 64]
+            for (i, _), found in zip(part, index.hits(text_words([t for _, t in part]))):
+                assert i is None or any(h[0] == i and h[1] > 0.999 for h in found)
+
+
+def test_grid_of_windows():
+    import numpy as np
+
+    got = D.grid(np.array([0, 7, 9, 9]), np.array([7, 2, 0, 5]), 4, 2)
+    assert got.tolist() == [0, 2, 3, 9, 10]
+    assert D.grid(np.array([0]), np.array([3]), 4, 2).tolist() == []
