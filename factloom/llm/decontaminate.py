@@ -8,8 +8,10 @@ the first word of each document on, with one more window at its end, so one
 window is always nearly in place. A multi-index over blocks of the
 fingerprint finds, by the pigeonhole principle, every item of the class within
 the radius. Survivors are moved over the words around them and verified by the
-exact weighted Jaccard similarity of their word shingles with the item's; a
-shingle that several items share weighs less.
+exact Jaccard similarity of their word shingles with the item's, plain or
+weighted, whichever is greater; in the weighted one a shingle that several
+distinct items share weighs less. Those counts are taken once over all items, so
+neither copies of an item nor the slices below change a similarity.
 
 The items travel to the tasks in slices of at most ``SLICE`` items, one pass over
 the documents for each slice. Documents are never shuffled.
@@ -73,7 +75,9 @@ def grid(begins: np.ndarray, lengths: np.ndarray, size: int, step: int) -> np.nd
 class Index:
     """Items of one slice: by size class a multi-index of fingerprints, and their weighted shingles."""
 
-    def __init__(self, ids: list, texts: list[str | None], n: int, similarity: float, radius: int, blocks: int):
+    def __init__(self, ids: list, texts: list[str | None], n: int, similarity: float, radius: int, blocks: int,
+                 shared: tuple[np.ndarray, np.ndarray] | None = None):
+        """``shared`` as from ``shared_shingles``; without it, these items are all there are."""
         self.n, self.similarity, self.radius = n, similarity, radius
         hashed = text_words(texts)
         keep = [i for i, h in enumerate(hashed) if len(h)]
@@ -82,9 +86,16 @@ class Index:
             return
         self.ids, self.words = [ids[i] for i in keep], [hashed[i] for i in keep]
         self.shingles = [Counter(shingles(h, n).tolist()) for h in self.words]
-        shared = Counter(x for s in self.shingles for x in s)
-        self.weight = {x: 1.0 / c for x, c in shared.items()}
-        self.total = [sum(self.weight[x] * k for x, k in s.items()) for s in self.shingles]
+        if shared is None:
+            distinct = {h.tobytes(): s for h, s in zip(self.words, self.shingles)}
+            counts = Counter(x for s in distinct.values() for x in s)
+            held = sorted(x for x, c in counts.items() if c > 1)
+            shared = np.array(held, dtype=np.uint64), np.array([counts[x] for x in held], dtype=np.int64)
+        self.shared = shared
+        self.total = []
+        for s in self.shingles:
+            weight = self.weights(np.fromiter(s, dtype=np.uint64, count=len(s)))
+            self.total.append(float(weight @ np.fromiter(s.values(), dtype=np.int64, count=len(s))))
         sizes = sorted({len(h) for h in self.words})
         self.classes, members = [], {}
         while sizes:
@@ -103,6 +114,16 @@ class Index:
         longest = max(members)
         self.kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
 
+    def weights(self, grams: np.ndarray) -> np.ndarray:
+        """1 / number of distinct items that hold a shingle; 1 also if none does."""
+        keys, counts = self.shared
+        out = np.ones(len(grams))
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            known = keys[at] == grams
+            out[known] /= counts[at[known]]
+        return out
+
     @staticmethod
     def _print(hashes: np.ndarray) -> int:
         pairs = shingles(hashes, 2)
@@ -161,33 +182,35 @@ class Index:
                 for _, i in self._near(got, prints, None):
                     yield np.full(len(i), d), held[i], np.zeros(len(i), dtype=np.int64), int(lengths[d])
 
-    def best(self, item: int, hashes: np.ndarray, grams: np.ndarray, at: int, size: int) -> tuple[float, int, int]:
+    def best(self, item: int, hashes: np.ndarray, grams: np.ndarray, weights: np.ndarray, at: int, size: int) -> tuple[float, int, int]:
         """(similarity, first word, words) of the most similar item-sized window at most a step away from ``at``."""
         own, total, length = self.shingles[item], self.total[item], len(self.words[item])
         k = min(self.n, len(hashes))
         reach = max(1, round(size / STEP)) + abs(length - size) + 1
         first, end = max(0, at - reach), min(len(hashes), at + max(size, length) + reach)
         span = min(length, end - first) - k + 1
-        near = grams[first : end - k + 1].tolist()
-        most = sum([self.weight[x] for x in near if x in own])
-        if most < self.similarity * total - 1e-9:
+        near, weight = grams[first : end - k + 1].tolist(), weights[first : end - k + 1].tolist()
+        n_own = sum(own.values())
+        known = [x in own for x in near]
+        if sum(known) < self.similarity * n_own - 1e-9 and sum([w for w, x in zip(weight, known) if x]) < self.similarity * total - 1e-9:
             return 0.0, first, 0
-        weight = [self.weight.get(x, 1.0) for x in near]
-        count, inter, sum_ = Counter(), 0.0, 0.0
+        count, same, inter, sum_ = Counter(), 0, 0.0, 0.0
         top = (0.0, first, min(length, end - first))
         for j, x in enumerate(near):
             sum_ += weight[j]
             count[x] += 1
             if count[x] <= own[x]:
+                same += 1
                 inter += weight[j]
             if j >= span:
                 y = near[j - span]
                 sum_ -= weight[j - span]
                 if count[y] <= own[y]:
+                    same -= 1
                     inter -= weight[j - span]
                 count[y] -= 1
             if j >= span - 1:
-                got = inter / max(sum_ + total - inter, 1e-12)
+                got = max(inter / max(sum_ + total - inter, 1e-12), same / max(span + n_own - same, 1))
                 if got > top[0] + 1e-12:
                     top = (got, first + j - span + 1, min(length, end - first))
         return top
@@ -204,8 +227,9 @@ class Index:
                         continue
                     tried.add((d, item, at // reach))
                     if d not in grams:
-                        grams[d] = shingles(words[d], self.n)
-                    got = self.best(item, words[d], grams[d], at, size)
+                        held = shingles(words[d], self.n)
+                        grams[d] = held, self.weights(held)
+                    got = self.best(item, words[d], *grams[d], at, size)
                     if got[0] >= self.similarity - 1e-9 and got[0] > out[d].get(item, (0.0,))[0]:
                         out[d][item] = got
         return [[(i, *found[i]) for i in sorted(found)] for found in out]
@@ -223,10 +247,31 @@ def _slices(items: DataFrame, id_col: str, text_col: str, most: int):
             yield [r[0] for r in part], [r[1] for r in part]
 
 
+def shared_shingles(items: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several distinct items hold, sorted, and how many do; items of the same words count once."""
+
+    def held(batches):
+        import hashlib
+
+        for b in batches:
+            words = [h for h in text_words(b["text"].tolist()) if len(h)]
+            grams = [np.unique(shingles(h, n)).view(np.int64) for h in words]
+            keys = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in words]
+            yield pd.DataFrame({"item": [k for k, g in zip(keys, grams) for _ in range(len(g))],
+                                "shingle": np.concatenate([*grams, np.empty(0, dtype=np.int64)])})
+
+    rows = items.select(F.col(text_col).alias("text")).where("text is not null").mapInPandas(held, "item binary, shingle long")
+    got = rows.distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toPandas()
+    keys, counts = got["shingle"].to_numpy(dtype=np.int64).view(np.uint64), got["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 HITS = "array<struct<item:int,similarity:double,first_word:int,words:int>>"
 
 
-def _matcher(spark, ids, texts, n, similarity, radius, blocks):
+def _matcher(spark, ids, texts, n, similarity, radius, blocks, counts):
+    """``counts`` is a broadcast of ``shared_shingles``."""
     import uuid
 
     key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast((ids, texts))
@@ -235,7 +280,7 @@ def _matcher(spark, ids, texts, n, similarity, radius, blocks):
     def match(column: pd.Series) -> pd.Series:
         held = remembered()
         if held.get("items", ("",))[0] != key:
-            held["items"] = (key, Index(*shared.value, n, similarity, radius, blocks))
+            held["items"] = (key, Index(*shared.value, n, similarity, radius, blocks, counts.value))
         index, out = held["items"][1], []
         for at in range(0, len(column), 64):
             for found in index.hits(text_words(column.iloc[at : at + 64].tolist())):
@@ -250,9 +295,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """(doc_id, item_id, similarity, first_word, words): the best window of each item found in each document."""
     spark, out = docs.sparkSession, None
     kind = items.schema[item_id].dataType.simpleString()
+    counts = spark.sparkContext.broadcast(shared_shingles(items, item_text, n))
     for ids, texts in _slices(items, item_id, item_text, SLICE):
-        index = Index(ids, texts, n, similarity, radius, blocks)
-        match = _matcher(spark, ids, texts, n, similarity, radius, blocks)
+        index = Index(ids, texts, n, similarity, radius, blocks, counts.value)
+        match = _matcher(spark, ids, texts, n, similarity, radius, blocks, counts)
         named = F.array(*[F.lit(i).cast(kind) for i in index.ids]) if len(index.ids) <= 64 else None
         hits = docs.select(F.col(id_col).alias("doc_id"), F.explode(match(F.col(text_col))).alias("h"))
         hits = hits.select("doc_id", F.col("h.item").alias("at"), "h.similarity", "h.first_word", "h.words")
@@ -270,9 +316,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
           n: int = N, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    out = docs
+    out, counts = docs, docs.sparkSession.sparkContext.broadcast(shared_shingles(items, item_text, n))
     for ids, texts in _slices(items, item_id, item_text, SLICE):
         (name,) = fresh(out, "item_hits")
-        match = _matcher(docs.sparkSession, ids, texts, n, similarity, radius, blocks)
+        match = _matcher(docs.sparkSession, ids, texts, n, similarity, radius, blocks, counts)
         out = out.withColumn(name, F.size(match(F.col(text_col)))).where(F.col(name) == 0).drop(name)
     return out.select(*docs.columns)

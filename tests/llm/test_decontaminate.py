@@ -92,3 +92,27 @@ def test_grid_of_windows():
     got = D.grid(np.array([0, 7, 9, 9]), np.array([7, 2, 0, 5]), 4, 2)
     assert got.tolist() == [0, 2, 3, 9, 10]
     assert D.grid(np.array([0]), np.array([3]), 4, 2).tolist() == []
+
+
+def test_copies_templates_and_slices_do_not_change_a_similarity(make_docs, spark, rng, monkeypatch):
+    base, other, head = prose(rng, 60).split(), prose(rng, 60), prose(rng, 50).split()
+    templated = [" ".join(head[:25] + [f"slot{i}"] + head[25:]) for i in range(8)]
+    items = [" ".join(base)] * 10 + [other] + templated
+    near = " ".join([*base[:30], "changed", *base[31:]])
+    from_template = " ".join(head[:25] + ["slotx"] + head[25:])
+    docs = make_docs([near, other, from_template])
+
+    def found(rows):
+        bench = spark.createDataFrame(list(enumerate(rows)), "item_id long, text string")
+        return {(r.doc_id, r.item_id): round(r.similarity, 9) for r in D.leaks(docs, bench).collect()}
+
+    alone = found(items[9:11])
+    got = found(items)
+    plain = 51 / 61  # of 56 shingles five hold the changed word
+    assert abs(alone[0, 0] - plain) < 1e-6
+    assert got[1, 10] == 1.0 and all(got[0, i] == alone[0, 0] for i in range(10))
+    assert all((2, 11 + i) in got and got[2, 11 + i] >= 0.8 for i in range(8))
+    monkeypatch.setattr(D, "SLICE", 4)
+    assert found(items) == got
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert D.clean(docs, bench).count() == 0
