@@ -5,8 +5,8 @@ documents: words are counted first, so its input grows with the corpus, and the
 n-grams fall into a table of fixed size. Tokens that look disguised (letters
 mixed with digits or symbols, long repetitions, letters spaced out) span a
 lattice of readings, and a Viterbi search over the last three characters finds
-the likeliest one. Restored words and their prefixes then carry log-odds learned
-from labelled documents; a logistic curve over the strongest of them gives the
+the likeliest one. Restored words and their prefixes, each known by 64 bits of its
+own, then carry log-odds learned from labelled documents; a logistic curve over the strongest of them gives the
 score.
 
 Labels are learned from rows whose crc32 remainder is not held out, at most
@@ -35,7 +35,8 @@ from factloom.llm.common import cut, fresh, remembered
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 MODEL_BUCKETS = 1 << 19
-MARK_BUCKETS = 1 << 20
+#: Marks that a task counts before it hands them on.
+MARKS_HELD = 1 << 19
 #: Labelled rows to learn log-odds from, and of these to fit the curve on, at most.
 FIT_ROWS, CURVE_ROWS = 60_000, 20_000
 #: A mark needs as many toxic documents.
@@ -245,11 +246,11 @@ class Lexicon:
 
 
 def marks_of(word: str) -> list[int]:
-    """Buckets of a word and of its first three, four and five characters."""
+    """64-bit hashes of a word and of its first three, four and five characters."""
     import xxhash
 
     h = xxhash.xxh64_intdigest
-    return [h(word) % MARK_BUCKETS, *(h(f"{k}\x00{word[:k]}") % MARK_BUCKETS for k in (3, 4, 5) if len(word) > k)]
+    return [h(word), *(h(f"{k}\x00{word[:k]}") for k in (3, 4, 5) if len(word) > k)]
 
 
 def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -293,7 +294,7 @@ def labelled(labels: DataFrame, id_col: str, label_col: str, folds: int, held_ou
 class Model:
     """What was learned: character table, log-odds of marks, curve."""
 
-    def __init__(self, key: str, table: np.ndarray, odds: np.ndarray, curve: list[float], share: float):
+    def __init__(self, key: str, table: np.ndarray, odds: dict[int, float], curve: list[float], share: float):
         self.key, self.table, self.odds, self.curve, self.share = key, table, odds, curve, share
 
 
@@ -308,15 +309,14 @@ def _stats(texts, lexicon: Lexicon) -> tuple[np.ndarray, list]:
     return out, changed_all
 
 
-def _stat_udf(spark, key: str, table: np.ndarray, odds: np.ndarray):
-    shared = spark.sparkContext.broadcast((table.astype(np.float32), odds.astype(np.float32)))
+def _stat_udf(spark, key: str, table: np.ndarray, odds: dict[int, float]):
+    shared = spark.sparkContext.broadcast((table.astype(np.float32), odds))
 
     @F.pandas_udf("stats array<double>, restored array<struct<observed:string,restored:string>>")
     def stats(texts: pd.Series) -> pd.DataFrame:
         held = remembered()
         if held.get("lexicon", ("", None))[0] != key:
-            odds = shared.value[1]
-            marked = {int(i): float(odds[i]) for i in np.flatnonzero(odds)}
+            marked = shared.value[1]
             held["lexicon"] = (key, Lexicon(Restorer(shared.value[0]), lambda words: max((marked.get(m, 0.0) for w in words for m in marks_of(w)), default=0.0)))
         x, changed = _stats(texts.tolist(), held["lexicon"][1])
         return pd.DataFrame({"stats": list(x), "restored": changed})
@@ -336,33 +336,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(table.astype(np.float32))
 
     def count(batches):
-        seen, sizes = np.zeros((2, MARK_BUCKETS), dtype=np.int32), np.zeros(2, dtype=np.int64)
+        seen, sizes = ({}, {}), [0, 0]
+
+        def rows():
+            marks = list(seen[0].keys() | seen[1].keys())
+            out = pd.DataFrame({"known": True, "mark": np.array(marks, dtype=np.uint64).view(np.int64),
+                                "clean": [seen[0].get(m, 0) for m in marks], "toxic": [seen[1].get(m, 0) for m in marks]})
+            for held in seen:
+                held.clear()
+            return out
+
         lexicon = Lexicon(Restorer(shared.value), lambda words: tuple({m for w in words for m in marks_of(w)}))
         for b in batches:
             for text, y in zip(b["text"].tolist(), b["y"].tolist()):
-                held = set().union(*lexicon.read(text or "")[0])
                 sizes[y] += 1
-                seen[y, np.fromiter(held, dtype=np.int64, count=len(held))] += 1
-        at = np.flatnonzero(seen.any(axis=0))
-        yield pd.DataFrame({"slot": np.append(at, -1), "clean": np.append(seen[0, at], sizes[0]), "toxic": np.append(seen[1, at], sizes[1])})
-
-    summed = texts.join(F.broadcast(known), "id").select("text", "y").mapInPandas(count, "slot long, clean long, toxic long").groupBy("slot").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("toxic") >= LEAST_TOXIC) | (F.col("slot") < 0)).toPandas()
-    sizes = summed[summed["slot"] < 0]
+                own = seen[y]
+                for m in set().union(*lexicon.read(text or "")[0]):
+                    own[m] = own.get(m, 0) + 1
+                if len(own) > MARKS_HELD:
+                    yield rows()
+        yield rows()
+        yield pd.DataFrame({"known": [False], "mark": [0], "clean": [sizes[0]], "toxic": [sizes[1]]})
+
+    summed = texts.join(F.broadcast(known), "id").select("text", "y").mapInPandas(count, "known boolean, mark long, clean long, toxic long").groupBy(
+        "known", "mark").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(
+        (F.col("toxic") >= LEAST_TOXIC) | ~F.col("known")).toPandas()
+    known_marks = summed["known"].to_numpy(dtype=bool)
+    sizes = summed[~known_marks]
     n_clean, n_toxic = int(sizes["clean"].sum()), int(sizes["toxic"].sum())
     share = n_toxic / max(n_clean + n_toxic, 1)
-    rows = summed[summed["slot"] >= 0]
-    slots, toxic, clean = (rows[c].to_numpy(dtype=np.int64) for c in ("slot", "toxic", "clean"))
+    rows = summed[known_marks]
+    marks, toxic, clean = (rows[c].to_numpy(dtype=np.int64) for c in ("mark", "toxic", "clean"))
+    marks = marks.view(np.uint64)
 
-    def odds_without(own_toxic: int, own_clean: int) -> np.ndarray:
-        out = np.zeros(MARK_BUCKETS)
+    def odds_without(own_toxic: int, own_clean: int) -> dict[int, float]:
         t, c = toxic - own_toxic + 0.5, np.maximum(clean - own_clean, 0) + 0.5
         sure = np.log(t / (n_toxic + 1)) - np.log(c / (n_clean + 1)) - 1.6 * np.sqrt(1 / t + 1 / c)
-        out[slots] = np.where(t > LEAST_TOXIC, np.maximum(sure, 0), 0)
-        return out
+        keep = (t > LEAST_TOXIC) & (sure > 0)
+        return dict(zip(marks[keep].tolist(), sure[keep].tolist()))
 
     if not (n_clean and n_toxic):
-        return Model(key, table, np.zeros(MARK_BUCKETS), [], share)
+        return Model(key, table, {}, [], share)
     odds = odds_without(0, 0)
     sample = known.where(share_of("id", CURVE_ROWS, n))
     parts = []

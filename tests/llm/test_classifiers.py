@@ -44,6 +44,27 @@ def test_toxicity(corpus):
     assert kept.columns == docs.columns and kept.count() == sum(x < 0.3 for x in [r["_score"] for r in rows])
 
 
+def test_unseen_words_take_no_odds_of_others(corpus, make_docs):
+    import itertools
+
+    import xxhash
+
+    wanted, strangers = {xxhash.xxh64_intdigest(w) % (1 << 20): w for w in BAD}, {}
+    for letters in itertools.product("bcdfghjklmnpqrstvwxz", repeat=6):
+        word = "".join(letters)
+        at = xxhash.xxh64_intdigest(word) % (1 << 20)
+        if at in wanted:
+            strangers.setdefault(wanted[at], word)
+            if len(strangers) == len(BAD):
+                break
+    docs, labels, _, _ = corpus
+    model = toxicity.fit(docs, labels)
+    assert not any(m in model.odds for w in strangers.values() for m in toxicity.marks_of(w)) and all(toxicity.marks_of(w)[0] in model.odds for w in BAD)
+    rows = toxicity.score(make_docs([" ".join(["plain", *words, "text"]) for words in (strangers.values(), BAD, [])]), model).orderBy("doc_id").collect()
+    assert rows[0]["_score"] < 0.3 <= rows[1]["_score"]
+    assert abs(rows[0]["_score"] - rows[2]["_score"]) < 0.1
+
+
 def test_toxicity_without_labels(make_docs, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["_score"] for r in toxicity.score(make_docs(["a", None]), toxicity.fit(make_docs(["a", None]), none)).collect()] == [0.0, 0.0]
