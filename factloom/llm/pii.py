@@ -11,7 +11,9 @@ script, first names with an ending of the gender that the title shows.
 Permutations cannot tell whether a surrogate is somebody else's real value, and
 names may coincide, so distinct entities are checked against each other by joins:
 whoever hits a real value, or a surrogate that a smaller entity has, tries again
-under another tweak until none is left. Texts are rewritten where they lie; only
+under another tweak until none is left. An entity that ``MOST_TRIES`` tries could
+not help, as its format has too few values, gets a longer surrogate, an address
+one of the reserved range; further tries lengthen it further. Texts are rewritten where they lie; only
 entities with a tweak, usually none, are joined back.
 
 Defined cases: null and empty texts stay as they are and have no entities; equal
@@ -65,10 +67,10 @@ _RANK = {k: i for i, k in enumerate(("secret", "email", "ip", "number", "phone",
 
 
 class Keyed:
-    """Keyed numbers and permutations."""
+    """Keyed numbers and permutations; after ``most`` tries surrogates grow."""
 
-    def __init__(self, key: bytes):
-        self.key = key
+    def __init__(self, key: bytes, most: int = MOST_TRIES):
+        self.key, self.most = key, most
 
     def number(self, *parts) -> int:
         said = "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")
@@ -126,8 +128,29 @@ def canonical(kind: str, text: str) -> str:
     return text.lower() if kind in ("email", "first", "last") else text
 
 
+def longer(keyed: Keyed, kind: str, value: str, tries: int, letters: str) -> str:
+    """Keyed characters that a surrogate is lengthened by after so many tries; each four tries one more."""
+    n, out = keyed.number("longer", kind, value, tries), ""
+    for _ in range(2 + (tries - keyed.most) // 4):
+        n, at = divmod(n, len(letters))
+        out += letters[at]
+    return out
+
+
 def surrogate(keyed: Keyed, kind: str, value: str, tries: int = 0) -> str:
     """The canonical surrogate of a canonical value. First names are ``gender:name``."""
+    if tries > keyed.most and kind not in ("first", "last"):  # names grow by themselves
+        if kind == "ip":
+            n = keyed.number("reserved", value, tries)
+            parts = [240 + n % 16, *(n >> 8 * k & 255 for k in range(1, 4))]
+            # should the reserved range be full as well, more octets make room
+            parts += [n >> 8 * k & 255 for k in range(4, 3 + (tries - 1) // keyed.most)]
+            return ".".join(map(str, parts))
+        new, more = surrogate(keyed, kind, value), longer(keyed, kind, value, tries, ALPHABETS[kind in ("email", "secret")])
+        if kind == "number":
+            shift = int(value[-1]) - luhn(value[:-1])
+            return new[:-1] + more + str((luhn(new[:-1] + more) + shift) % 10)
+        return new.replace("@", more + "@", 1) if kind == "email" else new + more
     if kind == "number":
         body = keyed.reshape(value[1:-1], kind, tries)
         shift = int(value[-1]) - luhn(value[:-1])
@@ -216,7 +239,7 @@ def dressed(kind: str, text: str, new: str) -> str:
     """A canonical surrogate in the format of the mention."""
     if kind in ("phone", "number"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in text)
+        return "".join([next(digits) if c.isdigit() else c for c in text] + list(digits))
     if kind == "email":
         if len(text) == len(new):
             return "".join(n.upper() if c.isupper() else n for c, n in zip(text, new))
@@ -241,7 +264,7 @@ def rewrite(keyed: Keyed, text: str | None, tries: dict[tuple[str, str], int] |
     return "".join(out) + text[at:], done
 
 
-def colliding(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+def colliding(docs: DataFrame, key: bytes, text_col: str = "text", most: int = MOST_TRIES) -> DataFrame:
     """(kind, value, tries) of the distinct entities that need a tweak: those whose first surrogates are a real value or taken."""
 
     def held(batches):
@@ -250,7 +273,7 @@ def colliding(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
 
     def named(batches):
-        keyed = Keyed(key)
+        keyed = Keyed(key, most)
         for b in batches:
             b["new"] = [surrogate(keyed, k, v, t) for k, v, t in zip(b["kind"], b["value"], b["tries"])]
             yield b
@@ -266,16 +289,13 @@ def colliding(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
         wrong = cut(marked.where("real or value > least").select("kind", "value", (F.col("tries") + 1).alias("tries")))
         if wrong.isEmpty():
             return now.where("tries > 0").select("kind", "value", "tries")
-        if wrong.where(F.col("tries") > MOST_TRIES).limit(1).count():
-            # a tiny domain whose values are all real, such as one-digit octets: they stay permuted among themselves
-            return now.where("tries > 0").select("kind", "value", "tries")
         now = cut(now.join(wrong.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(wrong.mapInPandas(named, schema)))
 
 
-def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+def replace(docs: DataFrame, key: bytes, text_col: str = "text", most: int = MOST_TRIES) -> DataFrame:
     """``docs`` with the text rewritten, and ``entities`` (kind, original, surrogate) added, underscores in front if taken."""
     entities, got, extra, t1, t2, e1, e2 = fresh(docs, "entities", "pii_rewritten", "pii_tries", "pii_t1", "pii_t2", "pii_e1", "pii_e2")
-    tweaked = cut(colliding(docs, key, text_col))
+    tweaked = cut(colliding(docs, key, text_col, most))
     tries = "array<struct<kind:string,value:string,tries:int>>"
     if tweaked.isEmpty():
         out = docs.withColumn(extra, F.array().cast(tries))
@@ -295,7 +315,7 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("text string, entities array<struct<kind:string,original:string,surrogate:string>>")
     def rewritten(texts: pd.Series, tweaks: pd.Series) -> pd.DataFrame:
-        keyed, rows = Keyed(key), []
+        keyed, rows = Keyed(key, most), []
         for text, tweak in zip(texts, tweaks):
             known = {(t["kind"], t["value"]): t["tries"] for t in tweak} if tweak is not None else {}
             new, done = rewrite(keyed, text, known)

@@ -64,3 +64,27 @@ def test_collisions_try_again(make_docs):
     assert [(r.kind, r.value, r.tries) for r in pii.colliding(docs, KEY).collect()] == [("email", "anna@ex.com", 1)]
     entities = pii.replace(docs, KEY).first().entities
     assert entities[0].surrogate not in (taken, "anna@ex.com") and len({e.surrogate for e in entities}) == 2
+
+
+def test_full_formats_get_longer_surrogates(make_docs):
+    letters = [f"{c}@gmail.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    docs = make_docs([*letters, "password=****** and token: ------", "token=******"])
+    found = [e for r in pii.replace(docs, KEY, most=2).collect() for e in r.entities]
+    new = {(e.kind, e.original): e.surrogate for e in found}
+    assert len(new) == 28 and len(set(new.values())) == 28
+    assert not set(new.values()) & {original for _, original in new}
+
+
+def test_longer_surrogates():
+    keyed = pii.Keyed(KEY)
+    for kind, value in (("phone", "5551234"), ("number", "4539148803436467"), ("secret", "******"), ("email", "a@gmail.com"), ("ip", "192.168.1.7")):
+        got = [pii.surrogate(keyed, kind, value, t) for t in range(pii.MOST_TRIES + 1, pii.MOST_TRIES + 30)]
+        assert len(set(got)) == len(got) and value not in got
+        if kind == "ip":
+            assert all(240 <= int(g.split(".")[0]) <= 255 and g.count(".") == 3 for g in got)
+        else:
+            assert len(got[0]) == len(value) + 2 and len(got[-1]) > len(got[0])
+        if kind == "number":
+            assert all(pii.luhn(g[:-1]) == int(g[-1]) for g in got)
+    assert pii.surrogate(keyed, "ip", "192.168.1.7", 3 * pii.MOST_TRIES + 1).count(".") > 3
+    assert pii.dressed("phone", "555-1234", "123456789") == "123-456789"
