@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import fact
+from facts import fact
 from factloom.operators import align as A
 from factloom.operators import encode as E
 from factloom.operators import entities as N

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import fact
+from facts import fact
 from factloom import schema as S
 from factloom.operators import graph as G
 from factloom.operators import metrics as M

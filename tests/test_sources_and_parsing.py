@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import FACT_DDL, fact
+from facts import FACT_DDL, fact
 from factloom.operators import extract as X
 from factloom.operators import html as H
 from factloom.operators import parsing as P

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import fact
+from facts import fact
 from factloom.functions import rules as R
 from factloom.functions import text as T
 from factloom.operators import label as L
@@ -80,7 +80,7 @@ def test_overlap_edge_cases(spark):
 def matched(spark, a, b, cosine, status="matched"):
     cols = "guideline_version string, doc_id string, fact_a_id string, fact_b_id string, cosine double, status string"
     pairs = spark.createDataFrame([("v1", "d1", a and a["fact_id"], b and b["fact_id"], cosine, status)], cols)
-    from conftest import FACT_DDL
+    from facts import FACT_DDL
     facts = spark.createDataFrame([f for f in (a, b) if f], FACT_DDL)
     return L.layer1(L.attach_sides(pairs, facts))
 
