@@ -6,14 +6,17 @@ equals the third): one edit destroys at most two, so two near words share a
 bigram of their prefixes. Its *pivots* are two bigrams of the prefix that do not
 overlap, the rarest such pair, chosen by dynamic programming. One edit cannot
 destroy both, so for near words a pivot of the one whose prefix ends earlier in
-the order is in the prefix of the other. Exactly one edit also fixes the place:
-in words of equal length a surviving bigram keeps its position; in one that is
-longer or shorter by one it keeps it or moves by one. Pivots are therefore
-joined with prefixes on (bigram, position, length), and what meets is verified.
+the order is in the prefix of the other. Exactly one edit also fixes its place.
+Either the edit lies behind the bigram: then it keeps its position, and all that
+is before it is the same in both words. Or the edit lies before it: then it keeps
+its distance from the end, and all behind it is the same. Pivots are therefore
+joined with prefixes on the bigram, the unchanged side and the other word's
+length; what meets is compared by the letters it has, then verified.
 
 Words are counted where the texts lie, before they are shuffled. Keys that more
-than ``CHUNK`` prefixes hold are known from counts; their prefixes are dealt
-into chunks and each pivot visits all of these, so no task holds a whole key.
+than ``CHUNK`` prefix entries hold are known from counts; these entries are dealt
+into chunks and each pivot visits all of them, so no task holds a whole key. The
+list of such keys goes out by broadcast up to ``MOST_HOT`` of them.
 
 Defined cases: null and empty texts have no words; a null id counts as an empty
 one in the digest that picks a character to drop; repeated rows count again;
@@ -28,16 +31,16 @@ import re
 import zlib
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import cut
-from factloom.operators.skew import join_weighted
 
 LEAST_LENGTH, LEAST_COUNT, FACTOR, DROP_EVERY = 7, 2, 10, 31
 PREFIX = 3
 CHUNK = 2048
+MOST_HOT = 250_000
 #: Letters in Latin-1, where bytes and code points are the same; bytes.lower() only touches A-Z.
 _RUN = re.compile(rb"[a-z\xC0-\xFF]+")
 _HELD = 200_000
@@ -65,7 +68,7 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def counted(batches):
         held: Counter = Counter()
         for b in batches:
-            for doc_id, text in zip(b["id"], b["text"]):
+            for doc_id, text in zip(b["id"].to_pylist(), b["text"].to_pylist()):
                 for run, n in Counter(runs(text or "")).items():
                     if len(run) >= least_length:
                         word = misspelt(doc_id, run, every)
@@ -77,10 +80,10 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield frame(held)
 
     def frame(held):
-        return pd.DataFrame({"word": [w.decode("latin-1") for w in held], "n": list(held.values())}).astype({"n": "int64"})
+        return pa.record_batch({"word": pa.array([w.decode("latin-1") for w in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
 
     source = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
-    words = source.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = source.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return words.where(F.col("n") >= least_count)
 
 
@@ -119,24 +122,38 @@ def pivots_of(prefix: list[tuple[int, int]], weight: list[int]) -> list[tuple[in
     return [] if best_two is None else [best_two[1], best_two[2]]
 
 
-#: (difference of length, shift of position) that one edit can cause.
-MOVES = [(0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)]
+def letters(word: str) -> int:
+    """Which letters a word has, as 64 bits; one edit takes at most one away and adds at most one."""
+    held = 0
+    for x in set(word):
+        held |= 1 << (ord(x) & 63)
+    return held - (1 << 64) if held >> 63 else held
 
 
-def _indexed(words: DataFrame, grams: list[tuple[str, int]]) -> DataFrame:
-    """(word, n, pivot, gram, at, length): the prefix entries of each word, and the probes of its pivots."""
+def _placed(words: DataFrame, grams: list[tuple[str, int]]) -> DataFrame:
+    """(word, n, letters, prefix, pivots): each word with the positions of its prefix and of its pivots."""
     order, weight = {g: i for i, (g, _) in enumerate(grams)}, [c for _, c in grams]
 
     def rows(batches):
         for b in batches:
-            out = []
-            for word, n in zip(b["word"], b["n"].tolist()):
-                prefix = prefix_of(word, order)
-                out += [(word, n, False, rank, at, len(word)) for rank, at in prefix]
-                out += [(word, n, True, rank, at + shift, len(word) + longer) for rank, at in pivots_of(prefix, weight) for longer, shift in MOVES if at + shift >= 0]
-            yield pd.DataFrame(out, columns=["word", "n", "pivot", "gram", "at", "length"])
+            held = b["word"].to_pylist()
+            prefixes = [prefix_of(w, order) for w in held]
+            places = pa.list_(pa.int32())
+            yield pa.record_batch({"word": b["word"], "n": b["n"], "letters": pa.array(map(letters, held), pa.int64()),
+                                   "prefix": pa.array([[at for _, at in p] for p in prefixes], places),
+                                   "pivots": pa.array([[at for _, at in pivots_of(p, weight)] for p in prefixes], places)})
 
-    return words.mapInPandas(rows, "word string, n long, pivot boolean, gram int, at int, length int")
+    return words.mapInArrow(rows, "word string, n long, letters long, prefix array<int>, pivots array<int>")
+
+
+def _left(at: str, length: str) -> str:
+    """Key of a bigram of ``word`` and all before it, in a word of ``length``."""
+    return f"xxhash64(0, {length}, substring(word, 1, {at} + 2))"
+
+
+def _right(at: str, length: str) -> str:
+    """Key of a bigram of ``word`` and all behind it, in a word of ``length``."""
+    return f"xxhash64(1, {length}, substring(word, {at} + 1))"
 
 
 def near_pairs(words: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -145,16 +162,22 @@ def near_pairs(words: DataFrame, chunk: int = CHUNK) -> DataFrame:
     counts = words.where("length(word) > 1").select("word", pair.alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # at most the square of 90 letters
     grams = [(r.gram, r.n) for r in sorted(counts.collect(), key=lambda r: (r.n, r.gram))]
-    keys = ["gram", "at", "length"]
-    rows = cut(_indexed(words, grams))
-    held = rows.groupBy(*keys).agg(F.sum(F.when(F.col("pivot"), 1).otherwise(0)).alias("asking"), F.sum(F.when(F.col("pivot"), 0).otherwise(1)).alias("asked"))
-    held = cut(held.where("asking > 0 and asked > 0").withColumn("chunks", F.ceil(F.col("asked") / chunk).cast("int")).withColumn(
-        "rows", F.col("asking") + F.col("asked")))
-    met = cut(join_weighted(rows, held.select(*keys, "chunks", "rows"), keys, "rows", rows.count()).select("word", "n", "pivot", *keys, "chunks"))
-    own = F.pmod(F.xxhash64("word"), F.col("chunks")).cast("int")
-    asked = met.where("not pivot").select(*keys, own.alias("chunk"), F.col("word").alias("y"), F.col("n").alias("n_y"))
-    asking = met.where("pivot").select(*keys, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("word").alias("x"), F.col("n").alias("n_x"))
-    found = asking.join(asked, [*keys, "chunk"]).where((F.col("x") != F.col("y")) & (F.levenshtein("x", "y", 1) == 1))
+    placed = cut(_placed(words, grams))
+    entry, probe = [k("at", "length(word)") for k in (_left, _right)], [k("at", f"length(word) + {d}") for k in (_left, _right) for d in (0, 1, -1)]
+    keyed = lambda of, keys: placed.select("word", "n", "letters", F.explode(of).alias("at")).select(
+        "word", "n", "letters", F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
+    asked, asking = keyed("prefix", entry), keyed("pivots", probe)
+    hot = cut(asked.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > chunk).select(
+        "key", F.ceil(F.col("held") / chunk).cast("int").alias("chunks")))
+    if hot.count() <= MOST_HOT:
+        hot = F.broadcast(hot)
+    chunks, own = F.coalesce("chunks", F.lit(1)), F.pmod(F.xxhash64("word"), "chunks").cast("int")
+    dealt = lambda c: F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", c)).alias("key")
+    asked = asked.join(hot, "key", "left").select(dealt(own), F.col("word").alias("y"), F.col("n").alias("n_y"), F.col("letters").alias("of_y"))
+    asking = asking.join(hot, "key", "left").select("*", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("c")).select(
+        dealt(F.col("c")), F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("letters").alias("of_x"))
+    found = asking.join(asked, "key").where((F.bit_count(F.col("of_x").bitwiseXOR(F.col("of_y"))) <= 2) & (F.col("x") != F.col("y"))
+                                            & (F.levenshtein("x", "y", 1) == 1))
     up = F.col("x") < F.col("y")
     pick = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
     return found.select(pick("x", "y").alias("a"), pick("n_x", "n_y").alias("n_a"), pick("y", "x").alias("b"), pick("n_y", "n_x").alias("n_b")).distinct()

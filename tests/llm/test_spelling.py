@@ -68,9 +68,11 @@ def test_near_words_meet_at_a_pivot(word, at, letter, kind, rng):
         assert len(pivots) == 2 and abs(pivots[0][1] - pivots[1][1]) >= 2
         lightest = min(weight[a[0]] + weight[b[0]] for a, b in itertools.combinations(prefix, 2) if abs(a[1] - b[1]) >= 2)
         assert sum(weight[r] for r, _ in pivots) == lightest
-        entries[w] = {(r, p, len(w)) for r, p in prefix}
-        probes[w] = {(r, p + shift, len(w) + longer) for r, p in pivots for longer, shift in S.MOVES}
+        sides = lambda p: [("left", w[: p + 2]), ("right", w[p:])]  # noqa: B023, E731
+        entries[w] = {(*side, len(w)) for _, p in prefix for side in sides(p)}
+        probes[w] = {(*side, len(w) + d) for _, p in pivots for side in sides(p) for d in (0, 1, -1)}
     assert probes[word] & entries[other] or probes[other] & entries[word]
+    assert ((S.letters(word) ^ S.letters(other)) % (1 << 64)).bit_count() <= 2
 
 
 def words_text(rng):
