@@ -11,7 +11,8 @@ Either the edit lies behind the bigram: then it keeps its position, and all that
 is before it is the same in both words. Or the edit lies before it: then it keeps
 its distance from the end, and all behind it is the same. Pivots are therefore
 joined with prefixes on the bigram, the unchanged side and the other word's
-length; what meets is compared by the letters it has, then verified.
+length; where that side is short, the first or the last half of the other side,
+one of which is unchanged too, joins the key. What meets is verified.
 
 Words are counted where the texts lie, before they are shuffled. Keys that more
 than ``CHUNK`` prefix entries hold are known from counts; these entries are dealt
@@ -41,6 +42,8 @@ LEAST_LENGTH, LEAST_COUNT, FACTOR, DROP_EVERY = 7, 2, 10, 31
 PREFIX = 3
 CHUNK = 2048
 MOST_HOT = 250_000
+#: Characters, bigram included, that make the unchanged side of a word a key by itself.
+ENOUGH = 5
 #: Letters in Latin-1, where bytes and code points are the same; bytes.lower() only touches A-Z.
 _RUN = re.compile(rb"[a-z\xC0-\xFF]+")
 _HELD = 200_000
@@ -122,16 +125,8 @@ def pivots_of(prefix: list[tuple[int, int]], weight: list[int]) -> list[tuple[in
     return [] if best_two is None else [best_two[1], best_two[2]]
 
 
-def letters(word: str) -> int:
-    """Which letters a word has, as 64 bits; one edit takes at most one away and adds at most one."""
-    held = 0
-    for x in set(word):
-        held |= 1 << (ord(x) & 63)
-    return held - (1 << 64) if held >> 63 else held
-
-
 def _placed(words: DataFrame, grams: list[tuple[str, int]]) -> DataFrame:
-    """(word, n, letters, prefix, pivots): each word with the positions of its prefix and of its pivots."""
+    """(word, n, prefix, pivots): each word with the positions of its prefix and of its pivots."""
     order, weight = {g: i for i, (g, _) in enumerate(grams)}, [c for _, c in grams]
 
     def rows(batches):
@@ -139,45 +134,60 @@ def _placed(words: DataFrame, grams: list[tuple[str, int]]) -> DataFrame:
             held = b["word"].to_pylist()
             prefixes = [prefix_of(w, order) for w in held]
             places = pa.list_(pa.int32())
-            yield pa.record_batch({"word": b["word"], "n": b["n"], "letters": pa.array(map(letters, held), pa.int64()),
-                                   "prefix": pa.array([[at for _, at in p] for p in prefixes], places),
+            yield pa.record_batch({"word": b["word"], "n": b["n"], "prefix": pa.array([[at for _, at in p] for p in prefixes], places),
                                    "pivots": pa.array([[at for _, at in pivots_of(p, weight)] for p in prefixes], places)})
 
-    return words.mapInArrow(rows, "word string, n long, letters long, prefix array<int>, pivots array<int>")
+    return words.mapInArrow(rows, "word string, n long, prefix array<int>, pivots array<int>")
 
 
-def _left(at: str, length: str) -> str:
-    """Key of a bigram of ``word`` and all before it, in a word of ``length``."""
-    return f"xxhash64(0, {length}, substring(word, 1, {at} + 2))"
+def _keys(lengths: list[tuple[str, str]]) -> str:
+    """SQL for the keys of ``word`` at the bigram ``at``, for (length of the word that is asked, length of the shorter one).
+
+    A side of ``ENOUGH`` characters is a key by itself. A shorter one is joined by
+    the first or the last half of the other side, one of which has no edit.
+    """
+    def left(asked: str, least: str) -> tuple[str, str]:
+        rest = f"({least} - at - 2)"
+        return (f"xxhash64(1, {asked}, {least}, left(word, at + 2 + {rest} div 2))",
+                f"xxhash64(2, {asked}, {least}, left(word, at + 2), right(word, {rest} - {rest} div 2))")
 
+    def right(asked: str, least: str) -> tuple[str, str]:
+        rest = f"({least} - length(word) + at)"
+        return (f"xxhash64(3, {asked}, {least}, left(word, {rest} div 2), substring(word, at + 1))",
+                f"xxhash64(4, {asked}, {least}, right(word, {rest} - {rest} div 2 + length(word) - at))")
 
-def _right(at: str, length: str) -> str:
-    """Key of a bigram of ``word`` and all behind it, in a word of ``length``."""
-    return f"xxhash64(1, {length}, substring(word, {at} + 1))"
+    alone = list(dict.fromkeys(asked for asked, _ in lengths))
+    sides = []
+    for enough, whole, halves in ((f"at + 2 >= {ENOUGH}", "xxhash64(5, {0}, left(word, at + 2))", left),
+                                  (f"length(word) - at >= {ENOUGH}", "xxhash64(6, {0}, substring(word, at + 1))", right)):
+        split = [k for x in lengths for k in halves(*x)]
+        sides.append(f"if({enough}, array({', '.join(whole.format(x) for x in alone)}), array({', '.join(split)}))")
+    return f"explode(concat({', '.join(sides)})) AS key"
 
 
 def near_pairs(words: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, n_a, b, n_b), a < b: the words at an edit distance of exactly one."""
+    """(a, n_a, b, n_b), a < b: the words at an edit distance of exactly one; words have five letters at least."""
     pair = F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, i, 2))"))
     counts = words.where("length(word) > 1").select("word", pair.alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # at most the square of 90 letters
     grams = [(r.gram, r.n) for r in sorted(counts.collect(), key=lambda r: (r.n, r.gram))]
     placed = cut(_placed(words, grams))
-    entry, probe = [k("at", "length(word)") for k in (_left, _right)], [k("at", f"length(word) + {d}") for k in (_left, _right) for d in (0, 1, -1)]
-    keyed = lambda of, keys: placed.select("word", "n", "letters", F.explode(of).alias("at")).select(
-        "word", "n", "letters", F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
-    asked, asking = keyed("prefix", entry), keyed("pivots", probe)
+    n = "length(word)"
+    asked = placed.selectExpr("word", "n", "explode(prefix) AS at").selectExpr("word", "n", _keys([(n, n), (n, f"{n} - 1")]))
+    asking = placed.selectExpr("word", "n", "explode(pivots) AS at").selectExpr("word", "n", _keys([(n, n), (f"{n} + 1", n), (f"{n} - 1", f"{n} - 1")]))
     hot = cut(asked.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > chunk).select(
         "key", F.ceil(F.col("held") / chunk).cast("int").alias("chunks")))
-    if hot.count() <= MOST_HOT:
-        hot = F.broadcast(hot)
-    chunks, own = F.coalesce("chunks", F.lit(1)), F.pmod(F.xxhash64("word"), "chunks").cast("int")
-    dealt = lambda c: F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", c)).alias("key")
-    asked = asked.join(hot, "key", "left").select(dealt(own), F.col("word").alias("y"), F.col("n").alias("n_y"), F.col("letters").alias("of_y"))
-    asking = asking.join(hot, "key", "left").select("*", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("c")).select(
-        dealt(F.col("c")), F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("letters").alias("of_x"))
-    found = asking.join(asked, "key").where((F.bit_count(F.col("of_x").bitwiseXOR(F.col("of_y"))) <= 2) & (F.col("x") != F.col("y"))
-                                            & (F.levenshtein("x", "y", 1) == 1))
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= MOST_HOT else hot
+        own = F.pmod(F.xxhash64("word"), "chunks").cast("int")
+        dealt = lambda c: F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", c)).alias("key")
+        asked = asked.join(hot, "key", "left").select("word", "n", dealt(own))
+        asking = asking.join(hot, "key", "left").select("*", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("c")).select(
+            "word", "n", dealt(F.col("c")))
+    asked = asked.select("key", F.col("word").alias("y"), F.col("n").alias("n_y"))
+    found = asking.select("key", F.col("word").alias("x"), F.col("n").alias("n_x")).join(asked, "key").where(
+        (F.col("x") != F.col("y")) & (F.levenshtein("x", "y", 1) == 1))
     up = F.col("x") < F.col("y")
     pick = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
     return found.select(pick("x", "y").alias("a"), pick("n_x", "n_y").alias("n_a"), pick("y", "x").alias("b"), pick("n_y", "n_x").alias("n_b")).distinct()
@@ -191,6 +201,8 @@ def variants(words: DataFrame, factor: int = FACTOR, chunk: int = CHUNK) -> Data
     each step, so paths are short and have no circle.
     """
     words = cut(words)
+    if words.where("length(word) < 5").limit(1).count():
+        raise ValueError("words need five letters: shorter ones may lack two bigrams that do not overlap")
     pairs = cut(near_pairs(words, chunk))
     both = pairs.select(F.col("a").alias("word"), F.col("n_b").alias("m"), F.col("b").alias("near")).unionByName(
         pairs.select(F.col("b").alias("word"), F.col("n_a").alias("m"), F.col("a").alias("near")))

@@ -72,7 +72,17 @@ def test_near_words_meet_at_a_pivot(word, at, letter, kind, rng):
         entries[w] = {(*side, len(w)) for _, p in prefix for side in sides(p)}
         probes[w] = {(*side, len(w) + d) for _, p in pivots for side in sides(p) for d in (0, 1, -1)}
     assert probes[word] & entries[other] or probes[other] & entries[word]
-    assert ((S.letters(word) ^ S.letters(other)) % (1 << 64)).bit_count() <= 2
+
+
+def test_all_edits_of_a_word(spark):
+    """Every edit of short and long words is found, whichever side and half it lies in."""
+    words = {"abcde", "abcdefghijk", "éabéabéab"}
+    for w in list(words):
+        for k in range(len(w) + 1):
+            words |= {w[:k] + "x" + w[k:], w[:k] + "b" + w[k:], w[:k] + "y" + w[k + 1 :], w[:k] + w[k + 1 :]}
+    words = sorted(w for w in words if len(w) >= 5)
+    got = S.near_pairs(spark.createDataFrame([(w, 2) for w in words], "word string, n long"))
+    assert sorted((r.a, r.b) for r in got.collect()) == [(a, b) for a, b in itertools.combinations(words, 2) if near(a, b)]
 
 
 def words_text(rng):
