@@ -13,7 +13,6 @@ from factloom.functions import rules as R
 from factloom.functions import text as T
 
 ANCHOR_MIN_SCORE = 70.0  # fixed value: weaker anchors are dropped
-BAND_MIN_OVERLAP = 0.55  # fixed value: share of tokens a fuzzy band must hold
 
 
 def response_problem(raw: str = "response") -> Column:
@@ -199,70 +198,3 @@ def replace_span(existing: DataFrame, fresh: DataFrame, doc_id: str, annotator:
     inside = ((F.col("doc_id") == doc_id) & (F.col("annotator") == annotator) & F.coalesce(loc["section_path"].startswith("preamble"), F.lit(False))
               & F.coalesce((loc["char_start"] >= start) & (loc["char_start"] < end), F.lit(False)))
     return existing.where(~inside).unionByName(fresh)
-
-
-# --- subject / predicate / object bands inside a quote ---------------------
-
-# Fixed value: what counts as a token of a band.
-BAND_TOKEN = r"\d+(?:[.,]\d+)?|%|\p{L}+"
-BAND = "struct<start:int,end:int,role:string,fuzzy:boolean>"
-
-
-def token_spans(text: Column) -> Column:
-    """Tokens of a text as (token, start, end). Marks are put around the tokens, and the pieces between marks are measured."""
-    pieces = F.split(F.regexp_replace(F.replace(F.replace(text, F.lit("\x01"), F.lit(" ")), F.lit("\x02"), F.lit(" ")), f"({BAND_TOKEN})", "\x01$1\x02"), "\x01")
-    begin = F.struct(F.length(pieces[0]).alias("at"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
-
-    def add(state, piece):
-        token = F.split_part(piece, F.lit("\x02"), F.lit(1))
-        end = state["at"] + F.length(token)
-        span = F.struct(token.alias("token"), state["at"].alias("start"), end.alias("end"))
-        return F.struct((state["at"] + F.length(piece) - 1).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), begin, add, lambda state: state["out"])
-
-
-def closest_band(spans: Column, wanted: Column) -> Column:
-    """(start, end) of the window of tokens that holds the largest part of ``wanted``; of equals the shortest, then the first.
-
-    A window opens at a wanted token and has at most two tokens more than there are wanted. A token counts as often as
-    both sides have it. Null if no window holds ``BAND_MIN_OVERLAP`` of the tokens.
-    """
-    n = F.size(wanted)
-    often = lambda held, token: F.size(F.filter(held, lambda x: x == token))
-
-    def window(first, last):
-        held = F.transform(F.slice(spans, first + 1, last - first + 1), lambda x: x["token"])
-        hits = F.aggregate(F.array_distinct(wanted), F.lit(0), lambda a, t: a + F.least(often(wanted, t), often(held, t)))
-        return F.struct((-hits).alias("missing"), (last - first).alias("more"), F.get(spans, first)["start"].alias("start"), F.get(spans, last)["end"].alias("end"))
-
-    opened = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.array_contains(wanted, F.get(spans, i)["token"]))
-    every = F.flatten(F.transform(opened, lambda i: F.transform(F.sequence(i, F.least(i + n + 1, F.size(spans) - 1)), lambda j: window(i, j))))
-    best = F.array_min(F.filter(every, lambda w: -w["missing"] >= BAND_MIN_OVERLAP * n))
-    return F.when((n > 0) & (F.size(spans) > 0), best)
-
-
-def spo_bands(quote, subject, predicate, obj) -> Column:
-    """Where subject, predicate and object of a fact show up in its quote, as non-overlapping bands in order.
-
-    Each role is searched verbatim behind the one before, whatever its case; a role that is not found gets its closest
-    band of tokens anywhere in the quote. A band gives way to those that begin earlier.
-    """
-    col = lambda c: F.col(c) if isinstance(c, str) else c
-    low = F.lower(F.coalesce(col(quote), F.lit("")))
-    at, found = F.lit(1), []
-    for role, text in (("subject", subject), ("predicate", predicate), ("object", obj)):
-        needle = F.lower(T.strip(F.coalesce(col(text), F.lit(""))))
-        place = F.when(needle != "", F.position(needle, low, at))
-        hit = F.coalesce(place > 0, F.lit(False))
-        close = F.when(~hit, closest_band(token_spans(low), F.regexp_extract_all(needle, F.lit(f"({BAND_TOKEN})"), F.lit(1))))
-        found.append(F.when(hit, F.struct((place - 1).cast("int").alias("start"), (place - 1 + F.length(needle)).cast("int").alias("end"),
-                                          F.lit(role).alias("role"), F.lit(False).alias("fuzzy")))
-                     .when(close.isNotNull(), F.struct(close["start"].alias("start"), close["end"].alias("end"), F.lit(role).alias("role"), F.lit(True).alias("fuzzy"))))
-        at = F.when(hit, place + F.length(needle)).otherwise(at)
-    bands = F.array_sort(F.filter(F.array(*found), lambda b: b.isNotNull()))
-    free = F.aggregate(bands, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{BAND}>").alias("out")), lambda s, b: F.when(
-        b["end"] > F.greatest(b["start"], s["at"]), F.struct(b["end"].alias("at"), F.concat(s["out"], F.array(F.struct(
-            F.greatest(b["start"], s["at"]).alias("start"), b["end"].alias("end"), b["role"].alias("role"), b["fuzzy"].alias("fuzzy")))).alias("out"))).otherwise(s),
-        lambda s: s["out"])
-    return free

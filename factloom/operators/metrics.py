@@ -105,10 +105,10 @@ def agreement(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     counts = facts.groupBy(*SCOPE, "annotator").agg(F.count(F.lit(1)).alias("n"))
     matched = pairs.where("status = 'matched'").select(
         *SCOPE, F.least("annotator_a", "annotator_b").alias("annotator_a"),
-        F.greatest("annotator_a", "annotator_b").alias("annotator_b"), F.round("cosine", 4).alias("cosine"), "conflict_label")
+        F.greatest("annotator_a", "annotator_b").alias("annotator_b"), F.round(F.col("cosine") * 10000).cast("long").alias("cosine"), "conflict_label")
     key = [*SCOPE, "annotator_a", "annotator_b"]
     agg = matched.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_matched"), F.avg("cosine").alias("mean"),
+        F.count(F.lit(1)).alias("n_matched"), F.sum("cosine").alias("total"),
         *[F.count_if(F.col("conflict_label") == l).alias(f"n_{l}") for l in R.LABELS + ["escalate"]])
     # the skeleton keeps pairs that never matched
     rows = annotator_pairs(facts).join(agg, key, "left")
@@ -119,7 +119,8 @@ def agreement(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     union = F.col("n_a") + F.col("n_b") - n
     return rows.select(
         *key, "n_a", "n_b", n.alias("n_matched"), F.when(union > 0, F.round(n / union, 3)).alias("jaccard"),
-        F.round("mean", 6).alias("mean_cosine"),
+        # whole ten-thousandths are summed, so the order of rows makes no difference
+        (F.floor((200 * F.col("total") + F.col("n_matched")) / (2 * F.col("n_matched"))) / 1_000_000).alias("mean_cosine"),
         *[F.coalesce(f"n_{l}", F.lit(0)).alias(f"n_{l}") for l in R.LABELS + ["escalate"]])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import rules as R
 from factloom.functions import text as T
+from factloom.operators import bands as B
 from factloom.operators import extract as X
 from factloom.operators import graph as G
 from factloom.operators import metrics as M
@@ -83,7 +84,7 @@ def a5(spark, sf):
 SELECT n.doc_id, n_a, n_b, coalesce(n_matched, 0) AS n_matched, round(coalesce(n_matched, 0) / CAST(n_a + n_b - coalesce(n_matched, 0) AS DOUBLE), 3) AS jaccard,
   mean_cosine, coalesce(n_contradiction, 0) AS n_contradiction, coalesce(n_redundancy, 0) AS n_redundancy
 FROM (SELECT doc_id, count(*) FILTER (WHERE annotator = 'ann_a') AS n_a, count(*) FILTER (WHERE annotator = 'ann_b') AS n_b FROM facts GROUP BY ALL) n
-LEFT JOIN (SELECT doc_id, count(*) AS n_matched, round(avg(round(cosine, 4)), 6) AS mean_cosine, count(*) FILTER (WHERE conflict_label = 'contradiction') AS n_contradiction,
+LEFT JOIN (SELECT doc_id, count(*) AS n_matched, floor((200 * sum(CAST(round(cosine * 10000) AS BIGINT)) + count(*)) / (2 * count(*))) / 1000000 AS mean_cosine, count(*) FILTER (WHERE conflict_label = 'contradiction') AS n_contradiction,
   count(*) FILTER (WHERE conflict_label = 'redundancy') AS n_redundancy FROM labelled WHERE status = 'matched' GROUP BY ALL) m USING (doc_id)
 WHERE n_a > 0 AND n_b > 0"""))
 def a6(spark, sf):
@@ -416,11 +417,35 @@ def p11_fuzzy(spark, sf):
     return X.anchor_quotes(rows).select("fact_id", "char_start", "char_end", F.round("anchor_score", 3).alias("anchor_score"))
 
 
-@register("p17_x19_spo_bands")
+_TOKEN = r"\d+(?:[.,]\d+)?|%|\p{L}+"
+_ROLES_SQL = "\n".join(f"""e{i} AS (SELECT *, CASE WHEN {r}_n <> '' AND strpos(substr(low, at{i}), {r}_n) > 0 THEN strpos(substr(low, at{i}), {r}_n) + at{i} - 1 ELSE 0 END AS {r}_p,
+  CASE WHEN {r}_n <> '' AND strpos(substr(low, at{i}), {r}_n) > 0 THEN strpos(substr(low, at{i}), {r}_n) + at{i} - 1 + length({r}_n) ELSE at{i} END AS at{i + 1} FROM e{i - 1}),"""
+    for i, r in enumerate(("subject", "predicate", "object"), 1))
+
+
+@register("p17_x19_spo_bands", with_sql(facts_sql() + rf""",
+e0 AS (SELECT fact_id, lower(quote) AS low, 1 AS at1, {", ".join(f"lower(trim({r}, E' \t\n\r\f\x0b')) AS {r}_n" for r in ("subject", "predicate", "object"))} FROM facts),
+{_ROLES_SQL}
+role AS (SELECT fact_id, low, unnest([{", ".join(f"{{'role': '{r}', 'needle': {r}_n, 'place': {r}_p}}" for r in ("subject", "predicate", "object"))}], recursive := true) FROM e3),
+miss AS (SELECT *, regexp_extract_all(needle, '{_TOKEN}') AS wanted FROM role WHERE place = 0 AND needle <> ''),
+cut AS (SELECT DISTINCT fact_id, string_split(regexp_replace(translate(low, chr(1) || chr(2), '  '), '({_TOKEN})', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS ps FROM miss),
+piece AS (SELECT fact_id, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS idx FROM cut),
+tok AS (SELECT fact_id, idx, split_part(piece, chr(2), 1) AS token, sum(length(piece) - CASE WHEN idx > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY fact_id ORDER BY idx
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM piece QUALIFY idx > 0),
+need AS (SELECT fact_id, role, len(wanted) AS n, u.token, count(*) AS need FROM (SELECT *, unnest(list_transform(wanted, lambda t: {{'token': t}})) AS u FROM miss) GROUP BY ALL),
+hit AS (SELECT fact_id, role, n, token, need, idx, start FROM tok JOIN need USING (fact_id, token)),
+nth AS (SELECT a.fact_id, a.role, a.n, a.idx AS a, a.start, b.idx AS b, b.start + length(b.token) AS stop,
+  row_number() OVER (PARTITION BY a.fact_id, a.role, a.idx, b.token ORDER BY b.idx) <= b.need AS counts
+  FROM hit a JOIN hit b ON a.fact_id = b.fact_id AND a.role = b.role AND b.idx >= a.idx AND b.idx < a.idx + a.n + 2),
+win AS (SELECT *, count(*) FILTER (WHERE counts) OVER (PARTITION BY fact_id, role, a ORDER BY b) AS hits FROM nth),
+best AS (SELECT fact_id, role, start, stop FROM win WHERE hits / n >= 0.55 QUALIFY row_number() OVER (PARTITION BY fact_id, role ORDER BY hits DESC, b - a, a) = 1),
+band AS (SELECT fact_id, role, CAST(place - 1 AS INTEGER) AS s, CAST(place - 1 + length(needle) AS INTEGER) AS e, false AS fuzzy FROM role WHERE place > 0
+  UNION ALL SELECT fact_id, role, CAST(start AS INTEGER), CAST(stop AS INTEGER), true FROM best)""", """
+SELECT fact_id, role, greatest(s, reach) AS start, e AS "end", fuzzy FROM (SELECT *, coalesce(max(e) OVER (PARTITION BY fact_id ORDER BY s, e, role, fuzzy
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM band) WHERE e > greatest(s, reach)"""))
 def p17(spark, sf):
-    f = facts(spark, sf)
-    b = f.select("fact_id", F.explode(X.spo_bands("source_locator.quote", "subject", "predicate", "object")).alias("b"))
-    return b.select("fact_id", "b.role", "b.start", "b.end", "b.fuzzy")
+    f = facts(spark, sf).select("fact_id", "subject", "predicate", "object", "source_locator.quote")
+    return B.spo_bands(f, ["fact_id"])
 
 
 DRAW = "CAST(('0x' || substr(sha1(fact_id || '|{p}'), 1, 8)) AS BIGINT)"

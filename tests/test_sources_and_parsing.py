@@ -1,9 +1,13 @@
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from facts import FACT_DDL, fact
+from factloom.operators import bands as B
 from factloom.operators import extract as X
 from factloom.operators import html as H
 from factloom.operators import parsing as P
@@ -147,16 +151,46 @@ def test_spo_bands(spark):
             (2, "a deficit of 2,3 % of GDP", "deficit", "of", "gdp of 2,3 % total"), (3, None, "x", "y", None), (4, "nothing here", "", " ", "other words"),
             (5, "one two one two three", "two", "one", "three two")]
     df = spark.createDataFrame(rows, "i int, q string, s string, p string, o string")
-    got = {r.i: [tuple(b) for b in r.b] for r in df.select("i", X.spo_bands("q", "s", "p", "o").alias("b")).collect()}
+    df = df.toDF("i", "quote", "subject", "predicate", "object")
+    got = {i: [] for i in range(1, 6)}
+    for r in B.spo_bands(df, ["i"]).orderBy("i", "start").collect():
+        got[r.i].append((r.start, r.end, r.role, r.fuzzy))
     assert got[1] == [(0, 14, "subject", False), (14, 33, "object", True), (34, 45, "predicate", False)]
     assert got[2] == [(2, 9, "subject", False), (10, 12, "predicate", False), (13, 25, "object", True)]
     assert got[3] == got[4] == [] and got[5] == [(4, 7, "subject", False), (8, 11, "predicate", False), (12, 21, "object", True)]
     for spans in got.values():
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
-    spans = df.where("i = 2").select(X.token_spans(df["q"]).alias("t")).first().t
+    spans = B.tokens(df.where("i = 2").withColumn("low", F.lower("quote")), ["i"]).orderBy("idx").collect()
     assert [(x.token, x.start, x.end) for x in spans][3:5] == [("2,3", 13, 16), ("%", 17, 18)]
 
 
+def _windows(needle, quote):
+    """The fuzzy band by trying every window."""
+    tokens = lambda s: [(m[0], m.start(), m.end()) for m in re.finditer(r"\d+(?:[.,]\d+)?|%|[^\W\d_]+", s.lower())]
+    want, held = [t for t, _, _ in tokens(needle)], tokens(quote)
+    best = None
+    for a in range(len(held)):
+        if held[a][0] in want:
+            for b in range(a, min(a + len(want) + 2, len(held))):
+                hits = (Counter(want) & Counter(t for t, _, _ in held[a : b + 1])).total()
+                if hits / len(want) >= 0.55 and (best is None or (-hits, b - a) < best[0]):
+                    best = ((-hits, b - a), held[a][1], held[b][2])
+    return best and best[1:]
+
+
+def test_fuzzy_bands_against_every_window(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        words = ["one", "two", "2,5", "%", "vier", "É", "six"][: rng.randrange(2, 8)]
+        quote = "".join(rng.choice(words) + rng.choice([" ", ", ", " - "]) for _ in range(rng.randrange(1, 30)))
+        rows.append((i, "object", quote.lower(), " ".join(rng.choice([*words, "absent"]) for _ in range(rng.randrange(1, 9))).lower()))
+    rows.append((150, "object", "one two " * 4000, "two two one absent"))
+    df = spark.createDataFrame(rows, "i int, role string, low string, needle string")
+    got = {r.i: (r.start, r.end) for r in B.fuzzy_bands(df, ["i"]).collect()}
+    assert got == {i: w for i, _, low, needle in rows if (w := _windows(needle, low))} and len(got) > 50
+
+
 def test_fact_files_and_guidelines(spark, tmp_path):
     for directory, annotator, n in (("a_dir", "model:x", 1), ("b_dir", "model:x", 2), ("c_dir", "", 1)):
         (tmp_path / "facts" / directory).mkdir(parents=True)
