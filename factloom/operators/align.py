@@ -9,29 +9,31 @@ from pyspark.sql import functions as F
 
 from factloom.functions.rules import fixed
 from factloom.functions.text import fact_text
-from factloom.operators.assignment import best_matching
+from factloom.operators.assignment import priced_matching
 from factloom.operators.encode import product, sparse_vectors
 
 SCOPE = ["guideline_version", "doc_id"]
 CARRY = ["subject", "predicate", "object", "natural_language", "quote"]
 
 
-def _schema(carry: list[str]) -> str:
-    sides = ", ".join(f"{side}_{c} string" for side in ("a", "b") for c in carry)
+def _schema(carry: list[str], prices: bool = False) -> str:
+    sides = ", ".join([f"{side}_{c} string" for side in ("a", "b") for c in carry] + prices * ["price_a double", "price_b double", "assigned double"])
     return ("guideline_version string, doc_id string, annotator_a string, annotator_b string, "
             "fact_a_id string, fact_b_id string, cosine double, status string" + (", " + sides if sides else ""))
 
 
 def match_sides(cos: np.ndarray, threshold: float):
-    """(matched row/col indices, row orphans, col orphans) of one cosine matrix."""
-    rows, cols = best_matching(cos)
+    """(matched row/col indices, row orphans, col orphans, row prices, col prices, assigned score per row) of one cosine matrix."""
+    rows, cols, row_price, col_price = priced_matching(cos)
+    assigned = np.full(cos.shape[0], np.nan)
+    assigned[rows] = cos[rows, cols]
     good = cos[rows, cols] >= threshold if len(rows) else np.zeros(0, dtype=bool)
     rows, cols = rows[good], cols[good]
     return (rows, cols, np.setdiff1d(np.arange(cos.shape[0]), rows),
-            np.setdiff1d(np.arange(cos.shape[1]), cols))
+            np.setdiff1d(np.arange(cos.shape[1]), cols), row_price, col_price, assigned)
 
 
-def _align_scope(pdf: pd.DataFrame, threshold: float, carry: list[str], dense: bool) -> pd.DataFrame:
+def _align_scope(pdf: pd.DataFrame, threshold: float, carry: list[str], dense: bool, prices: bool = False) -> pd.DataFrame:
     pdf = pdf.sort_values(["annotator", "fact_pos", "fact_id"], kind="stable").reset_index(drop=True)
     if dense:
         vectors = np.array(pdf["vector"].tolist(), dtype=float)
@@ -45,7 +47,7 @@ def _align_scope(pdf: pd.DataFrame, threshold: float, carry: list[str], dense: b
         for b in names[x + 1:]:
             left, right = members[a], members[b]
             cos = vectors[left] @ vectors[right].T if dense else product(vectors, left, right)
-            rows, cols, only_a, only_b = match_sides(cos, threshold)
+            rows, cols, only_a, only_b, row_price, col_price, assigned = match_sides(cos, threshold)
             li = np.concatenate([left[rows], left[only_a], np.full(len(only_b), -1)])
             ri = np.concatenate([right[cols], np.full(len(only_a), -1), right[only_b]])
             best = np.concatenate([cos[rows, cols], cos[only_a].max(axis=1, initial=0.0),
@@ -57,17 +59,22 @@ def _align_scope(pdf: pd.DataFrame, threshold: float, carry: list[str], dense: b
                     values = pdf[column].to_numpy(dtype=object)[at]
                     values[at < 0] = None
                     out[name] = values
+            if prices:
+                none_a, none_b = np.full(len(only_a), np.nan), np.full(len(only_b), np.nan)
+                out["price_a"] = np.concatenate([row_price[rows], row_price[only_a], none_b])
+                out["price_b"] = np.concatenate([col_price[cols], none_a, col_price[only_b]])
+                out["assigned"] = np.concatenate([assigned[rows], assigned[only_a], none_b])
             parts.append(pd.DataFrame(out))
-    columns = [f.split()[0] for f in _schema(carry).split(", ")]
+    columns = [f.split()[0] for f in _schema(carry, prices).split(", ")]
     if not parts:
-        return pd.DataFrame({c: pd.Series(dtype="float" if c == "cosine" else "object") for c in columns})
+        return pd.DataFrame({c: pd.Series(dtype="float" if c in ("cosine", "price_a", "price_b", "assigned") else "object") for c in columns})
     result = pd.concat(parts, ignore_index=True)
     result["guideline_version"], result["doc_id"] = pdf["guideline_version"].iloc[0], pdf["doc_id"].iloc[0]
     return result[columns]
 
 
 def align(facts: DataFrame, threshold: float = 0.78, carry: list[str] | None = None,
-          vector: str | None = None) -> DataFrame:
+          vector: str | None = None, prices: bool = False) -> DataFrame:
     """Matched pairs and orphans of both sides.
 
     Facts travel once, keyed by document; a task scores its document and solves the
@@ -75,7 +82,8 @@ def align(facts: DataFrame, threshold: float = 0.78, carry: list[str] | None = N
     carried columns of both facts ride along and spare the labeller two joins.
     ``vector`` names a stored embedding column; without it TF-IDF is fitted on all
     annotators of the document together. Documents too large for one task belong to
-    ``align_large``; ``align_any`` picks by size.
+    ``align_large``; ``align_any`` picks by size. ``prices`` adds each fact's price
+    and what its assignment scored before the threshold, for ``certificate``.
     """
     carry = CARRY if carry is None else carry
     quote = F.col("source_locator.quote") if "source_locator" in facts.columns else F.lit(None).cast("string")
@@ -86,9 +94,42 @@ def align(facts: DataFrame, threshold: float = 0.78, carry: list[str] | None = N
     dense = vector is not None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _align_scope(pdf, threshold, carry, dense)
+        return _align_scope(pdf, threshold, carry, dense, prices)
 
-    return needed.groupBy(*SCOPE).applyInPandas(run, _schema(carry))
+    return needed.groupBy(*SCOPE).applyInPandas(run, _schema(carry, prices))
+
+
+PAIR = [*SCOPE, "annotator_a", "annotator_b"]
+
+
+def certificate(priced: DataFrame, cosines: DataFrame, slack: float = 1e-6) -> DataFrame:
+    """Per annotator pair of a document: is the assignment optimal? Answered by joins, without searching again.
+
+    ``priced`` comes from ``align(prices=True)``, ``cosines`` has (pair, fact_a_id, fact_b_id, cosine) for every pair of
+    facts, from anywhere but the solver. ``n_violations`` counts pairs that score above their two prices, matched pairs
+    that miss theirs, unassigned facts with a price and negative prices of facts that may stay alone; ``gap`` is what
+    all prices exceed the assigned scores by. No violation and no gap prove the optimum.
+    """
+    # the solver's own numbers are NaN where a row has no such side
+    num = lambda c: F.when(~F.isnan(c), F.col(c))
+    rows = priced.select(*PAIR, "fact_a_id", "fact_b_id", "status", num("price_a").alias("price_a"), num("price_b").alias("price_b"), num("assigned").alias("assigned"))
+    side = lambda s: rows.where(F.col(f"fact_{s}_id").isNotNull()).select(*PAIR, f"fact_{s}_id", f"price_{s}")
+    scored = cosines.join(side("a"), [*PAIR, "fact_a_id"]).join(side("b"), [*PAIR, "fact_b_id"])
+    chosen = rows.where("status = 'matched'").select(*PAIR, "fact_a_id", "fact_b_id", F.lit(True).alias("chosen"))
+    scored = scored.join(chosen, [*PAIR, "fact_a_id", "fact_b_id"], "left")
+    over = F.col("cosine") - F.col("price_a") - F.col("price_b")
+    pairs = scored.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_pairs"),
+                                      F.count_if((over > slack) | (F.col("chosen") & (over < -slack))).alias("bad_pairs"))
+    sums = rows.groupBy(*PAIR).agg(
+        F.count("fact_a_id").alias("n_a"), F.count("fact_b_id").alias("n_b"), F.count("assigned").alias("n_assigned"), F.sum("assigned").alias("total"),
+        (F.coalesce(F.sum("price_a"), F.lit(0.0)) + F.coalesce(F.sum("price_b"), F.lit(0.0)) - F.coalesce(F.sum("assigned"), F.lit(0.0))).alias("gap"),
+        F.min("price_a").alias("least_a"), F.min("price_b").alias("least_b"))
+    longer_negative = ((F.col("n_a") > F.col("n_b")) & (F.col("least_a") < -slack)) | ((F.col("n_b") > F.col("n_a")) & (F.col("least_b") < -slack))
+    short = F.col("n_assigned") != F.least("n_a", "n_b")
+    return sums.join(pairs, PAIR, "left").select(
+        *PAIR, "n_a", "n_b", "n_assigned", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.coalesce("total", F.lit(0.0)).alias("total"),
+        (F.coalesce("bad_pairs", F.lit(0)) + longer_negative.cast("long") + short.cast("long")).alias("n_violations"),
+        F.when(F.abs("gap") > slack, F.col("gap")).otherwise(F.lit(0.0)).alias("gap"))
 
 
 def orphans_of_empty_sides(facts: DataFrame, roster: DataFrame) -> DataFrame:

@@ -9,17 +9,18 @@ from pyspark.sql import Window as W
 from factloom.functions import rules as R
 from factloom.functions import text as T
 from factloom.operators.align import SCOPE, annotator_pairs
+from factloom.operators.scan import dealt, scanned
+from factloom.session import checkpoint
 
 BIN_CHARS = 4096
 
 
 def _islands(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     longest = spans.groupBy(*keys, start).agg(F.max(end).alias(end))
-    before = W.partitionBy(*keys).orderBy(start).rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy(*keys).orderBy(start).rowsBetween(W.unboundedPreceding, 0)
-    opened = longest.withColumn("_reach", F.max(end).over(before))
-    opened = opened.withColumn("_island", F.count_if(F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).over(upto))
-    return opened.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    rows = scanned(dealt(longest, keys, [start]), keys, [start], _reach=("max", F.col(end)))
+    opens = (F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).cast("long")
+    rows = scanned(rows.withColumn("_opens", opens), keys, [start], _island=("sum", F.col("_opens")))
+    return rows.groupBy(*keys, (F.col("_island") + F.col("_opens")).alias("_island")).agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
 def _cut(spans: DataFrame, keys: list[str], start: str, end: str, bin_size: int) -> DataFrame:
@@ -35,10 +36,15 @@ def merged_intervals(spans: DataFrame, keys: list[str], start: str = "start", en
                      bin_size: int = BIN_CHARS) -> DataFrame:
     """Union of half-open intervals per key as disjoint rows; touching intervals merge.
 
-    Bins are merged first, so the scan over a whole key only sees the islands of its
-    bins, which touch at the borders and join up again.
+    Bins are merged first, by windows of at most ``bin_size`` rows; their islands,
+    which touch at the borders, join up again in a scan that no key keeps to itself.
     """
-    local = _islands(_cut(spans, keys, start, end, bin_size), [*keys, "_bin"], start, end)
+    cut = _cut(spans, keys, start, end, bin_size)
+    before = W.partitionBy(*keys, "_bin").orderBy(start).rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(*keys, "_bin").orderBy(start).rowsBetween(W.unboundedPreceding, 0)
+    opened = cut.groupBy(*keys, "_bin", start).agg(F.max(end).alias(end)).withColumn("_reach", F.max(end).over(before))
+    opened = opened.withColumn("_island", F.count_if(F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).over(upto))
+    local = opened.groupBy(*keys, "_bin", "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_bin", "_island")
     return _islands(local, keys, start, end)
 
 
@@ -201,22 +207,23 @@ def section_spread(facts: DataFrame, annotators: list[str]) -> DataFrame:
 def overlap_depth(spans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Per span the number of earlier spans of the same key it overlaps, and its undrawn part.
 
-    Earlier means smaller in ``order`` (which begins with start, end). Starting
-    before and not ending before is counted with two running counts, so no span is
-    ever paired with another one.
+    Earlier means smaller in ``order`` (which begins with start, end and tells the
+    spans of a key apart). Starting before and not ending before is counted with
+    running sums, so no span is ever paired with another one and no task sees a key.
     """
     start, end = order[0], order[1]
-    w = W.partitionBy(*keys).orderBy(*order)
-    earlier = w.rowsBetween(W.unboundedPreceding, -1)
+    empty = (F.col(end) <= F.col(start)).cast("long")
+    ranked = scanned(dealt(spans, keys, order), keys, order, _rank=("sum", F.lit(1)), _reach=("max", F.col(end)), _empty_before=("sum", empty))
+    ranked = checkpoint(ranked.drop("_part", "_tie"))
     # events: every span opens at (start, rank) and closes at its end; a close before a start is gone
-    ranked = spans.withColumn("_rank", F.row_number().over(w)).withColumn("_reach", F.coalesce(F.max(end).over(earlier), F.lit(0)))
     opens = ranked.select(*keys, F.col(start).alias("_at"), F.lit(1).alias("_open"), F.col("_rank"), F.lit(0).alias("_closed"))
-    closes = ranked.where(F.col(end) > F.col(start)).select(*keys, F.col(end).alias("_at"), F.lit(0).alias("_open"), F.lit(0).alias("_rank"), F.lit(1).alias("_closed"))
-    flow = opens.unionByName(closes).withColumn("_gone", F.sum("_closed").over(
-        W.partitionBy(*keys).orderBy("_at", "_open", "_rank").rowsBetween(W.unboundedPreceding, 0)))
-    solid = ranked.withColumn("_empty_before", F.coalesce(F.sum((F.col(end) <= F.col(start)).cast("int")).over(earlier), F.lit(0)))
-    gone = flow.where("_open = 1").select(*keys, "_rank", "_gone")
-    out = solid.join(gone, [*keys, "_rank"]).withColumn(
-        "depth", (F.col("_rank") - 1 - F.col("_empty_before") - F.col("_gone")).cast("int"))
-    return out.withColumn("draw_start", F.greatest(F.col(start), F.col("_reach"))).withColumn(
-        "draw_end", F.greatest(F.col(end), F.col("draw_start"))).drop("_rank", "_reach", "_empty_before", "_gone")
+    closes = ranked.where(F.col(end) > F.col(start)).select(*keys, F.col(end).alias("_at"), F.lit(0).alias("_open"), F.lit(0).cast("long").alias("_rank"), F.lit(1).alias("_closed"))
+    by = ["_at", "_open", "_rank"]
+    flow = scanned(dealt(opens.unionByName(closes), keys, by), keys, by, _gone=("sum", F.col("_closed")))
+    gone = flow.where("_open = 1").select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_rank").alias("_at_rank"), "_gone")
+    met = F.col("_rank") == F.col("_at_rank")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    out = ranked.join(gone, met).withColumn("depth", (F.col("_rank") - F.col("_empty_before") - F.col("_gone")).cast("int"))
+    out = out.withColumn("draw_start", F.greatest(F.col(start), F.coalesce("_reach", F.lit(0))))
+    return out.withColumn("draw_end", F.greatest(F.col(end), F.col("draw_start"))).select(*spans.columns, "depth", "draw_start", "draw_end")

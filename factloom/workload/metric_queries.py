@@ -155,10 +155,12 @@ def a21_sections(spark, sf):
 
 @register("w3_p18_overlap_depth", f"""
 WITH sp AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(60 * value) AS BIGINT) AS e FROM events)
-SELECT a.event_id, count(b.event_id) AS depth FROM sp a LEFT JOIN sp b ON a.user_id = b.user_id AND (b.s, b.e, b.event_id) < (a.s, a.e, a.event_id) AND b.e > a.s AND b.s < a.e
-WHERE a.e > a.s GROUP BY ALL""")
+SELECT a.event_id, count(b.event_id) FILTER (WHERE b.e > a.s AND b.s < a.e) AS depth, greatest(a.s, coalesce(max(b.e), 0)) AS draw_start,
+  greatest(a.e, a.s, coalesce(max(b.e), 0)) AS draw_end
+FROM sp a LEFT JOIN sp b ON a.user_id = b.user_id AND (b.s, b.e, b.event_id) < (a.s, a.e, a.event_id)
+WHERE a.e > a.s GROUP BY a.event_id, a.s, a.e""")
 def p18(spark, sf):
-    return M.overlap_depth(event_spans(spark, sf), ["user_id"], ["s", "e", "event_id"]).where("e > s").select("event_id", "depth")
+    return M.overlap_depth(event_spans(spark, sf), ["user_id"], ["s", "e", "event_id"]).where("e > s").select("event_id", "depth", "draw_start", "draw_end")
 
 
 def _fact_rows(spark, sf):

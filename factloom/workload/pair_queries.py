@@ -90,17 +90,37 @@ def c5(spark, sf):
     return a.join(b, "vec_b").select("vec_a", "vec_b", F.round(E.dense_cosine(F.col("ea"), F.col("eb")), 6).alias("cosine"))
 
 
-@register("j3_embedding_alignment")
-def j3_dense(spark, sf):
-    """Assignment on stored vectors: twenty consecutive vectors make a document, odd and even ids its annotators."""
-    e = table(spark, sf, "embeddings").select(
+def _vector_facts(spark, sf):
+    """Twenty consecutive vectors make a document, odd and even ids its annotators."""
+    return table(spark, sf, "embeddings").select(
         F.lit("v1").alias("guideline_version"), (F.col("vec_id") / 20).cast("long").cast("string").alias("doc_id"),
         F.when(F.col("vec_id") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")).alias("annotator"),
         F.col("vec_id").cast("string").alias("fact_id"), F.col("vec_id").alias("fact_pos"), F.col("embedding").alias("vector"))
+
+
+@register("j3_embedding_alignment")
+def j3_dense(spark, sf):
+    """Assignment on stored vectors."""
+    e = _vector_facts(spark, sf)
     out = A.align(e.withColumn("quote", F.lit("")), threshold=0.2, carry=[], vector="vector")
     return out.withColumn("cosine", F.round("cosine", 4))
 
 
+@register("j3_assignment_certificate", """
+WITH f AS (SELECT CAST(vec_id // 20 AS VARCHAR) AS doc_id, vec_id % 2 = 0 AS even FROM embeddings),
+n AS (SELECT doc_id, count(*) FILTER (WHERE even) AS n_a, count(*) FILTER (WHERE NOT even) AS n_b FROM f GROUP BY doc_id)
+SELECT doc_id, n_a, n_b, least(n_a, n_b) AS n_assigned, n_a * n_b AS n_pairs, 0 AS n_violations, 0.0 AS gap FROM n WHERE n_a > 0 AND n_b > 0""")
+def j3_certificate(spark, sf):
+    """Every assignment on stored vectors is optimal: the solver's prices hold against cosines that Spark computes."""
+    f = _vector_facts(spark, sf)
+    priced = A.align(f.withColumn("quote", F.lit("")), threshold=0.2, carry=[], vector="vector", prices=True)
+    side = lambda who, s: f.where(F.col("annotator") == who).select(*A.SCOPE, F.col("annotator").alias(f"annotator_{s}"), F.col("fact_id").alias(f"fact_{s}_id"),
+                                                                    F.col("vector").alias(f"vector_{s}"))
+    every = side("even", "a").join(side("odd", "b"), A.SCOPE)
+    every = every.withColumn("cosine", E.dense_cosine(F.col("vector_a"), F.col("vector_b"))).drop("vector_a", "vector_b")
+    return A.certificate(priced, every).select("doc_id", "n_a", "n_b", "n_assigned", "n_pairs", "n_violations", "gap")
+
+
 @register("j1_annotator_pairs", """
 WITH r AS (SELECT DISTINCT conv_id, role FROM conversations)
 SELECT CAST(a.conv_id AS VARCHAR) AS doc_id, a.role AS annotator_a, b.role AS annotator_b FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.role < b.role""")

@@ -11,7 +11,7 @@ from factloom.operators import align as A
 from factloom.operators import encode as E
 from factloom.operators import entities as N
 from factloom.operators.align_large import align_large
-from factloom.operators.assignment import best_matching
+from factloom.operators.assignment import best_matching, priced_matching
 
 WORDS = "council commission deficit measures report deadline decision member state budget growth target".split()
 
@@ -42,6 +42,37 @@ def sample(seed, n_docs=3, n=14):
     return rows
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 7), st.integers(0, 7), st.integers(0, 10_000))
+def test_prices_prove_the_matching(n, m, seed):
+    score = np.round(np.random.default_rng(seed).random((n, m)) * 2 - 0.7, 1)
+    rows, cols, u, v = priced_matching(score)
+    assert len(u) == n and len(v) == m and (u[:, None] + v[None, :] >= score - 1e-9).all()
+    assert np.allclose(u[rows] + v[cols], score[rows, cols]) and abs(u.sum() + v.sum() - score[rows, cols].sum()) < 1e-9 or not score.size
+    if score.size and n != m:
+        longer, at = (u, rows) if n > m else (v, cols)
+        assert (longer >= -1e-9).all() and np.allclose(np.delete(longer, at), 0)
+
+
+def test_certificate_finds_a_wrong_assignment(make_facts):
+    facts = make_facts(sample(2, n_docs=2))
+    priced = A.align(facts, 0.6, carry=[], prices=True).cache()
+    plain = A.align(facts, 0.6, carry=[])
+    assert priced.select(*plain.columns).exceptAll(plain).isEmpty() and plain.exceptAll(priced.select(*plain.columns)).isEmpty()
+    weights = E.gram_weights(facts.withColumn("key", F.concat("annotator", F.lit("/"), "fact_id")), A.SCOPE, "key", "natural_language")
+    every = A.annotator_pairs(facts).alias("p").join(facts.select(*A.SCOPE, F.col("annotator").alias("annotator_a"), F.col("fact_id").alias("fact_a_id")), [*A.SCOPE, "annotator_a"]).join(
+        facts.select(*A.SCOPE, F.col("annotator").alias("annotator_b"), F.col("fact_id").alias("fact_b_id")), [*A.SCOPE, "annotator_b"])
+    every = every.withColumns({"ka": F.concat("annotator_a", F.lit("/"), "fact_a_id"), "kb": F.concat("annotator_b", F.lit("/"), "fact_b_id")})
+    cosines = E.cosine_of_pairs(every, weights, A.SCOPE, "key", "ka", "kb").drop("ka", "kb", "dot").cache()
+    good = A.certificate(priced, cosines).collect()
+    assert len(good) == 6 and all(r.n_violations == 0 and r.gap == 0 and r.n_pairs == r.n_a * r.n_b for r in good)
+    # a better partner that the assignment has not seen, and a price too high, are both found
+    better = cosines.withColumn("cosine", F.when((F.col("fact_a_id") == cosines.first().fact_a_id), F.lit(2.5)).otherwise(F.col("cosine")))
+    assert any(r.n_violations for r in A.certificate(priced, better).collect())
+    dear = A.certificate(priced.withColumn("price_a", F.col("price_a") + 1), cosines).collect()
+    assert all(r.gap > 0 and (r.n_violations or not r.n_assigned) for r in dear if r.n_a)
+
+
 def test_three_matches_and_orphans(make_facts):
     rows = [fact("A", "a1", "the Council", "adopted", "the decision"), fact("A", "a2", "the deficit", "was", "2,3 % of GDP"),
             fact("A", "a3", "the Commission", "made a recommendation", ""),

@@ -190,3 +190,43 @@ def test_islands_and_neighbours(spark):
     assert {r.s_cluster for r in G.without_islands(edges, 1).collect()} == {"a", "b", "x"}
     centre = spark.createDataFrame([("v1", "d1", "b")], "guideline_version string, doc_id string, centre string")
     assert {r.neighbour for r in G.neighbourhood(edges, centre).collect()} == {"a", "c"}
+
+
+def test_scan_over_one_hot_key(spark, monkeypatch):
+    """Sums and maxima over partitions whose borders lie inside keys, null keys and equal rows included."""
+    import random
+
+    from factloom.operators import scan
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "b"]), rng.randrange(40), rng.randrange(100)) for _ in range(500)] + [("hot", 7, 7)] * 60
+    df = spark.createDataFrame(rows, "k string, at int, v int")
+    held = scan.dealt(df, ["k"], ["at", "v"], part_rows=25)
+    assert held.where("k = 'hot'").select("_part").distinct().count() > 8
+    got = scan.scanned(held, ["k"], ["at", "v"], total=("sum", F.col("v")), most=("max", F.col("v")), nth=("sum", F.lit(1)))
+    want = []
+    for key in ("hot", None, "b"):
+        total, most = 0, None
+        for n, (_, at, v) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1:])):
+            want.append((key, at, v, total, most, n))
+            total, most = total + v, v if most is None else max(most, v)
+    assert sorted(((r.k, r.at, r.v, r.total, r.most, r.nth) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_islands_and_depth_over_small_partitions(spark, monkeypatch):
+    import random
+
+    from factloom.operators import metrics, scan
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["u", "u", "w"]), s, s + rng.randrange(0, 30)) for i, s in enumerate(rng.randrange(3000) for _ in range(300))]
+    df = spark.createDataFrame(rows, "id int, k string, s long, e long")
+    deal = scan.dealt
+    monkeypatch.setattr(metrics, "dealt", lambda df, keys, order: deal(df, keys, order, part_rows=20))
+    depth = {r.id: r.depth for r in metrics.overlap_depth(df, ["k"], ["s", "e", "id"]).where("e > s").collect()}
+    for i, k, s, e in rows:
+        if e > s:
+            assert depth[i] == sum(k == k2 and (s2, e2, j) < (s, e, i) and e2 > s and s2 < e for j, k2, s2, e2 in rows)
+    merged = {(r.k, r.s, r.e) for r in metrics.merged_intervals(df, ["k"], "s", "e", bin_size=64).collect()}
+    covered = {(k, x) for _, k, s, e in rows for x in range(s, e)}
+    assert {(k, x) for k, s, e in merged for x in range(s, e)} == covered and all((k, e) not in covered for k, _, e in merged)
