@@ -132,17 +132,24 @@ def certificate(priced: DataFrame, cosines: DataFrame, slack: float = 1e-6) -> D
         F.when(F.abs("gap") > slack, F.col("gap")).otherwise(F.lit(0.0)).alias("gap"))
 
 
-def orphans_of_empty_sides(facts: DataFrame, roster: DataFrame) -> DataFrame:
-    """Orphans where an announced annotator has no fact in a document; their cosine is null, as there was nobody to compare with."""
+def orphans_of_empty_sides(facts: DataFrame, roster: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Orphans where an announced annotator has no fact in a document; their cosine is null, as there was nobody to compare with.
+
+    ``roster`` has (scope, annotator) of everybody who was asked. A document of two silent annotators has no facts and gives
+    no rows. Columns are those of ``align``; ``carry`` is empty unless stated.
+    """
+    carry = carry or []
+    base = facts if "quote" in facts.columns or "quote" not in carry else facts.withColumn("quote", F.col("source_locator.quote"))
     present = facts.select(*SCOPE, "annotator").distinct()
     silent = roster.select(*SCOPE, "annotator").distinct().join(present, [*SCOPE, "annotator"], "left_anti")
     silent = silent.withColumnRenamed("annotator", "other")
-    rows = facts.select(*SCOPE, "annotator", "fact_id").join(silent, SCOPE)
+    rows = base.select(*SCOPE, "annotator", "fact_id", *carry).join(silent, SCOPE)
     first = F.col("annotator") < F.col("other")
     return rows.select(
         *SCOPE, F.least("annotator", "other").alias("annotator_a"), F.greatest("annotator", "other").alias("annotator_b"),
         F.when(first, F.col("fact_id")).alias("fact_a_id"), F.when(~first, F.col("fact_id")).alias("fact_b_id"),
-        F.lit(None).cast("double").alias("cosine"), F.when(first, F.lit("unmatched_a")).otherwise(F.lit("unmatched_b")).alias("status"))
+        F.lit(None).cast("double").alias("cosine"), F.when(first, F.lit("unmatched_a")).otherwise(F.lit("unmatched_b")).alias("status"),
+        *[F.when(first, F.col(c)).alias(f"a_{c}") for c in carry], *[F.when(~first, F.col(c)).alias(f"b_{c}") for c in carry])
 
 
 def annotator_pairs(facts: DataFrame) -> DataFrame:

@@ -135,6 +135,20 @@ def j34(spark, sf):
     return aligned.select("doc_id", "annotator_a", "annotator_b", "fact_a_id", "fact_b_id", F.round("cosine", 4).alias("cosine"), "status")
 
 
+@register("j4_silent_annotators", with_sql(facts_sql(), """
+SELECT doc_id, least(annotator, other) AS annotator_a, greatest(annotator, other) AS annotator_b, CASE WHEN annotator < other THEN fact_id END AS fact_a_id,
+  CASE WHEN annotator > other THEN fact_id END AS fact_b_id, CASE WHEN annotator < other THEN 'unmatched_a' ELSE 'unmatched_b' END AS status,
+  0.0 AS cosine, 'orphan_' || CASE WHEN annotator < other THEN 'unmatched_a' ELSE 'unmatched_b' END AS layer1_reason, CASE WHEN annotator < other THEN subject END AS a_subject
+FROM facts JOIN (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(['ann_a', 'ann_b', CASE WHEN lang = 'en' THEN 'ann_aa' ELSE 'ann_c' END]) AS other FROM documents
+  EXCEPT SELECT doc_id, annotator FROM facts) USING (doc_id)"""))
+def j4_silent(spark, sf):
+    """Everybody was asked about every document; one annotator, another one by language, found nothing."""
+    d = table(spark, sf, "documents").select(F.lit("v1").alias("guideline_version"), F.col("doc_id").cast("string").alias("doc_id"), F.explode(F.array(
+        F.lit("ann_a"), F.lit("ann_b"), F.when(F.col("lang") == "en", F.lit("ann_aa")).otherwise(F.lit("ann_c")))).alias("annotator"))
+    orphans = L.layer1(A.orphans_of_empty_sides(facts(spark, sf), d, A.CARRY))
+    return orphans.select("doc_id", "annotator_a", "annotator_b", "fact_a_id", "fact_b_id", "status", "cosine", "layer1_reason", "a_subject")
+
+
 @register("phase2_label_counts")
 def phase2_counts(spark, sf):
     out = phase2.labelled_pairs(facts(spark, sf), largest_document=fact_bound(spark, sf))

@@ -12,6 +12,7 @@ from factloom.operators import encode as E
 from factloom.operators import entities as N
 from factloom.operators.align_large import align_large
 from factloom.operators.assignment import best_matching, priced_matching
+from factloom.plans import phase2
 
 WORDS = "council commission deficit measures report deadline decision member state budget growth target".split()
 
@@ -98,6 +99,20 @@ def test_empty_side_gives_orphans_without_cosine(spark, make_facts):
     assert len(out) == 3 and {(r.status, r.cosine) for r in out} == {("unmatched_a", None)}
 
 
+def test_roster_reaches_the_whole_run(spark, make_facts):
+    """A document whose second annotator found nothing is compared; without the roster it is refused."""
+    facts = make_facts([fact("A", f"a{i}", "s", "p", "o") for i in range(3)] + [fact(a, f"{a}{i}", "the council", "met", f"day {i}", doc="d2") for a in ("A", "B") for i in range(2)])
+    roster = spark.createDataFrame([("v1", d, a) for d in ("d1", "d2", "d3") for a in ("A", "B", "C")], "guideline_version string, doc_id string, annotator string")
+    plain = phase2.run(facts)["pairs"].collect()
+    assert {r.doc_id for r in plain} == {"d2"}
+    out = phase2.run(facts, roster=roster)
+    rows = out["pairs"].collect()
+    silent = [(r.doc_id, r.annotator_a, r.annotator_b, r.fact_a_id, r.status, r.layer1_reason) for r in rows if r.layer1_reason == "orphan_unmatched_a"]
+    assert len(silent) == 6 + 4 and len(rows) == len(plain) + len(silent)
+    assert {(d, a, b) for d, a, b, *_ in silent} == {("d1", "A", "B"), ("d1", "A", "C"), ("d2", "A", "C"), ("d2", "B", "C")}
+    assert {r.n_facts for r in out["graph_edges"].where("doc_id = 'd1'").collect()} == {3}
+
+
 def test_native_and_task_weights_agree(make_facts):
     facts = make_facts(sample(1, n_docs=1))
     native = E.gram_weights(facts, ["doc_id"], "fact_id", "natural_language").toPandas()
