@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators.align import SCOPE, TASK_CHARS
+from factloom.operators.align import SCOPE
 from factloom.operators.components import connected_components
-from factloom.operators.encode import product, sparse_vectors, stored_vectors, weighted_vectors
+from factloom.operators.encode import _windows
+from factloom.operators.skew import join_weighted
+from factloom.session import checkpoint
 
 
 def surface_forms(facts: DataFrame) -> DataFrame:
@@ -25,103 +27,123 @@ def cluster_id(representative) -> Column:
     return F.concat(F.lit("ent_"), slug, F.lit("_"), F.substring(F.sha1(representative), 1, 8))
 
 
-def _labels(adjacent: np.ndarray) -> np.ndarray:
-    """Component number per row of a symmetric relation: smallest row index reachable."""
-    label = np.arange(len(adjacent))
-    while True:
-        nearest = np.where(adjacent, label[None, :], len(label)).min(axis=1, initial=len(label))
-        nearest = np.minimum(nearest, label)
-        nearest = nearest[nearest]
-        if np.array_equal(nearest, label):
-            return label
-        label = nearest
-
-
-def _similar(vectors, n: int, threshold: float, block: int = 1024) -> np.ndarray:
-    everyone = np.arange(n)
-    out = np.zeros((n, n), dtype=bool)
-    for start in range(0, n, block):
-        rows = everyone[start:start + block]
-        out[rows] = product(vectors, rows, everyone) >= threshold
-    np.fill_diagonal(out, True)
-    return out | out.T
-
-
-def _cluster_scope(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    forms = pdf.drop_duplicates("surface").reset_index(drop=True)
-    keys, position, copies = np.unique(forms["key"].to_numpy(dtype=object).astype(str), return_inverse=True, return_counts=True)
-    label = _labels(_similar(sparse_vectors(list(keys), copies), len(keys), threshold))[position]
-    ranked = pd.DataFrame({"label": label, "n": forms["surface"].str.len(), "surface": forms["surface"]})
-    best = ranked.sort_values(["n", "surface"], kind="stable").drop_duplicates("label").set_index("label")["surface"]
-    forms["representative"] = best.reindex(label).to_numpy()
-    return forms[["guideline_version", "doc_id", "surface", "representative"]]
-
-
 def _merge_key(core_entities: bool) -> Column:
     return F.lower(T.entity_core("surface") if core_entities else F.col("surface"))
 
 
-def cluster(facts: DataFrame, threshold: float = 0.78, core_entities: bool = True) -> DataFrame:
-    """(scope, surface, cluster_id): single-link clusters of similar names per document.
+#: A gram that more prefixes of one document share is dealt into chunks of so many.
+CHUNK = 1024
+MOST_HOT = 250_000
 
-    Names of a document meet in one task; equal merge keys are folded first, so
-    copies cost nothing. Documents too large for a task go through ``cluster_large``.
-    """
-    keyed = surface_forms(facts).select(*SCOPE, "surface", _merge_key(core_entities).alias("key"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _cluster_scope(pdf, threshold)
+def _counted(batches):
+    """Each name with its distinct grams and how often it has them."""
+    for b in batches:
+        held = [_windows(name) for name in b.column("key").to_pylist()]
+        yield pa.record_batch({**{c: b.column(c) for c in b.schema.names if c != "key"}, "gram": pa.array([list(h) for h in held], pa.list_(pa.string())),
+                               "tf": pa.array([list(h.values()) for h in held], pa.list_(pa.int32()))})
 
-    grouped = keyed.groupBy(*SCOPE).applyInPandas(
-        run, "guideline_version string, doc_id string, surface string, representative string")
-    return grouped.select(*SCOPE, "surface", cluster_id(F.col("representative")).alias("cluster_id"))
 
+def name_vectors(keys: DataFrame, threshold: float) -> DataFrame:
+    """(k, g, w, rest, n_prefix): unit TF-IDF vector of each name of (scope, k, key, copies, total), rarest grams first.
 
-def cluster_large(facts: DataFrame, threshold: float = 0.78, core_entities: bool = True, block: int = 2048) -> DataFrame:
-    """The same clusters when one document outgrows a task.
+    ``rest`` is the length of what follows each gram. The first ``n_prefix`` grams are those before which at least
+    ``threshold`` is left: two names that share none of them cannot reach it.
+    """
+    named = keys.select(*SCOPE, "k", "key", "copies")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema if f.name != "key")
+    rows = named.mapInArrow(_counted, kinds + ", gram array<string>, tf array<int>")
+    rows = rows.select(*SCOPE, "k", "copies", F.explode(F.arrays_zip("gram", "tf")).alias("x"))
+    rows = checkpoint(rows.select("k", F.col("copies").cast("int").alias("copies"), F.xxhash64(*SCOPE, "x.gram").alias("g"), F.col("x.tf").alias("tf")))
+    often = rows.groupBy("g").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("n"))
+    met = join_weighted(rows.select("k", "g", "tf"), often, ["g"], "n", rows.count())
+    packed = met.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "g", "tf"))).alias("v")).join(keys.select("k", "total"), "k")
+    weight = F.transform("v", lambda x: (F.log(x["tf"]) + 1.0) * (F.log((F.col("total") + 1.0) / (x["df"] + 1.0)) + 1.0))
+    packed = packed.select("k", F.col("v.g").alias("g"), weight.alias("w"))
+
+    def prefixed(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column("w")
+            w, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+            starts = np.append(0, ends[:-1])
+            owner = np.repeat(np.arange(len(ends)), ends - starts)
+            w = w / np.sqrt(np.add.reduceat(w * w, starts))[owner]
+            gone = np.cumsum(w * w)
+            before = np.append(0.0, gone[ends - 1])[owner]
+            rest = np.sqrt(np.maximum(0.0, 1.0 - (gone - before)))
+            left = 1.0 - (gone - before - w * w)
+            n_prefix = np.add.reduceat((left >= threshold * threshold - 1e-9).astype(np.int64), starts)
+            offsets = pa.array(np.append(0, ends), pa.int32())
+            yield pa.record_batch({"k": b.column("k"), "g": b.column("g"), "w": pa.ListArray.from_arrays(offsets, pa.array(w)),
+                                   "rest": pa.ListArray.from_arrays(offsets, pa.array(rest)), "n_prefix": pa.array(n_prefix, pa.int32())})
+
+    return packed.mapInArrow(prefixed, "k long, g array<long>, w array<double>, rest array<double>, n_prefix int")
+
+
+def _reached(threshold: float):
+    """Exact cosines of (a, b, g_a, w_a, g_b, w_b), a batch at a time; keeps (a, b) that reach the threshold."""
+    def flat(column):
+        return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+
+    def run(batches):
+        for b in batches:
+            (ga, pair_a), (gb, pair_b) = flat(b.column("g_a")), flat(b.column("g_b"))
+            g, pair = np.concatenate([ga, gb]), np.concatenate([pair_a, pair_b])
+            w = np.concatenate([b.column("w_a").flatten().to_numpy(), b.column("w_b").flatten().to_numpy()])
+            order = np.lexsort((g, pair))
+            g, pair, w = g[order], pair[order], w[order]
+            both = np.flatnonzero((g[1:] == g[:-1]) & (pair[1:] == pair[:-1]))
+            dot = np.bincount(pair[both], weights=w[both] * w[both + 1], minlength=b.num_rows)
+            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(dot >= threshold))
+
+    return run
+
+
+def similar_names(vectors: DataFrame, threshold: float, chunk: int = CHUNK) -> DataFrame:
+    """(a, b), a < b: names of one document whose cosine reaches the threshold.
+
+    Prefixes meet on their grams. What they share, and the product of what both have left behind the last shared gram,
+    bounds the cosine; only pairs within the bound fetch whole vectors. A gram of many prefixes is dealt into chunks.
+    """
+    part = lambda c: F.slice(c, 1, F.col("n_prefix")).alias(c)
+    prefix = vectors.select("k", F.explode(F.arrays_zip(part("g"), part("w"), part("rest"))).alias("x")).select("k", "x.*")
+    hot = checkpoint(prefix.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("g", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
+    n_hot = hot.count()
+    left, right, on = prefix, prefix, ["g"]
+    if n_hot:
+        hot, on = F.broadcast(hot) if n_hot <= MOST_HOT else hot, ["g", "c"]
+        held = prefix.join(hot, "g", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        left = held.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        right = held.withColumn("c", F.pmod(F.xxhash64("k"), "chunks").cast("int")).drop("chunks")
+    left, right = (df.select(*on, F.col("k").alias(s), F.col("w").alias(f"w_{s}"), F.col("rest").alias(f"rest_{s}")) for df, s in ((left, "a"), (right, "b")))
+    met = left.join(right, on).where("a < b").groupBy("a", "b").agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("shared"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
+    near = met.where(F.col("shared") + F.col("rest_a") * F.col("rest_b") >= threshold - 1e-9).select("a", "b")
+    of = lambda s: vectors.select(F.col("k").alias(s), F.col("g").alias(f"g_{s}"), F.col("w").alias(f"w_{s}"))
+    return near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "g_a", "w_a", "g_b", "w_b").mapInArrow(_reached(threshold), "a long, b long")
+
+
+def cluster(facts: DataFrame, threshold: float = 0.78, core_entities: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """(scope, surface, cluster_id): single-link clusters of similar names per document.
 
-    Weights are computed relationally over the whole document. Names fall into
-    blocks of bounded size, every pair of blocks is one task, and a task reports
-    only a star per component it sees: linear in its names, however many pairs are
-    similar. Stars of all tasks are joined by connected components.
+    Names with equal merge keys fold first. Weights, candidates and components are joins over all documents at once, so
+    a document may have any number of names; no task holds a document, and there is no matrix.
     """
-    forms = surface_forms(facts).select(*SCOPE, "surface").distinct().withColumn("key", _merge_key(core_entities))
+    forms = checkpoint(surface_forms(facts).select(*SCOPE, "surface").distinct().withColumn("key", _merge_key(core_entities)))
     keys = forms.groupBy(*SCOPE, "key").agg(F.count(F.lit(1)).alias("copies"))
-    sizes = keys.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_keys"))
-    vectors = weighted_vectors(keys, SCOPE, "key", "key").join(sizes, SCOPE)
-    spread = F.greatest(F.lit(1), F.ceil(F.col("n_keys") / block)).cast("int")
-    placed = vectors.withColumn("n_blocks", spread).withColumn("own", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    met = met.select(*SCOPE, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "key",
-                     "grams", "weights")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable").reset_index(drop=True)
-        label = _labels(_similar(stored_vectors(pdf["grams"], pdf["weights"]), len(pdf), threshold))
-        key = pdf["key"].to_numpy()
-        return pd.DataFrame({"guideline_version": pdf["guideline_version"].iloc[0], "doc_id": pdf["doc_id"].iloc[0],
-                             "a": key[label], "b": key})
-
-    stars = met.groupBy(*SCOPE, "p", "q").applyInPandas(run, "guideline_version string, doc_id string, a string, b string")
-    roots = connected_components(stars, SCOPE).withColumnRenamed("node", "key")
-    members = forms.join(roots, [*SCOPE, "key"])
-    named = members.groupBy(*SCOPE, "component").agg(
-        F.min_by("surface", F.struct(F.length("surface"), F.col("surface"))).alias("representative"))
-    return members.join(named, [*SCOPE, "component"]).select(
-        *SCOPE, "surface", cluster_id(F.col("representative")).alias("cluster_id"))
-
-
-def cluster_any(facts: DataFrame, threshold: float = 0.78, core_entities: bool = True,
-                largest_document: int | None = None) -> DataFrame:
-    """Clusters of every document, routed by size like ``align_any``."""
-    if largest_document is not None and largest_document <= TASK_CHARS:
-        return cluster(facts, threshold, core_entities)
-    oversized = surface_forms(facts).groupBy(*SCOPE).agg(F.sum(F.length("surface")).alias("n")).where(
-        F.col("n") > TASK_CHARS).select(*SCOPE)
-    if oversized.isEmpty():
-        return cluster(facts, threshold, core_entities)
-    return cluster(facts.join(oversized, SCOPE, "left_anti"), threshold, core_entities).unionByName(
-        cluster_large(facts.join(oversized, SCOPE, "left_semi"), threshold, core_entities))
+    keys = checkpoint(keys.withColumn("k", F.monotonically_increasing_id()))
+    n = keys.count()
+    totals = keys.groupBy(*SCOPE).agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("names"))
+    vectors = checkpoint(name_vectors(join_weighted(keys, totals, SCOPE, "names", n), threshold))
+    edges = similar_names(vectors, threshold, chunk).select(F.lit(0).alias("s"), "a", "b")
+    roots = connected_components(edges, ["s"]).select(F.col("node").alias("k"), "component")
+    placed = keys.join(roots, "k", "left").select(*SCOPE, "key", F.coalesce("component", "k").alias("root"))
+    members = checkpoint(forms.join(placed, [*SCOPE, "key"]).select(*SCOPE, "surface", "root"))
+    named = members.groupBy("root").agg(F.min(F.struct(F.length("surface").alias("l"), "surface")).alias("x"), F.count(F.lit(1)).alias("n"))
+    named = named.select("root", cluster_id(F.col("x.surface")).alias("cluster_id"), "n")
+    return join_weighted(members, named, ["root"], "n", members.count()).select(*SCOPE, "surface", "cluster_id")
 
 
 def alignment_components(pairs: DataFrame, facts: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ from factloom.operators import reified as RG
 from factloom.operators.align import SCOPE
 from factloom.sources.tables import facts, pairs, table
 from factloom.workload.base import LOWER_COLLAPSED, facts_sql, predicate_key_sql, register, sql_cue, with_sql
-from factloom.workload.pair_queries import fact_bound, labelled, labelled_sql
+from factloom.workload.text_queries import ENTITY_SQL
+from factloom.workload.pair_queries import labelled, labelled_sql
 
 
 def clusters(fact_table):
@@ -67,9 +68,33 @@ def _edges(spark, sf):
     return G.edges(resolved(spark, sf), labelled(spark, sf))
 
 
-@register("c1_entity_clusters")
+CLUSTER_SQL = facts_sql() + "," + RESOLVED + """,
+names AS (SELECT DISTINCT doc_id, surface FROM member),
+ents AS (SELECT DISTINCT surface AS raw FROM names),""" + ENTITY_SQL[ENTITY_SQL.index("dated AS"):] + r""",
+keyed AS MATERIALIZED (SELECT doc_id, surface, lower(coalesce(nullif(trim(array_to_string(kept, ' '), ' ,;:.'), ''), trim(raw))) AS key FROM names JOIN cores ON raw = surface),
+keys AS (SELECT doc_id, key, count(*) AS copies FROM keyed GROUP BY ALL),
+word AS (SELECT doc_id, key, copies, ' ' || unnest(list_filter(string_split_regex(key, '\s+'), lambda x: x <> '')) || ' ' AS w FROM keys),
+gram AS (SELECT doc_id, key, copies, unnest(list_concat(list_concat(
+    list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)),
+    list_transform(range(1, length(w) - 2), lambda i: substring(w, i, 4))),
+    list_transform(range(1, length(w) - 3), lambda i: substring(w, i, 5)))) AS gram FROM word),
+tf AS (SELECT doc_id, key, copies, gram, count(*) AS tf FROM gram GROUP BY ALL),
+df AS (SELECT doc_id, gram, sum(copies) AS df FROM tf GROUP BY ALL),
+total AS (SELECT doc_id, sum(copies) AS n FROM keys GROUP BY doc_id),
+raw_w AS (SELECT doc_id, key, gram, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS r FROM tf JOIN df USING (doc_id, gram) JOIN total USING (doc_id)),
+weight AS MATERIALIZED (SELECT doc_id, key, gram, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id, key)) AS w FROM raw_w),
+link AS MATERIALIZED (SELECT x.doc_id, x.key AS a, y.key AS b FROM weight x JOIN weight y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.key <> y.key
+  GROUP BY ALL HAVING sum(x.w * y.w) >= 0.78),
+reach AS (SELECT doc_id, key, key AS spot FROM keys UNION SELECT r.doc_id, r.key, l.b FROM reach r JOIN link l ON l.doc_id = r.doc_id AND l.a = r.spot),
+root AS (SELECT doc_id, key, min(spot) AS root FROM reach GROUP BY ALL),
+rep AS (SELECT doc_id, root, min_by(surface, {'n': length(surface), 's': surface}) AS rep FROM keyed JOIN root USING (doc_id, key) GROUP BY ALL)"""
+
+
+@register("c1_entity_clusters", "WITH RECURSIVE " + CLUSTER_SQL.strip() + r"""
+SELECT doc_id, surface, 'ent_' || trim(substr(regexp_replace(lower(rep), '[^a-z0-9]+', '_', 'g'), 1, 24), '_') || '_' || substr(sha1(rep), 1, 8) AS cluster_id
+FROM keyed JOIN root USING (doc_id, key) JOIN rep USING (doc_id, root)""")
 def c1(spark, sf):
-    found = E.cluster_any(facts(spark, sf), largest_document=fact_bound(spark, sf))
+    found = E.cluster(facts(spark, sf))
     return found.select("doc_id", "surface", "cluster_id")
 
 

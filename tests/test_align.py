@@ -164,14 +164,13 @@ def brute_clusters(names, threshold):
     return {frozenset(g) for g in group.values()}
 
 
-@pytest.mark.parametrize("route", ["task", "large"])
-def test_clusters_match_brute_force(make_facts, route):
+@pytest.mark.parametrize("chunk", [N.CHUNK, 2])
+def test_clusters_match_brute_force(make_facts, chunk):
     names = ["general government deficit", "the general government deficit", "General Government Deficit", "government deficit", "savings measure",
              "savings measures", "European Commission", "Commission of Europe", "null", "  "]
     rows = [fact("A", f"a{i}", n, "p", names[(i + 1) % len(names)]) for i, n in enumerate(names)]
     facts = make_facts(rows)
-    build = N.cluster if route == "task" else (lambda f, t, core_entities: N.cluster_large(f, t, core_entities, block=2))
-    got = build(facts, 0.6, core_entities=False).toPandas()
+    got = N.cluster(facts, 0.6, core_entities=False, chunk=chunk).toPandas()
     clusters = {frozenset(g) for g in got.groupby("cluster_id")["surface"].agg(list)}
     assert clusters == brute_clusters([n for n in names if n.strip() and n != "null"], 0.6)
 
