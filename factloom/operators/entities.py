@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators.align import SCOPE
-from factloom.operators.components import connected_components
+from factloom.operators.components import connected_components, connected_components_of_hubs
 from factloom.operators.encode import _windows
 from factloom.operators.skew import join_weighted
 from factloom.session import checkpoint
@@ -138,7 +138,7 @@ def cluster(facts: DataFrame, threshold: float = 0.78, core_entities: bool = Tru
     totals = keys.groupBy(*SCOPE).agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("names"))
     vectors = checkpoint(name_vectors(join_weighted(keys, totals, SCOPE, "names", n), threshold))
     edges = similar_names(vectors, threshold, chunk).select(F.lit(0).alias("s"), "a", "b")
-    roots = connected_components(edges, ["s"]).select(F.col("node").alias("k"), "component")
+    roots = connected_components_of_hubs(edges, ["s"]).select(F.col("node").alias("k"), "component")
     placed = keys.join(roots, "k", "left").select(*SCOPE, "key", F.coalesce("component", "k").alias("root"))
     members = checkpoint(forms.join(placed, [*SCOPE, "key"]).select(*SCOPE, "surface", "root"))
     named = members.groupBy("root").agg(F.min(F.struct(F.length("surface").alias("l"), "surface")).alias("x"), F.count(F.lit(1)).alias("n"))
