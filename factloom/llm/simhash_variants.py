@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import cut
-from factloom.operators.components import connected_components
+from factloom.operators.components import connected_components_of_hubs
 from factloom.operators.skew import join_weighted
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -213,7 +213,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = _marked(units, radius, limit)
     dealt = F.when(F.col("chunks") > 1, F.xxhash64("variant", F.pmod(F.xxhash64("fp"), "chunks"))).otherwise(F.col("variant"))
     edges = cut(_edges(_variants(marked).select(dealt.alias("key"), "fp"), radius).distinct())
-    parts = lambda e: connected_components(e.select(F.lit(0).alias("scope"), "a", "b"), ["scope"]).select(
+    parts = lambda e: connected_components_of_hubs(e.select(F.lit(0).alias("scope"), "a", "b"), ["scope"]).select(
         F.col("node").alias("fp"), F.col("component").alias("part"))
     large = cut(_variants(marked.where("marks is not null")).where("chunks > 1").select("variant", "fp"))
     found = parts(edges)
