@@ -6,8 +6,10 @@ so a window's fingerprint is a difference of two rows. Item sizes are gathered i
 classes a few per cent apart, and windows step by a small part of their size from
 the first word of each document on, with one more window at its end, so one
 window is always nearly in place. A multi-index over blocks of the
-fingerprint finds, by the pigeonhole principle, every item of the class within
-the radius. Survivors are moved over the words around them and verified by the
+fingerprint finds every item of the class within the radius: the blocks' own
+radii and one each add up to one more than the radius, so whoever is beyond all
+of them is beyond it. Each block value leads to the list of items near it, and
+only listed items are compared. Survivors are moved over the words around them and verified by the
 exact Jaccard similarity of their word shingles with the item's, plain or
 weighted, whichever is greater; in the weighted one a shingle that several
 distinct items share weighs less. Those counts are taken once over all items, so
@@ -34,14 +36,14 @@ from pyspark.sql import functions as F
 from factloom.llm.common import fresh, remembered, shingles, text_words
 
 N, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 17, 4
-#: Items per pass.
-SLICE = 20_000
+#: Items per pass; their lists take about 13 kB each in every worker.
+SLICE = 5_000
 #: Windows step by this part of their size, and the sizes of a class differ by as much at either side.
 STEP = 16
 #: Word pairs whose votes are summed up at a time.
 BLOCK = 1 << 15
-#: Windows and items compared at a time.
-WINDOWS = 2048
+#: Windows times items of a class that are looked up at a time.
+LOOKED_UP = 1 << 21
 
 
 def votes(pairs: np.ndarray, kind: type) -> np.ndarray:
@@ -104,13 +106,10 @@ class Index:
             sizes = sizes[len(inside) :]
             size = (inside[0] + inside[-1]) // 2
             members[size] = [i for i, h in enumerate(self.words) if inside[0] <= len(h) <= inside[-1]]
-        self.width = 64 // blocks
+        self.blocks, self.lists = blocks, {}
         for size, held in members.items():
             prints = np.array([self._print(self.words[i]) for i in held], dtype=np.uint64)
-            tables = self._tables(prints, blocks)
-            # where the blocks would let most windows through, all items are compared at once; the result is the same
-            tables = tables if sum(t.mean() for t in tables) < 0.3 else None
-            self.classes.append((size, max(1, round(size / STEP)), np.array(held), prints, tables))
+            self.classes.append((size, max(1, round(size / STEP)), np.array(held), prints))
         longest = max(members)
         self.kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
 
@@ -129,34 +128,44 @@ class Index:
         pairs = shingles(hashes, 2)
         return int(fingerprints(votes(pairs, np.uint32), np.uint32, len(pairs), np.array([0]))[0])
 
-    def _tables(self, prints: np.ndarray, blocks: int) -> list[np.ndarray]:
-        """For each block, which of its values lie near enough to an item's: whoever differs in at most ``radius``
-        bits differs in at most ``radius // blocks`` of them in one block at least."""
-        values = np.arange(1 << self.width, dtype=np.uint64)
-        out = []
-        for b in range(blocks):
-            near = np.zeros(1 << self.width, dtype=bool)
-            for v in np.unique((prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)):
-                near |= np.bitwise_count(values ^ v) <= self.radius // blocks
-            out.append(near)
+    def _block_lists(self, prints: np.ndarray) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
+        """For each block (shift, first place of each of its values, items): the items near a value lie side by side."""
+        width, out = 64 // self.blocks, []
+        each, more = divmod(self.radius + 1, self.blocks)
+        values = np.arange(1 << width, dtype=np.uint32)
+        kind = np.uint16 if len(prints) <= 1 << 16 else np.int32
+        for b in range(self.blocks):
+            near = values[np.bitwise_count(values) <= each + (b < more) - 1] if each + (b < more) else values[:0]
+            shift = np.uint64(b * width)
+            own = ((prints >> shift) & np.uint64((1 << width) - 1)).astype(np.uint32)
+            keys = (own[:, None] ^ near[None, :]).ravel().astype(np.uint16 if width <= 16 else np.uint32)
+            order = np.argsort(keys, kind="stable")
+            first = np.zeros((1 << width) + 1, dtype=np.int64)
+            np.cumsum(np.bincount(keys, minlength=1 << width), out=first[1:])
+            out.append((shift, first, (order // max(1, len(near))).astype(kind)))
         return out
 
-    def _near(self, got: np.ndarray, prints: np.ndarray, tables: list[np.ndarray] | None):
-        """(window, item) positions within the radius."""
-        at = None
-        if tables is not None:
-            near = np.zeros(len(got), dtype=bool)
-            for b, table in enumerate(tables):
-                near |= table[(got >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)]
-            at = np.flatnonzero(near)
-            got = got[at]
-        for lo in range(0, len(got), WINDOWS):
-            for k in range(0, len(prints), WINDOWS):
-                close = np.bitwise_count(prints[k : k + WINDOWS, None] ^ got[None, lo : lo + WINDOWS]) <= self.radius
-                found = np.flatnonzero(close.ravel())
-                if len(found):
-                    i, w = np.divmod(found, close.shape[1])
-                    yield (lo + w if at is None else at[lo + w]), k + i
+    def _near(self, got: np.ndarray, size: int, prints: np.ndarray):
+        """(window, item) positions within the radius, of the items that the blocks of a window lead to."""
+        lists = self.lists.get(size)
+        if lists is None:
+            lists = self.lists[size] = self._block_lists(prints)
+        mask, most = np.uint64((1 << 64 // self.blocks) - 1), max(1, LOOKED_UP // len(prints))
+        for lo in range(0, len(got), most):
+            part, found = got[lo : lo + most], []
+            for shift, first, items in lists:
+                value = ((part >> shift) & mask).astype(np.intp)
+                begin = first[value]
+                n = first[value + 1] - begin
+                end = np.cumsum(n)
+                w = np.repeat(np.arange(len(part)), n)
+                i = items[np.arange(end[-1]) + np.repeat(begin - end + n, n)]
+                close = np.flatnonzero(np.bitwise_count(prints[i] ^ part[w]) <= self.radius)
+                if len(close):
+                    found.append(w[close] * len(prints) + i[close])
+            if found:
+                w, i = np.divmod(np.unique(np.concatenate(found)), len(prints))
+                yield lo + w, i
 
     def candidates(self, words: list[np.ndarray]):
         """(document, item, first word, words) positions of all windows within the radius, for several documents at once."""
@@ -169,18 +178,23 @@ class Index:
         grids = [grid(*of, max(2, size), step) for of, (size, step, *_) in zip(longer, self.classes)]
         for lo in range(0, len(pairs), BLOCK):
             sums = votes(pairs[lo : lo + BLOCK + most], self.kind)
-            for (size, _, held, prints, tables), starts in zip(self.classes, grids):
+            for (size, _, held, prints), starts in zip(self.classes, grids):
                 starts = starts[slice(*np.searchsorted(starts, [lo, lo + BLOCK]))]
                 if not len(starts):
                     continue
-                for w, i in self._near(fingerprints(sums, self.kind, max(1, size - 1), starts - lo), prints, tables):
+                for w, i in self._near(fingerprints(sums, self.kind, max(1, size - 1), starts - lo), size, prints):
                     first = starts[w]
                     yield doc_of[first], held[i], first - begins[doc_of[first]], size
-        for size, _, held, prints, _ in self.classes:  # a text not longer than the window is one window, if long enough to match
-            for d in np.flatnonzero((lengths <= size) & (lengths > 0) & (lengths >= self.similarity * size - self.n)).tolist():
-                got = np.array([self._print(words[d])], dtype=np.uint64)
-                for _, i in self._near(got, prints, None):
-                    yield np.full(len(i), d), held[i], np.zeros(len(i), dtype=np.int64), int(lengths[d])
+        own = {}
+        for size, _, held, prints in self.classes:  # a text not longer than the window is one window, if long enough to match
+            short = np.flatnonzero((lengths <= size) & (lengths > 0) & (lengths >= self.similarity * size - self.n))
+            for d in short.tolist():
+                if d not in own:
+                    own[d] = self._print(words[d])
+            for w, i in self._near(np.array([own[d] for d in short.tolist()], dtype=np.uint64), size, prints):
+                for at in np.unique(w):
+                    d, items = short[at], held[i[w == at]]
+                    yield np.full(len(items), d), items, np.zeros(len(items), dtype=np.int64), int(lengths[d])
 
     def best(self, item: int, hashes: np.ndarray, grams: np.ndarray, weights: np.ndarray, at: int, size: int) -> tuple[float, int, int]:
         """(similarity, first word, words) of the most similar item-sized window at most a step away from ``at``."""

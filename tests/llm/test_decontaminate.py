@@ -52,21 +52,51 @@ def test_empty_tables_and_slices(make_docs, spark, rng, monkeypatch):
 def test_blocks_find_everything_within_the_radius(rng):
     import numpy as np
 
-    texts = [prose(rng, 30) for _ in range(3)]
-    index = D.Index([1, 2, 3], texts, 5, 0.8, 7, 4)
-    _, _, _, prints, tables = index.classes[0]
-    assert tables is not None
     bits = np.random.default_rng(0)
-    got = []
-    for p in prints.tolist():
-        for r in range(10):
-            x = p
-            for b in bits.choice(64, r, replace=False).tolist():
-                x ^= 1 << b
-            got.append(x)
-    got = np.array(got, dtype=np.uint64)
-    found = {(int(w), int(i)) for ws, js in index._near(got, prints, tables) for w, i in zip(ws, js)}
-    assert found == {(w, i) for w in range(len(got)) for i in range(len(prints)) if bin(int(got[w]) ^ int(prints[i])).count("1") <= 7}
+    texts = [prose(rng, rng.choice([12, 30, 31, 90, 400])) for _ in range(60)]
+    for radius, blocks in ((7, 4), (D.RADIUS, D.BLOCKS), (3, 5)):
+        index = D.Index(list(range(60)), texts, 5, 0.8, radius, blocks)
+        assert len(index.classes) >= 4
+        for size, _, _, prints in index.classes:
+            got = bits.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + bits.integers(0, 2, 3000, dtype=np.uint64)
+            near = []
+            for p in prints.tolist():
+                for r in range(radius + 3):
+                    x = p
+                    for b in bits.choice(64, r, replace=False).tolist():
+                        x ^= 1 << b
+                    near.append(x)
+            got = np.concatenate([got, np.array(near, dtype=np.uint64)])
+            found = [(int(w), int(i)) for ws, js in index._near(got, size, prints) for w, i in zip(ws, js)]
+            apart = np.bitwise_count(got[:, None] ^ prints[None, :])
+            assert len(found) == len(set(found)) and set(found) == set(zip(*(x.tolist() for x in np.nonzero(apart <= radius))))
+        # every class went through its lists, which are far from holding every item for every value
+        assert set(index.lists) == {c[0] for c in index.classes}
+        for size, _, _, prints in index.classes:
+            assert sum(len(items) / (len(first) - 1) for _, first, items in index.lists[size]) < 0.12 * len(prints)
+
+
+def test_leaks_equal_all_windows_against_all_items(rng, monkeypatch):
+    import numpy as np
+
+    items = [prose(rng, rng.choice([20, 40, 60])) for _ in range(25)]
+    docs = [prose(rng, rng.randrange(0, 300)) for _ in range(20)]
+    for k in range(40):
+        w = items[k % 25].split()
+        for _ in range(k % 4):
+            w[rng.randrange(len(w))] = "other"
+        docs.append(" ".join([prose(rng, rng.randrange(1, 60)), *w, prose(rng, rng.randrange(1, 60))]))
+    docs += [" ".join(i.split()[: -k or None]) for k, i in enumerate(items[:6])]
+    words = text_words(docs)
+    by_lists = D.Index(list(range(25)), items, 5, 0.8, D.RADIUS, D.BLOCKS).hits(words)
+
+    def every(self, got, size, prints):
+        w, i = np.nonzero(np.bitwise_count(got[:, None] ^ prints[None, :]) <= self.radius)
+        yield w, i
+
+    monkeypatch.setattr(D.Index, "_near", every)
+    assert by_lists == D.Index(list(range(25)), items, 5, 0.8, D.RADIUS, D.BLOCKS).hits(words)
+    assert all(any(h[0] == k % 25 and h[1] == 1.0 for h in by_lists[20 + k]) for k in range(0, 40, 4))
 
 
 def test_windows_start_anew_in_every_document(rng):
