@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from factloom.functions import rules as R
 from factloom.functions import text as T
@@ -152,8 +153,14 @@ def anchor_quotes(rows: DataFrame, quote: str = "source_quote", text: str = "sec
 
 
 def build_facts(anchored: DataFrame) -> DataFrame:
-    """Facts with ids and prose locators. Needs doc_id, annotator, guideline_version, section_path."""
-    return anchored.select(
+    """Facts with ids and prose locators. Needs doc_id, annotator, guideline_version, section_path.
+
+    ``fact_pos`` is a fact's place in its annotator's list for the document: by section, group and triple,
+    counted from 0 without gaps, so any number of groups and triples keep places of their own.
+    """
+    listed = W.partitionBy("guideline_version", "doc_id", "annotator").orderBy(
+        T.section_order("section_path"), "section_path", "group_index", "triple_index", "char_start", "subject", "predicate", "object")
+    return anchored.withColumn("_place", F.row_number().over(listed) - 1).select(
         T.fact_id("annotator", "doc_id", "section_path", "group_index", "triple_index").alias("fact_id"),
         "doc_id", "annotator", "guideline_version", "subject", "predicate", "object", "condition", "temporal_context",
         T.group_id("annotator", "doc_id", "section_path", "group_index").alias("group_id"), "logic_group", "logic_op", "natural_language",
@@ -163,7 +170,7 @@ def build_facts(anchored: DataFrame) -> DataFrame:
                  F.lit(None).cast("array<int>").alias("col_indices"), F.lit(None).cast("string").alias("linearized_sentence")).alias("source_locator"),
         F.lit("unlabeled").alias("conflict_label"),
         F.struct(F.col("anchor_score").alias("anchor_score"), F.col("source_quote").alias("model_quote"), F.col("triple_index").alias("triple_index")).alias("extra"),
-        (F.col("group_index") * 1000 + F.col("triple_index")).alias("fact_pos"))
+        F.col("_place").alias("fact_pos"))
 
 
 def annotate(sections: DataFrame, ask: Callable[[str], str], annotator: str, guideline_version: str = "v1", prompt: Column | None = None,

@@ -12,7 +12,7 @@ from factloom.operators.align import SCOPE
 
 # How many sorted values an edge shows, and how long each may be.
 EDGE_CAPS = {"qualifier": 6, "group": 8, "condition": 4, "temporal": 4}
-QUALIFIER_CHARS, EDGE_CONDITION_CHARS, EDGE_TEMPORAL_CHARS = 60, 80, 60
+QUALIFIER_CHARS, EDGE_CONDITION_CHARS, EDGE_TEMPORAL_CHARS, EDGE_NAME_CHARS = 60, 80, 60, 24
 
 
 def resolve(facts: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -70,8 +70,10 @@ EDGE = [*SCOPE, "s_cluster", "predicate_key", "o_cluster"]
 def edges(resolved: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per (subject cluster, normalised predicate, object cluster).
 
-    Fact ids stay in ``edge_facts``; an edge keeps their number. Everything else an
-    edge shows is either a scalar aggregate or a capped list.
+    Fact ids stay in ``edge_members``, one row each, as a name may hold any share of them; an edge keeps their number.
+    Labels are of a fixed set and sections of the edge's own document. Everything else an edge shows is either a
+    scalar aggregate or a capped list. ``edge_name`` is the readable id, unique within a document and version as
+    long as predicates differ in their first characters; ``edge_id`` always is.
     """
     members = edge_facts(resolved)
     decided = strongest_by(labels_of_facts(pairs), [*SCOPE, "fact_id"]).withColumnRenamed("conflict_label", "_label")
@@ -80,6 +82,8 @@ def edges(resolved: DataFrame, pairs: DataFrame) -> DataFrame:
     scalars = members.join(decided, [*SCOPE, "fact_id"], "left").groupBy(*EDGE).agg(
         F.count_distinct("fact_id").alias("n_facts"),
         F.array_sort(F.collect_set("annotator")).alias("annotators"),
+        F.array_sort(F.collect_set("_label")).alias("labels"),
+        F.array_sort(F.collect_set(F.when(F.col("source_locator.section_path") != "", F.col("source_locator.section_path")))).alias("section_paths"),
         F.bool_or(R.is_conditional(condition, said)).alias("conditional"),
         F.max_by("_label", F.when(F.col("_label").isNotNull(), R.severity("_label"))).alias("conflict_label"))
     kinds = F.concat(
@@ -91,9 +95,23 @@ def edges(resolved: DataFrame, pairs: DataFrame) -> DataFrame:
     return (scalars.join(lists, EDGE, "left")
             .withColumn("conflict_label", F.coalesce("conflict_label", F.lit("unlabeled")))
             .withColumn("n_annotators", F.size("annotators"))
+            .withColumn("edge_name", edge_name())
             .withColumn("edge_id", T.sha_id(*EDGE, prefix="e_")))
 
 
+def edge_name() -> Column:
+    """Ends and the beginning of the predicate, blanks as underscores."""
+    return F.replace(F.concat(F.lit("e_"), "s_cluster", F.lit("__"), F.substring("predicate_key", 1, EDGE_NAME_CHARS), F.lit("__"), "o_cluster"), F.lit(" "), F.lit("_"))
+
+
+def edge_members(resolved: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(edge_id, edge_name, fact_id, annotator, section_path, conflict_label): the facts of every edge, however many."""
+    decided = strongest_by(labels_of_facts(pairs), [*SCOPE, "fact_id"])
+    return edge_facts(resolved).select(
+        *SCOPE, "fact_id", "annotator", "source_locator.section_path", edge_name().alias("edge_name"), T.sha_id(*EDGE, prefix="e_").alias("edge_id")).join(
+        decided, [*SCOPE, "fact_id"], "left").withColumn("conflict_label", F.coalesce("conflict_label", F.lit("unlabeled"))).dropDuplicates(["edge_id", "fact_id"])
+
+
 def nodes(resolved: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Entity nodes with their surface forms, annotators and the worst label on any incident edge."""
     seen = resolved.select(*SCOPE, "annotator", F.explode(F.array(

@@ -137,6 +137,24 @@ def a7(spark, sf):
                                     joined("groups"), joined("conditions"), joined("temporals"), "conflict_label")
 
 
+NAME_SQL = "replace('e_' || s_cluster || '__' || substr(predicate_key, 1, 24) || '__' || o_cluster, ' ', '_')"
+
+
+@register("a7_x16_edge_members", with_sql(FLAT, f"""
+SELECT doc_id, 'e_' || substr(sha1(concat_ws('|', guideline_version, doc_id, s_cluster, predicate_key, o_cluster)), 1, 16) AS edge_id,
+  {NAME_SQL} AS edge_name, fact_id, annotator, section_path, coalesce(label, 'unlabeled') AS conflict_label FROM edge_fact"""))
+def a7_members(spark, sf):
+    return G.edge_members(resolved(spark, sf), labelled(spark, sf)).select("doc_id", "edge_id", "edge_name", "fact_id", "annotator", "section_path", "conflict_label")
+
+
+@register("a7_x16_edge_sections", with_sql(FLAT, f"""
+SELECT doc_id, {NAME_SQL} AS edge_name, array_to_string(list_sort(list_distinct(list(section_path))), '|') AS section_paths,
+  coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE label IS NOT NULL))), '|'), '') AS labels
+FROM edge_fact GROUP BY guideline_version, doc_id, s_cluster, predicate_key, o_cluster"""))
+def a7_sections(spark, sf):
+    return _edges(spark, sf).select("doc_id", "edge_name", F.array_join("section_paths", "|").alias("section_paths"), F.array_join("labels", "|").alias("labels"))
+
+
 @register("a8_j17_flat_nodes", with_sql(FLAT, f"""
 SELECT m.*, coalesce(w.label, 'unlabeled') AS conflict_label FROM (
   SELECT doc_id, cluster_id, min_by(surface, {{'n': length(surface), 's': surface}}) AS full_label, count(DISTINCT surface) AS n_surface,

@@ -15,6 +15,7 @@ from factloom.operators import reviews as V
 from factloom.operators import synth as Y
 from factloom.operators.align import SCOPE
 from factloom.sources import files as S
+from factloom.sources import selection as SEL
 from factloom.sources.tables import facts, pairs, sentences, spread, table
 from factloom.workload.base import SENTENCES_SQL, facts_sql, pairs_sql, register, with_sql
 from factloom.workload.graph_queries import FLAT
@@ -334,7 +335,11 @@ def p5(spark, sf):
 
 def _legal_texts(spark, sf):
     """Acts laid out from document sentences: title, citations, numbered recitals, articles, annex, closing."""
-    s = sentences(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "pos", F.regexp_replace("body", r"\s+", " ").alias("body"))
+    return _acts_of(sentences(spark, sf))
+
+
+def _acts_of(found):
+    s = found.select(F.col("doc_id").cast("string").alias("doc_id"), "pos", F.regexp_replace("body", r"\s+", " ").alias("body"))
     role = (F.when(F.col("pos") == 0, F.concat("body", F.lit("\n\nTHE COUNCIL,\n")))
             .when(F.col("pos") <= 2, F.concat(F.lit("Having regard to "), "body", F.lit(",\n")))
             .when(F.col("pos") <= 5, F.concat(F.lit("("), (F.col("pos") - 2).cast("string"), F.lit(") "), "body", F.lit("\n")))
@@ -366,6 +371,35 @@ def f1(spark, sf):
     return d.select("doc_id", P.quality_rejection("document").alias("reason"))
 
 
+SELECT_NEED = 200  # documents that the registered selection is to find
+
+
+@register("s17_f1_selection_with_stop", with_sql(SENTENCES_SQL + r""",
+line AS (SELECT doc_id, pos, length(CASE WHEN pos = 6 THEN 'Article 1' || chr(10) WHEN pos % 5 = 0 THEN 'Article ' || (pos // 5 + 1) || chr(10) ELSE '' END
+  || regexp_replace(body, '\s+', ' ', 'g') || chr(10)) AS n FROM sents WHERE pos >= 6),
+size AS (SELECT doc_id, sum(n) - 1 AS n_enacting FROM line GROUP BY doc_id),
+title AS (SELECT doc_id, regexp_replace(body, '\s+', ' ', 'g') AS title FROM sents WHERE pos = 0),
+judged AS (SELECT doc_id, CASE WHEN coalesce(length(title), 0) < 5 THEN 'title missing or too short' WHEN n_enacting IS NULL THEN 'no articles parsed'
+    WHEN n_enacting < 200 THEN 'enacting_text too short (' || CAST(n_enacting AS BIGINT) || ' chars)' ELSE '' END AS reason
+  FROM documents LEFT JOIN title USING (doc_id) LEFT JOIN size USING (doc_id)
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)),
+run AS (SELECT *, coalesce(sum(CASE WHEN reason = '' THEN 1 ELSE 0 END) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM judged)""", f"""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id AS source_index, reason, reason = '' AS accepted FROM run WHERE before < {SELECT_NEED}"""))
+def s17(spark, sf):
+    """Acts laid out from documents in id order; those that the labels call good are in the manifest already."""
+    documents = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("source_index"), "text")
+    manifest = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
+
+    def judge(rows):
+        acts = _acts_of(T.explode_sections(rows.select("doc_id", "text"), "text", "sentence"))
+        parsed = acts.select("doc_id", P.plain_text_document("doc_id", "text").alias("document")).select(
+            "doc_id", P.quality_rejection("document").alias("reason"))
+        return rows.select("doc_id", "source_index").join(parsed, "doc_id", "left").withColumn(
+            "reason", F.coalesce("reason", F.lit("title missing or too short")))
+
+    return SEL.select_until(documents, manifest, SELECT_NEED, judge)
+
+
 @register("p8_section_enumeration", with_sql(SENTENCES_SQL, """
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'preamble.recitals[' || pos || ']' AS section_path, char_start AS base_offset, sha1(body) AS text_sha FROM sents"""))
 def p8(spark, sf):
@@ -410,6 +444,16 @@ def p11(spark, sf):
     return X.build_facts(anchored).select("doc_id", "source_locator.char_start", "source_locator.char_end", "fact_id")
 
 
+@register("p12_fact_positions", with_sql(facts_sql(), """
+SELECT doc_id, section_path, fact_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CAST(regexp_extract(section_path, '([0-9]+)', 1) AS BIGINT), place, i) - 1 AS INTEGER) AS fact_pos
+FROM (SELECT doc_id, section_path, fact_pos AS place, t.i, substr(sha1(concat_ws('|', 'ann_a', doc_id, section_path, fact_pos, t.i)), 1, 16) AS fact_id
+  FROM facts, (VALUES (0), (1)) t(i) WHERE annotator = 'ann_a' AND fact_pos % 7 <> 0 AND trim(object) <> '' AND predicate <> '')"""))
+def p12(spark, sf):
+    """Places of facts in their document's list when every section numbers its groups anew, with gaps of any size."""
+    anchored = X.anchor_quotes(X.parse_responses(_responses(spark, sf)).withColumn("group_index", F.col("fact_pos")).drop("fact_pos"))
+    return X.build_facts(anchored).select("doc_id", "source_locator.section_path", "fact_id", "fact_pos")
+
+
 @register("p11_fuzzy_anchors")
 def p11_fuzzy(spark, sf):
     """Statements whose subject was reworded no longer occur verbatim and need the similarity search."""
