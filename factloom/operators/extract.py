@@ -14,6 +14,7 @@ from factloom.functions import rules as R
 from factloom.functions import text as T
 
 ANCHOR_MIN_SCORE = 70.0  # fixed value: weaker anchors are dropped
+GROUP_STRIDE = 1000  # places from one group to the next, unless a group is larger
 
 
 def response_problem(raw: str = "response") -> Column:
@@ -155,12 +156,14 @@ def anchor_quotes(rows: DataFrame, quote: str = "source_quote", text: str = "sec
 def build_facts(anchored: DataFrame) -> DataFrame:
     """Facts with ids and prose locators. Needs doc_id, annotator, guideline_version, section_path.
 
-    ``fact_pos`` is a fact's place in its annotator's list for the document: by section, group and triple,
-    counted from 0 without gaps, so any number of groups and triples keep places of their own.
+    ``fact_pos`` orders an annotator's facts of a document by section, group and triple. Groups are ``GROUP_STRIDE``
+    apart, or as far as the document's largest group needs, so no two triples share a place; a document of more groups
+    than an int can hold places for raises an overflow instead.
     """
-    listed = W.partitionBy("guideline_version", "doc_id", "annotator").orderBy(
-        T.section_order("section_path"), "section_path", "group_index", "triple_index", "char_start", "subject", "predicate", "object")
-    return anchored.withColumn("_place", F.row_number().over(listed) - 1).select(
+    whole = W.partitionBy("guideline_version", "doc_id", "annotator")
+    group = F.dense_rank().over(whole.orderBy(T.section_order("section_path"), "section_path", "group_index")) - 1
+    stride = F.greatest(F.lit(GROUP_STRIDE), F.max("triple_index").over(whole) + 1)
+    return anchored.withColumn("_place", (group * stride + F.col("triple_index")).cast("int")).select(
         T.fact_id("annotator", "doc_id", "section_path", "group_index", "triple_index").alias("fact_id"),
         "doc_id", "annotator", "guideline_version", "subject", "predicate", "object", "condition", "temporal_context",
         T.group_id("annotator", "doc_id", "section_path", "group_index").alias("group_id"), "logic_group", "logic_op", "natural_language",

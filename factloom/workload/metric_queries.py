@@ -445,7 +445,7 @@ def p11(spark, sf):
 
 
 @register("p12_fact_positions", with_sql(facts_sql(), """
-SELECT doc_id, section_path, fact_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CAST(regexp_extract(section_path, '([0-9]+)', 1) AS BIGINT), place, i) - 1 AS INTEGER) AS fact_pos
+SELECT doc_id, section_path, fact_id, CAST((dense_rank() OVER (PARTITION BY doc_id ORDER BY CAST(regexp_extract(section_path, '([0-9]+)', 1) AS BIGINT), place) - 1) * 1000 + i AS INTEGER) AS fact_pos
 FROM (SELECT doc_id, section_path, fact_pos AS place, t.i, substr(sha1(concat_ws('|', 'ann_a', doc_id, section_path, fact_pos, t.i)), 1, 16) AS fact_id
   FROM facts, (VALUES (0), (1)) t(i) WHERE annotator = 'ann_a' AND fact_pos % 7 <> 0 AND trim(object) <> '' AND predicate <> '')"""))
 def p12(spark, sf):
