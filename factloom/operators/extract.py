@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import Window as W
 
 from factloom.functions import rules as R
 from factloom.functions import text as T
+from factloom.operators.anchors import fuzzy_anchor
 
 ANCHOR_MIN_SCORE = 70.0  # fixed value: weaker anchors are dropped
 GROUP_STRIDE = 1000  # places from one group to the next, unless a group is larger
@@ -64,76 +64,6 @@ def parse_responses(responses: DataFrame, raw: str = "response") -> DataFrame:
         F.when(op.isin(R.LOGIC_OPERATORS), op).otherwise(F.lit("")).alias("logic_op"))
 
 
-def _common_subsequence(pattern: dict[str, int], size: int, window: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over the pattern."""
-    state = (1 << size) - 1
-    for ch in window:
-        hit = state & pattern.get(ch, 0)
-        state = ((state + hit) | (state - hit)) & ((1 << size) - 1)
-    return size - state.bit_count()
-
-
-def _most_common_chars(short: str, long: str) -> list[int]:
-    """For each place of ``short`` over ``long``, hanging over at both ends, how many characters the window shares with it at most."""
-    left = Counter(short)
-    size, shared, out = len(short), 0, []
-    for end in range(1, len(long) + size):
-        if end <= len(long):
-            shared += left[long[end - 1]] > 0
-            left[long[end - 1]] -= 1
-        if end > size:
-            left[long[end - size - 1]] += 1
-            shared -= left[long[end - size - 1]] > 0
-        out.append(shared)
-    return out
-
-
-def best_window(quote: str, text: str) -> tuple[float, int, int]:
-    """(score, start, end) of the part of ``text`` most similar to ``quote``.
-
-    The shorter string slides over the longer one, hanging over at both ends; the
-    score is twice the common subsequence over both lengths, in percent. Every
-    window has a bound from the characters that it shares, kept up while sliding;
-    windows are scored from the highest bound down, the one that most 4-grams
-    point to first, until no bound is above the best score.
-    """
-    if not quote or not text:
-        return 0.0, 0, 0
-    short, long = (quote, text) if len(quote) <= len(text) else (text, quote)
-    size = len(short)
-    pattern: dict[str, int] = {}
-    for i, ch in enumerate(short):
-        pattern[ch] = pattern.get(ch, 0) | (1 << i)
-    spans = [(max(s, 0), min(s + size, len(long))) for s in range(1 - size, len(long))]
-    bounds = [200.0 * n / (size + hi - lo) for n, (lo, hi) in zip(_most_common_chars(short, long), spans)]
-    places: dict[str, list[int]] = {}
-    for i in range(size - 3):
-        places.setdefault(short[i : i + 4], []).append(i)
-    votes = Counter(j - i for j in range(len(long) - 3) for i in places.get(long[j : j + 4], ())[:16])
-    order = sorted(range(len(spans)), key=lambda k: (-bounds[k], k))
-    if votes:
-        order.insert(0, max(votes, key=lambda s: (votes[s], -s)) + size - 1)
-    best = (0.0, 0, 0)
-    for turn, k in enumerate(order):
-        if bounds[k] < best[0] and (turn or not votes):
-            break
-        lo, hi = spans[k]
-        score = 200.0 * _common_subsequence(pattern, size, long[lo:hi]) / (size + hi - lo)
-        if score > best[0] or score == best[0] and lo < best[1]:
-            best = (score, lo, hi)
-    if short is quote:
-        return best
-    return best[0], 0, len(text)
-
-
-def fuzzy_anchor(quote, text) -> Column:
-    @F.pandas_udf("struct<score:double,start:int,end:int>")
-    def locate(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best_window(q or "", t or "") for q, t in zip(quotes, texts)], columns=["score", "start", "end"])
-
-    return locate(quote, text)
-
-
 def anchor_quotes(rows: DataFrame, quote: str = "source_quote", text: str = "section_text", base: str = "base_offset") -> DataFrame:
     """Locate quotes in their sections; what is found neither exactly nor closely is dropped.
 
@@ -145,7 +75,7 @@ def anchor_quotes(rows: DataFrame, quote: str = "source_quote", text: str = "sec
         *rows.columns, (F.col(base) + F.col("_at") - 1).cast("int").alias("char_start"),
         (F.col(base) + F.col("_at") - 1 + F.length(quote)).cast("int").alias("char_end"),
         F.lit(100.0).alias("anchor_score"), F.col(quote).alias("matched_quote"))
-    loose = placed.where("_at = 0 or _at is null").withColumn("_w", fuzzy_anchor(quote, text)).where(
+    loose = placed.where("_at = 0 or _at is null").withColumn("_w", fuzzy_anchor(quote, text, ANCHOR_MIN_SCORE)).where(
         F.col("_w.score") >= ANCHOR_MIN_SCORE).select(
         *rows.columns, (F.col(base) + F.col("_w.start")).cast("int").alias("char_start"),
         (F.col(base) + F.col("_w.end")).cast("int").alias("char_end"), F.col("_w.score").alias("anchor_score"),
@@ -176,29 +106,35 @@ def build_facts(anchored: DataFrame) -> DataFrame:
         F.col("_place").alias("fact_pos"))
 
 
-def annotate(sections: DataFrame, ask: Callable[[str], str], annotator: str, guideline_version: str = "v1", prompt: Column | None = None,
-             attempts: int = 2) -> DataFrame:
-    """Facts of one annotator: a callable answers each section's prompt with response JSON.
+def ask_sections(sections: DataFrame, ask: Callable[[str], str], prompt: Column | None = None, attempts: int = 2) -> DataFrame:
+    """``sections`` with ``response``, ``error`` and ``attempts``: a callable answers each section's prompt.
 
-    A failing call leaves an empty response and an error; it never fails the job.
+    A failing call leaves an empty response and the error of its last attempt; it never fails the job.
     """
-    @F.pandas_udf("struct<response:string,error:string>")
+    @F.pandas_udf("struct<response:string,error:string,attempts:int>")
     def call(questions: pd.Series) -> pd.DataFrame:
         out = []
         for q in questions:
-            answer, error = None, None
-            for _ in range(attempts):
+            answer, error, turn = None, None, 0
+            for turn in range(1, attempts + 1):
                 try:
                     answer, error = ask(q), None
                     break
                 except Exception as exc:  # noqa: BLE001
                     error = f"{type(exc).__name__}: {exc}"
-            out.append((answer, error))
-        return pd.DataFrame(out, columns=["response", "error"])
+            out.append((answer, error, turn))
+        return pd.DataFrame(out, columns=["response", "error", "attempts"])
 
-    asked = sections.withColumnRenamed("text", "section_text").withColumn("_a", call(F.col("section_text") if prompt is None else prompt))
-    rows = asked.select("doc_id", "section_path", "base_offset", "section_text", F.lit(annotator).alias("annotator"),
-                        F.lit(guideline_version).alias("guideline_version"), F.col("_a.response").alias("response"))
+    asked = sections.withColumn("_a", call(F.col("text") if prompt is None else prompt))
+    return asked.select(*sections.columns, "_a.response", "_a.error", "_a.attempts")
+
+
+def annotate(sections: DataFrame, ask: Callable[[str], str], annotator: str, guideline_version: str = "v1", prompt: Column | None = None,
+             attempts: int = 2) -> DataFrame:
+    """Facts of one annotator in one go; ``ledger`` keeps the answers and errors of a run that is to be resumed."""
+    rows = ask_sections(sections, ask, prompt, attempts).select(
+        "doc_id", "section_path", "base_offset", F.col("text").alias("section_text"), F.lit(annotator).alias("annotator"),
+        F.lit(guideline_version).alias("guideline_version"), "response")
     return build_facts(anchor_quotes(parse_responses(rows)))
 
 

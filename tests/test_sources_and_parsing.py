@@ -2,6 +2,7 @@ import json
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from factloom.operators import extract as X
 from factloom.operators import html as H
 from factloom.operators import parsing as P
 from factloom.operators import synth as Y
+from factloom.operators.anchors import best_window
 from factloom.plans import phase2
 from factloom.sources import files as S
 from factloom.sources import sinks as K
@@ -142,8 +144,25 @@ def test_best_window_against_exhaustive_search():
     quote, text = "the deficit fell", "we saw that the defcit fell, in 2004"
     windows = [text[max(0, s):s + len(quote)] for s in range(1 - len(quote), len(text))]
     best = max(200 * lcs(quote, w) / (len(quote) + len(w)) for w in windows if w)
-    score, start, end = X.best_window(quote, text)
+    score, start, end = best_window(quote, text)
     assert abs(score - best) < 1e-9 and "defcit fell" in text[start:end]
+    rng = random.Random(8)
+    for turn in range(400):
+        letters = "ab" if turn % 2 else "abcdeé𝒳 "
+        q, t = ("".join(rng.choice(letters) for _ in range(rng.randrange(1, top))) for top in (14, 40))
+        if turn % 5 == 0:
+            t = t + q[:3] + "z" + q[3:] + t
+        short, long = (q, t) if len(q) <= len(t) else (t, q)
+        tried = [(-Fraction(2 * lcs(short, w), len(short) + len(w)), s) for s in range(1 - len(short), len(long))
+                 for w in [long[max(0, s) : s + len(short)]]]
+        score, s = min(tried)
+        place = (max(s, 0), min(s + len(short), len(long))) if short is q else (0, len(t))
+        want = (float(-100 * score), *place) if score else (0.0, *place)
+        assert best_window(q, t) == pytest.approx(want)
+        assert best_window(q, t, 70) == (pytest.approx(want) if want[0] >= 70 else (0.0, 0, 0))
+    assert best_window("", "x") == best_window("x", "") == (0.0, 0, 0)
+    long = "lorem ipsum dolor " * 20_000
+    assert best_window("a deficit of two percnt", long + "a deficit of two percent" + long, 70)[1] == len(long)
 
 
 def test_spo_bands(spark):
