@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from factloom.functions.text import fact_text
 from factloom.operators.align import SCOPE
-from factloom.operators.encode import product, sparse_vectors
+from factloom.operators.encode import gram_weights, product, sparse_vectors, unit_length
 
 
 def matrix_rows(facts: DataFrame, annotator_a: str, annotator_b: str) -> DataFrame:
@@ -34,6 +34,45 @@ def matrix_rows(facts: DataFrame, annotator_a: str, annotator_b: str) -> DataFra
         run, "guideline_version string, doc_id string, ia int, fact_a_id string, cosines array<double>")
 
 
+def matrix_cells(facts: DataFrame, annotator_a: str, annotator_b: str, block: int = 512) -> DataFrame:
+    """All cells of the matrices in long form: (scope, fact_a_id, fact_b_id, cosine), three digits.
+
+    Weights come from joins and counts, fitted on the two shown annotators. Each side is dealt into blocks of about
+    ``block`` facts by a digest of the fact id, and one task multiplies one pair of blocks, so a document of any size
+    takes bounded memory per task and its cells are spread over the cluster. A fact without any window (empty or null
+    text) has a row or column of zeros. Windows are told apart by 64-bit digests. A scope with one annotator has no cell.
+    """
+    both = facts.where(F.col("annotator").isin(annotator_a, annotator_b)).select(
+        *SCOPE, "fact_id", (F.col("annotator") == annotator_b).alias("right"),
+        F.coalesce(fact_text("natural_language", "subject", "predicate", "object"), F.lit("")).alias("text"))
+    vectors = gram_weights(both, SCOPE, "fact_id", "text").groupBy(*SCOPE, "fact_id").agg(
+        F.collect_list(F.xxhash64("gram")).alias("grams"), F.collect_list("weight").alias("weights"))
+    sizes = both.groupBy(*SCOPE).agg(*[F.ceil(F.count_if(F.col("right") == side) / block).cast("int").alias(n)
+                                       for side, n in ((False, "n_a"), (True, "n_b"))]).where("n_a > 0 and n_b > 0")
+    rows = both.drop("text").join(vectors, [*SCOPE, "fact_id"], "left").join(sizes, SCOPE)
+    own = F.pmod(F.xxhash64("fact_id"), F.when(F.col("right"), F.col("n_b")).otherwise(F.col("n_a"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("right"), F.col("n_a")).otherwise(F.col("n_b")) - 1))
+    dealt = rows.withColumn("_own", own).withColumn("_other", other)
+    pair = [F.when(F.col("right"), F.col("_other")).otherwise(F.col("_own")).alias("block_a"),
+            F.when(F.col("right"), F.col("_own")).otherwise(F.col("_other")).alias("block_b")]
+    dealt = dealt.select(*SCOPE, *pair, "fact_id", "right", F.coalesce("grams", F.array().cast("array<bigint>")).alias("grams"),
+                         F.coalesce("weights", F.array().cast("array<double>")).alias("weights"))
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["right"].to_numpy()
+        left, right = np.flatnonzero(~side), np.flatnonzero(side)
+        lengths = pdf["grams"].map(len).to_numpy()
+        held, columns = np.unique(np.concatenate(list(pdf["grams"])).astype(np.int64), return_inverse=True)
+        vectors = unit_length(np.repeat(np.arange(len(pdf)), lengths), np.concatenate(list(pdf["weights"])).astype(float), columns, len(pdf))
+        cos = np.floor(product((*vectors, len(held)), left, right) * 1000 + 0.5) / 1000
+        ids = pdf["fact_id"].to_numpy()
+        return pd.DataFrame({"guideline_version": pdf["guideline_version"].iloc[0], "doc_id": pdf["doc_id"].iloc[0],
+                             "fact_a_id": np.repeat(ids[left], len(right)), "fact_b_id": np.tile(ids[right], len(left)), "cosine": cos.ravel()})
+
+    return dealt.groupBy(*SCOPE, "block_a", "block_b").applyInPandas(
+        multiply, "guideline_version string, doc_id string, fact_a_id string, fact_b_id string, cosine double")
+
+
 def matched_cells(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Matrix coordinates of stored matches, whichever way round a pair was stored."""
     place = F.row_number().over(W.partitionBy(*SCOPE, "annotator").orderBy("fact_pos", "fact_id")) - 1

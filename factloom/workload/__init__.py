@@ -6,3 +6,4 @@ from factloom.workload import pair_queries  # noqa: F401
 from factloom.workload import graph_queries  # noqa: F401
 from factloom.workload import metric_queries  # noqa: F401
 from factloom.workload import chain_queries  # noqa: F401
+from factloom.workload import run_queries  # noqa: F401
