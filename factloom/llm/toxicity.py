@@ -1,11 +1,14 @@
 """Toxicity of whole texts by noisy-channel restoration.
 
 A character model (interpolated 1- to 4-grams) is counted over the words of all
-documents: words are counted first, so its input grows with the corpus, and the
-n-grams fall into a table of fixed size. Tokens that look disguised (letters
-mixed with digits or symbols, long repetitions, letters spaced out) span a
-lattice of readings, and a Viterbi search over the last three characters finds
-the likeliest one. Restored words and their prefixes, each known by 64 bits of its
+documents: words are counted first, then every n-gram and context by a 64-bit
+key of its own, so the table grows with the corpus. It is summed by Spark,
+written in key order to two files of the shared folder, a piece at a time, and
+memory-mapped by the tasks. Tokens that look disguised (letters mixed with
+digits or symbols, repetitions of three, doubled letters that the model finds
+unlikely, letters spaced out) span a lattice of readings, and a Viterbi search
+over the last three characters finds the likeliest one; it leaves out only what
+cannot beat a reading already found. Restored words and their prefixes, each known by 64 bits of its
 own, then carry log-odds learned from labelled documents; a logistic curve over the strongest of them gives the
 score.
 
@@ -18,11 +21,15 @@ counts. A score sees the text alone.
 Defined cases: null and empty texts score like a text without marks; repeated
 rows are scored each; a null id is never learned from and never held out;
 without labels of both kinds every score is the share of toxic labels (0 if
-none); other columns pass through; an empty table stays empty.
+none); other columns pass through; an empty table stays empty. Very long texts
+are read whole, as a set of tokens; a very long token costs time in proportion.
+Of readings of equal cost the one of the least last part stays. Digits alone and
+words broken into longer pieces are scored as they stand.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -31,17 +38,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import cut, fresh, remembered
+from factloom.session import ensure_checkpoint_dir
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-MODEL_BUCKETS = 1 << 19
+#: N-grams that a task counts before it hands them on.
+GRAMS_HELD = 1 << 21
 #: Marks that a task counts before it hands them on.
 MARKS_HELD = 1 << 19
 #: Labelled rows to learn log-odds from, and of these to fit the curve on, at most.
 FIT_ROWS, CURVE_ROWS = 60_000, 20_000
 #: A mark needs as many toxic documents.
 LEAST_TOXIC = 3
+#: States of the first, quick search; its reading bounds the second one, which is complete.
 BEAM = 200
+#: A doubled letter of this cost (-log p) or more is taken for a disguise.
+RARE_DOUBLE = 3.5
 STATS = ("m1", "m2", "m3", "strong", "size")
 ORDER = 4
 BEGIN, STOP = "\x02", "\x03"
@@ -52,9 +64,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 COST_LEET, COST_SAME, COST_DROPPED, COST_REPEAT, COST_KEPT_RUN, COST_GAP = 1.0, 3.0, 3.0, 0.5, 4.0, 2.0
 
 _TOKEN = re.compile(r"[\w@$!|*+]+")
-_EDGE = re.compile(r"^[!|*+]+|^([@$])\1+|[!|*+]+$|([@$])\2+$")
+_EDGE = re.compile(r"^[!|*+]+|^([@$])\1+|[!|*+]+$|(?<![^\W\d_])([@$])\2+$")
 _ODD = re.compile(r"[^\W\d_].*[\d@$!|*+]|[\d@$!|*+].*[^\W\d_]|([^\W\d_])\1\1")
-_TRIPLE = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
 _MASK = (1 << 64) - 1
 _MUL = 0x9E3779B97F4A7C15
 _SALT = 0x632BE59BD9B4E019
@@ -64,9 +76,9 @@ def _fold(h, c):
     return ((h ^ c) * _MUL) & _MASK
 
 
-def _slot(h: int, context: bool) -> int:
+def _key(h: int, context: bool) -> int:
     h = ((h ^ (_SALT if context else 0)) * _MUL) & _MASK
-    return (h >> 40) % MODEL_BUCKETS
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _gram(text: str) -> int:
@@ -76,11 +88,10 @@ def _gram(text: str) -> int:
     return h
 
 
-def char_counts(words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Hashed counts of the n-grams of ``words`` and of the contexts that a character follows."""
-    table = np.zeros(MODEL_BUCKETS)
+def char_counts(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the n-grams of ``words`` and of the contexts that a character follows, in key order."""
     if not words:
-        return table
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
     text = BEGIN + (STOP + BEGIN).join(words) + STOP
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     begins = np.flatnonzero(chars == ord(BEGIN))
@@ -88,6 +99,7 @@ def char_counts(words: list[str], counts: np.ndarray) -> np.ndarray:
     place = np.arange(len(chars)) - np.repeat(begins, lengths)
     weight = np.repeat(counts.astype(np.float64), lengths)
     mul, salt, last = np.uint64(_MUL), np.uint64(_SALT), chars == ord(STOP)
+    keys, held = [], []
     for k in range(1, ORDER + 1):
         ends = np.flatnonzero(place >= k - 1)
         h = np.full(len(ends), k, dtype=np.uint64)
@@ -97,17 +109,50 @@ def char_counts(words: list[str], counts: np.ndarray) -> np.ndarray:
             if context and k == ORDER:
                 continue
             keep = ~last[ends] if context else (place[ends] > 0)
-            slot = (((h[keep] ^ (salt if context else np.uint64(0))) * mul) >> np.uint64(40)) % np.uint64(MODEL_BUCKETS)
-            table += np.bincount(slot.astype(np.int64), weights=weight[ends[keep]], minlength=MODEL_BUCKETS)
-    return table
+            keys.append(((h[keep] ^ (salt if context else np.uint64(0))) * mul).view(np.int64))
+            held.append(weight[ends[keep]])
+    return summed(keys, held)
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    known, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return known, np.bincount(at, weights=np.concatenate(counts), minlength=len(known))
+
+
+class Grams:
+    """Exact counts of n-grams and contexts: keys in order, looked up by binary search."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: float):
+        self.keys, self.counts = keys, counts
+        self.total = max(total / (2 * ORDER), 1.0)
+
+    def of(self, gram: str, context: bool = False) -> float:
+        key = np.int64(_key(_gram(gram), context))
+        at = int(self.keys.searchsorted(key))
+        return float(self.counts[at]) if at < len(self.keys) and self.keys[at] == key else 0.0
+
+
+class GramFiles:
+    """What ``char_model`` wrote; ``load`` maps it in a task."""
+
+    def __init__(self, name: str, total: float):
+        self.name, self.total = name, total
+
+    def load(self) -> Grams:
+        from pyspark import SparkFiles
+
+        def mapped(part: str, kind) -> np.ndarray:
+            path = SparkFiles.get(f"{self.name}-{part}")
+            return np.asarray(np.memmap(path, dtype=kind, mode="r")) if os.path.getsize(path) else np.zeros(0, dtype=kind)
+
+        return Grams(mapped("keys", "<i8"), mapped("counts", "<f8"), self.total)
 
 
 class Restorer:
     """Viterbi search for the likeliest reading of a disguised token."""
 
-    def __init__(self, table: np.ndarray):
-        self.table, self.known, self.costs = table, {}, {}
-        self.total = max(float(table.sum()) / (2 * ORDER), 1.0)
+    def __init__(self, grams: Grams):
+        self.grams, self.known, self.costs = grams, {}, {}
 
     def cost(self, context: str, c: str) -> float:
         """-log p(c | context), each order resting on the one below."""
@@ -116,8 +161,8 @@ class Restorer:
             p = 1.0 / 200
             for k in range(0, len(context) + 1):
                 before = context[len(context) - k :]
-                seen = self.table[_slot(_gram(before + c), False)]
-                of = self.table[_slot(_gram(before), True)] if before else self.total
+                of = self.grams.of(before, True) if before else self.grams.total
+                seen = self.grams.of(before + c) if of else 0.0
                 p = (min(seen, of) + 4 * p) / (of + 4)
             got = self.costs[context, c] = -float(np.log(p))
             if len(self.costs) > 500_000:
@@ -143,13 +188,21 @@ class Restorer:
                     out += [each] * len(run)
             elif len(run) > 2 and c.isalpha():
                 out.append([(c, COST_REPEAT), (2 * c, COST_REPEAT), (run, COST_KEPT_RUN)])
+            elif len(run) == 2 and c.isalpha():
+                out.append([(run, 0.0), (c, COST_REPEAT)])
             else:
                 out.append([(run, 0.0)])
         return out
 
-    def best(self, lattice: list[list[tuple[str, float]]]) -> str:
-        states = {BEGIN: (0.0, None)}
-        for options in lattice + [[(STOP, 0.0)]]:
+    def _search(self, lattice: list[list[tuple[str, float]]], limit: float, beam: int | None) -> tuple[float, str, bool]:
+        """(cost, reading, whether states were dropped for the beam); states that cannot stay within ``limit`` go."""
+        rest = [0.0]
+        for options in reversed(lattice):
+            rest.append(rest[-1] + min(extra for _, extra in options))
+        rest.reverse()
+        states, cut_off = {BEGIN: (0.0, None)}, False
+        for column, options in enumerate([*lattice, [(STOP, 0.0)]]):
+            left = limit - (rest[column + 1] if column < len(lattice) else 0.0)
             after: dict[str, tuple[float, tuple | None]] = {}
             for state, (base, path) in states.items():
                 for text, extra in options:
@@ -159,22 +212,35 @@ class Restorer:
                             cost, now = cost + self.cost(now, STOP), BEGIN
                         else:
                             cost, now = cost + self.cost(now, c), (now + c)[-(ORDER - 1) :]
+                    if cost > left:
+                        continue
                     held = after.get(now)
                     if held is None or (cost, text) < (held[0], held[1][0]):
                         after[now] = (cost, (text, path))
-            if len(after) > BEAM:
-                after = dict(sorted(after.items(), key=lambda x: (x[1][0], x[0]))[:BEAM])
+            if beam and len(after) > beam:
+                after, cut_off = dict(sorted(after.items(), key=lambda x: (x[1][0], x[0]))[:beam]), True
             states = after
-        path, out = min(states.values(), key=lambda x: x[0])[1], []
+        cost, path = min(states.values(), key=lambda x: x[0])
+        out = []
         while path:
             out.append(path[0])
             path = path[1]
-        return "".join(reversed(out)).strip(BEGIN + STOP)
+        return cost, "".join(reversed(out)).strip(BEGIN + STOP), cut_off
+
+    def best(self, lattice: list[list[tuple[str, float]]]) -> str:
+        """The likeliest reading. Where the quick search dropped states, a complete one follows: no cost is negative, so
+        a state dearer than the reading already found, less what later columns cost at least, leads to no better one."""
+        cost, reading, cut_off = self._search(lattice, float("inf"), BEAM)
+        return self._search(lattice, cost + 1e-9, None)[1] if cut_off else reading
+
+    def doubled(self, token: str) -> bool:
+        """Whether a letter comes twice where the model hardly expects it."""
+        return any(m[1].isalpha() and self.cost((BEGIN + token[: m.start() + 1])[-(ORDER - 1) :], m[1]) >= RARE_DOUBLE for m in _TWICE.finditer(token))
 
     def word(self, token: str) -> str:
         """The token itself, or its likeliest reading if it looks disguised."""
         core = _EDGE.sub("", token)
-        if not _ODD.search(core):
+        if not _ODD.search(core) and not self.doubled(core):
             return core
         got = self.known.get(core)
         if got is None:
@@ -234,7 +300,7 @@ class Lexicon:
             self.changed.clear()
         for t in tokens:
             if t not in known:
-                if t.isalpha() and not _TRIPLE.search(t):  # nothing to restore
+                if t.isalpha() and not _TWICE.search(t):  # nothing to restore
                     known[t] = self.value((t,))
                     continue
                 got = self.restorer.word(t)
@@ -253,22 +319,51 @@ def marks_of(word: str) -> list[int]:
     return [h(word), *(h(f"{k}\x00{word[:k]}") for k in (3, 4, 5) if len(word) > k)]
 
 
-def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Character n-gram counts over every word of every document, in a table of ``MODEL_BUCKETS`` entries."""
+def char_model(docs: DataFrame, text_col: str = "text") -> GramFiles:
+    """Character n-gram counts over every word of every document, as files that Spark hands to the executors.
+
+    The counts are summed and put in order by Spark; the driver appends one piece after the other and holds none of them.
+    """
+    import uuid
+
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{M}\p{Nd}]+")).alias("w"))
     counted = words.where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
     def grams(batches):
-        table = np.zeros(MODEL_BUCKETS)
+        keys, counts = [], []
         for b in batches:
-            table += char_counts(b["w"].tolist(), b["n"].to_numpy())
-        held = np.flatnonzero(table)
-        yield pd.DataFrame({"slot": held, "n": table[held]})
-
-    rows = counted.mapInPandas(grams, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(MODEL_BUCKETS)
-    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float64)
-    return out
+            k, n = char_counts(b["w"].tolist(), b["n"].to_numpy())
+            keys.append(k)
+            counts.append(n)
+            if sum(map(len, keys)) > GRAMS_HELD:
+                k, n = summed(keys, counts)
+                keys, counts = [k], [n]
+                if len(k) > GRAMS_HELD // 2:
+                    yield pd.DataFrame({"key": k, "n": n})
+                    keys, counts = [], []
+        if keys:
+            k, n = summed(keys, counts)
+            yield pd.DataFrame({"key": k, "n": n})
+
+    def pieces(batches):
+        for b in batches:
+            keys, counts = b["key"].to_numpy(dtype="<i8"), b["n"].to_numpy(dtype="<f8")
+            yield pd.DataFrame({"keys": [keys.tobytes()], "counts": [counts.tobytes()], "total": [float(counts.sum())]})
+
+    known = cut(counted.mapInPandas(grams, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key"))
+    spark, name, total = docs.sparkSession, f"char-grams-{uuid.uuid4().hex}", 0.0
+    ensure_checkpoint_dir(spark)
+    places = [f"{spark.sparkContext.getCheckpointDir()}/{name}-{part}" for part in ("keys", "counts")]
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in places]
+    outs = [p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True) for p in paths]
+    for row in known.mapInPandas(pieces, "keys binary, counts binary, total double").toLocalIterator():
+        outs[0].write(bytearray(row["keys"]))
+        outs[1].write(bytearray(row["counts"]))
+        total += row["total"]
+    for out, place in zip(outs, places):
+        out.close()
+        spark.sparkContext.addFile(place)
+    return GramFiles(name, total)
 
 
 def fold(id_col: str, of: int) -> Column:
@@ -292,9 +387,9 @@ def labelled(labels: DataFrame, id_col: str, label_col: str, folds: int, held_ou
 
 
 class Model:
-    """What was learned: character table, log-odds of marks, curve."""
+    """What was learned: character counts, log-odds of marks, curve."""
 
-    def __init__(self, key: str, table: np.ndarray, odds: dict[int, float], curve: list[float], share: float):
+    def __init__(self, key: str, table: GramFiles, odds: dict[int, float], curve: list[float], share: float):
         self.key, self.table, self.odds, self.curve, self.share = key, table, odds, curve, share
 
 
@@ -309,15 +404,15 @@ def _stats(texts, lexicon: Lexicon) -> tuple[np.ndarray, list]:
     return out, changed_all
 
 
-def _stat_udf(spark, key: str, table: np.ndarray, odds: dict[int, float]):
-    shared = spark.sparkContext.broadcast((table.astype(np.float32), odds))
+def _stat_udf(spark, key: str, table: GramFiles, odds: dict[int, float]):
+    shared = spark.sparkContext.broadcast(odds)
 
     @F.pandas_udf("stats array<double>, restored array<struct<observed:string,restored:string>>")
     def stats(texts: pd.Series) -> pd.DataFrame:
         held = remembered()
         if held.get("lexicon", ("", None))[0] != key:
-            marked = shared.value[1]
-            held["lexicon"] = (key, Lexicon(Restorer(shared.value[0]), lambda words: max((marked.get(m, 0.0) for w in words for m in marks_of(w)), default=0.0)))
+            marked = shared.value
+            held["lexicon"] = (key, Lexicon(Restorer(table.load()), lambda words: max((marked.get(m, 0.0) for w in words for m in marks_of(w)), default=0.0)))
         x, changed = _stats(texts.tolist(), held["lexicon"][1])
         return pd.DataFrame({"stats": list(x), "restored": changed})
 
@@ -333,8 +428,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = char_model(docs, text_col)
     known, n = labelled(labels, id_col, label_col, folds, held_out, FIT_ROWS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(table.astype(np.float32))
-
     def count(batches):
         seen, sizes = ({}, {}), [0, 0]
 
@@ -346,7 +439,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 held.clear()
             return out
 
-        lexicon = Lexicon(Restorer(shared.value), lambda words: tuple({m for w in words for m in marks_of(w)}))
+        lexicon = Lexicon(Restorer(table.load()), lambda words: tuple({m for w in words for m in marks_of(w)}))
         for b in batches:
             for text, y in zip(b["text"].tolist(), b["y"].tolist()):
                 sizes[y] += 1

@@ -72,19 +72,47 @@ def test_toxicity_without_labels(make_docs, spark):
     assert toxicity.score(empty, toxicity.fit(empty, none)).count() == 0
 
 
+def grams(words, counts):
+    keys, held = toxicity.char_counts(words, np.array(counts))
+    return toxicity.Grams(keys, held, float(held.sum()))
+
+
 def test_counts_match_a_plain_count():
-    words = ["abc", "ab", "é"]
-    table = toxicity.char_counts(words, np.array([2, 3, 1]))
-    at = lambda g, c=False: table[toxicity._slot(toxicity._gram(g), c)]
-    assert at("a") == 5 and at("\x02a") == 5 and at("abc") == 2 and at("\x02abc") == 2 and at("b\x03") == 3
-    assert at("ab", True) == 5 and at("\x02", True) == 6 and at("c", True) == 2 and at("zz") == 0
+    g = grams(["abc", "ab", "é"], [2, 3, 1])
+    assert g.of("a") == 5 and g.of("\x02a") == 5 and g.of("abc") == 2 and g.of("\x02abc") == 2 and g.of("b\x03") == 3
+    assert g.of("ab", True) == 5 and g.of("\x02", True) == 6 and g.of("c", True) == 2 and g.of("zz") == 0
+    assert toxicity.Grams(*toxicity.char_counts([], np.zeros(0)), 0.0).of("a") == 0
+
+
+def test_the_character_model_grows_with_the_corpus(make_docs, rng, monkeypatch):
+    import re
+    from collections import Counter
+
+    monkeypatch.setattr(toxicity, "GRAMS_HELD", 4000)
+    sizes = []
+    for n in (20, 2000):
+        texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randrange(1, 9))) + " Shared" for _ in range(n)]
+        docs = make_docs(texts + [None, ""])
+        plain = Counter(w for t in texts for w in re.findall(r"\w+", t.lower()))
+        held = docs.limit(1).mapInPandas(lambda batches, m=toxicity.char_model(docs): (
+            __import__("pandas").DataFrame({"keys": [g.keys.tolist()], "counts": [g.counts.tolist()]}) for _ in batches for g in [m.load()]),
+            "keys array<long>, counts array<double>").first()
+        keys, counts = toxicity.char_counts(list(plain), np.array(list(plain.values())))
+        assert held["keys"] == keys.tolist() and held["counts"] == counts.tolist()
+        sizes.append(len(keys))
+    assert sizes[1] > 10 * sizes[0]
+    assert toxicity.char_model(make_docs([])).total == 0
+
+
+def restorer():
+    return toxicity.Restorer(grams(["stupid", "stop", "tip", "sit", "idiot", "moron", "letter", "sitting"], [5, 9, 2, 4, 6, 5, 7, 3]))
 
 
 def test_viterbi_is_the_best_path():
     import itertools
 
-    r = toxicity.Restorer(toxicity.char_counts(["stupid", "stop", "tip", "sit"], np.array([5, 9, 2, 4])))
-    for token in ("st0p", "$tup1d", "s1t", "t!p"):
+    r = restorer()
+    for token in ("st0p", "$tup1d", "s1t", "t!p", "s**p", "*!*t", "stuupiid"):
         def cost(choice):
             text, total, state = "".join(x for x, _ in choice) + "\x03", sum(c for _, c in choice), "\x02"
             for c in text:
@@ -94,6 +122,23 @@ def test_viterbi_is_the_best_path():
         assert r.best(r.lattice(token)) == "".join(x for x, _ in best)
 
 
+def test_nothing_is_lost_to_the_beam(monkeypatch):
+    r = restorer()
+    tokens = ["s**p", "m**0n", "**!**t", "st*p!d", "1d10t"]
+    whole = [r._search(r.lattice(t), float("inf"), None) for t in tokens]
+    for beam in (1, 5, 200):
+        monkeypatch.setattr(toxicity, "BEAM", beam)
+        assert [r.best(r.lattice(t)) for t in tokens] == [reading for _, reading, _ in whole]
+
+
+def test_disguises_that_reach_the_lattice():
+    r = restorer()
+    read = {t: r.word(t) for t in ("iidioot", "stuupid", "stuuuupid", "st0p", "m0ron", "letter", "sitting", "stop", "1984")}
+    assert read == {"iidioot": "idiot", "stuupid": "stupid", "stuuuupid": "stupid", "st0p": "stop", "m0ron": "moron",
+                    "letter": "letter", "sitting": "sitting", "stop": "stop", "1984": "1984"}
+    assert toxicity._EDGE.sub("", "a$$") == "a$$" and toxicity._EDGE.sub("", "$$a5!") == "a5"
+
+
 def test_quality(corpus):
     docs, labels, _, good = corpus
     out = quality.score(docs, quality.fit(docs, labels))
