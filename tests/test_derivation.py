@@ -63,3 +63,49 @@ def test_flagged_facts_leave_their_texts_behind(spark, tmp_path):
     joined = [line for line in _optimised(Q.resolved(spark, sf).select("fact_id", "s_cluster", "o_cluster", "_conditional")).splitlines() if re.search(r"Join ", line)]
     assert joined and not any("quote" in line for line in joined)
     assert "_conditional" in Q.resolved(spark, sf).columns
+
+
+def _shuffles(df):
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_documents_are_dealt_out_once_for_all_joins(spark, tmp_path):
+    from factloom.operators import label as L
+    from factloom.workload import graph_queries as Q
+    from factloom.workload import pair_queries as P
+    sf = _documents(spark, tmp_path)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _shuffles(L.label_counts(P.labelled(spark, sf, ("v1", "v2")))) == []
+        assert _shuffles(Q.a30(spark, sf)) == []
+        assert _shuffles(Q._statements(spark, sf)[1]) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_stored_sentences_change_no_row(spark, tmp_path):
+    sf = _documents(spark, tmp_path)
+    base = S.stored_sentences(spark, sf)
+    for versions in (("v1",), ("v1", "v2")):
+        for of in (S.facts, S.pairs):
+            assert sorted(map(str, of(spark, sf, versions, base).collect())) == sorted(map(str, of(spark, sf, versions).collect()))
+
+
+def test_statements_count_ids_and_scopes_in_one_pass(spark, make_facts):
+    from facts import fact
+    from factloom.operators import reified as RG
+    rows = [fact("ann_a", "f1", "A", "pays", "B", condition="If x", group_id="g1"), fact("ann_b", "f2", "A", "pays", "B", condition="if  X", group_id="g1"),
+            fact("ann_b", "f2", "A", "pays", "B", condition="if  X", group_id="g2"), fact("ann_a", "f3", "A", "pays", "B", conflict_label="granularity"),
+            fact("ann_a", "f4", "A", "owes", "B"), fact("ann_a", "f5", None, "owes", "B"), fact("ann_a", "f6", None, "owes", "B", condition="if y")]
+    resolved = make_facts(rows).withColumn("s_cluster", F.col("subject")).withColumn("o_cluster", F.col("object"))
+    pairs = spark.createDataFrame([("v1", "d1", "f1", "f2", "redundancy"), ("v1", "d1", "f3", None, "contradiction")],
+                                  "guideline_version string, doc_id string, fact_a_id string, fact_b_id string, conflict_label string")
+    table = RG.statements(RG.statement_facts(resolved), pairs)
+    found = {(r.predicate, r.conditions and tuple(r.conditions)): r for r in table.collect()}
+    both = found["pays", ("If x", "if  X")]
+    assert (both.n_facts, both.n_groups, both.n_annotators, both.conflict_label, both.scope_variant, both.temporals) == (2, 2, 2, "redundancy", True, [])
+    assert (found["pays", None].conflict_label, found["pays", None].scope_variant) == ("contradiction", True)
+    assert [found["owes", c].scope_variant for c in (None, ("if y",))] == [False, False]
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("Join") <= 1
