@@ -109,3 +109,26 @@ def test_statements_count_ids_and_scopes_in_one_pass(spark, make_facts):
     assert [found["owes", c].scope_variant for c in (None, ("if y",))] == [False, False]
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and plan.count("Join") <= 1
+
+
+def test_windows_are_made_once(spark, tmp_path):
+    from factloom.operators import encode as E
+    rows = spark.createDataFrame([("d", "a", "one two"), ("d", "b", "one"), (None, "c", "one"), ("e", "f", "")], "doc_id string, fact_id string, t string")
+    weights = E.gram_weights(rows, ["doc_id"], "fact_id", "t")
+    assert weights._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    found = {(r.doc_id, r.fact_id, r.gram): r.weight for r in weights.collect()}
+    assert {k[:2] for k in found} == {("d", "a"), ("d", "b")} and found["d", "a", " on"] < found["d", "a", " tw"]
+    assert abs(sum(w * w for k, w in found.items() if k[1] == "a") - 1) < 1e-9
+
+
+def test_results_by_parameters_split_the_documents_once(spark, tmp_path):
+    from factloom.workload import run_queries as U
+    out = U.results_by_parameters(spark, _documents(spark, tmp_path))
+    assert {(r.call, r.held) for r in out.collect()} == {("first", False), ("again", True), ("other threshold", False), ("other rows", False)}
+    calls = []
+    whole, U.stored_result = U.stored_result, lambda s, root, name, params, inputs, build: calls.append(inputs["facts"]) or (build(), False)
+    try:
+        U.results_by_parameters(spark, str(tmp_path))
+    finally:
+        U.stored_result = whole
+    assert len(calls) == 4 and not any("regexp_extract_all" in _optimised(rows) for rows in calls)
