@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -175,6 +176,68 @@ def test_clusters_match_brute_force(make_facts, chunk):
     assert clusters == brute_clusters([n for n in names if n.strip() and n != "null"], 0.6)
 
 
+def drawn_names(seed, n, alphabet="abcde"):
+    draw = random.Random(seed)
+    stem = ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 7))) for _ in range(12)]
+    return sorted({" ".join(draw.choice(stem) for _ in range(draw.randint(1, 6))) for _ in range(n)})
+
+
+def groups_of(names, representatives):
+    found = {}
+    for name, r in zip(names, representatives):
+        found.setdefault(r, set()).add(name)
+    return {frozenset(g) for g in found.values()}
+
+
+@pytest.mark.parametrize("limit", [None, 7])
+@pytest.mark.parametrize("alphabet", ["abcde", "\u00e9\u0416\u4e00\U0001f600"])
+def test_names_of_several_documents_in_one_task(monkeypatch, limit, alphabet):
+    if limit:
+        monkeypatch.setattr(N, "MEETINGS", limit)
+        monkeypatch.setattr(N, "PAIRS", limit)
+    documents = [drawn_names(i, n, alphabet) for i, n in enumerate((40, 1, 25, 90))]
+    names = [x for d in documents for x in d]
+    sizes = np.array([len(d) for d in documents])
+    found = N._representatives(names, names, np.repeat(np.arange(len(sizes)), sizes), sizes, 0.78)
+    ends = np.cumsum(sizes)
+    for d, end in zip(documents, ends):
+        assert groups_of(d, found[end - len(d):end]) == brute_clusters(d, 0.78)
+
+
+def test_wide_alphabets_have_codes_of_their_own():
+    wide = [chr(0x4e00 + i) + chr(0x4e00 + 7 * i % 9000) + "ab" for i in range(6000)]
+    name, code = N._gram_codes(wide)
+    assert len(set(code.tolist())) == len({g for w in wide for g in E._windows(w)})
+    counts = np.bincount(name, minlength=len(wide))
+    assert counts.tolist() == [sum(E._windows(w).values()) for w in wide]
+
+
+def test_both_routes_give_the_same_clusters(make_facts, monkeypatch):
+    rows = [fact("A", f"a{i}", n, "p", f"the {n}", doc=d) for d, seed in (("d1", 3), ("d2", 4), (None, 5)) for i, n in enumerate(drawn_names(seed, 30))]
+    facts = make_facts(rows)
+    small = {tuple(r) for r in N.cluster(facts, core_entities=False).collect()}
+    assert {r[1] for r in small} == {"d1", "d2"}
+    monkeypatch.setattr(N, "TASK_CHARS", 450)
+    sizes = facts.sparkSession.createDataFrame([("v1", "d1", 10), ("v1", "d2", 451)], "guideline_version string, doc_id string, n_chars long")
+    assert {tuple(r) for r in N.cluster(facts, core_entities=False, sizes=sizes).collect()} == small
+    monkeypatch.setattr(N, "TASK_CHARS", 0)
+    assert {tuple(r) for r in N.cluster(facts, core_entities=False).collect()} == small
+
+
+def test_grams_of_names_are_not_stored(spark, make_facts, tmp_path):
+    context = spark.sparkContext
+    before = context.getCheckpointDir()
+    facts = make_facts([fact("A", f"a{i}", f"the member of the board number {i}", "p", f"an item of business that has {i} parts") for i in range(400)])
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        n = N.cluster(facts).count()
+    finally:
+        if before:
+            context.setCheckpointDir(before.rsplit("/", 1)[0])
+    assert n == 800
+    assert sum(f.stat().st_size for f in tmp_path.rglob("part-*")) < 20 * n
+
+
 def test_core_names_merge_year_variants(make_facts):
     rows = [fact("A", "a1", "the deficit in 2004", "p", "x"), fact("A", "a2", "the deficit in 2005", "p", "y")]
     got = {r.surface: r.cluster_id for r in N.cluster(make_facts(rows), 0.95, True).collect()}

@@ -132,3 +132,16 @@ def test_results_by_parameters_split_the_documents_once(spark, tmp_path):
     finally:
         U.stored_result = whole
     assert len(calls) == 4 and not any("regexp_extract_all" in _optimised(rows) for rows in calls)
+
+
+def test_names_stay_within_their_bound(spark, tmp_path):
+    from factloom.operators import entities as E
+    short = "A b c. " * 400
+    marked = "The board of item 7 may agree. " * 900
+    rows = [(i, x) for i, x in enumerate((TEXT, short, marked, marked, "A. B. C! D? E", "", None))] + [(1, short), (1, None), (None, TEXT)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(marked) > 20_000
+    bound = {(r.guideline_version, r.doc_id): r.n_chars for r in S.name_bounds(spark, str(tmp_path), ("v1", "v2")).collect()}
+    assert len(bound) == 2 * 8
+    held = E.surface_forms(S.facts(spark, str(tmp_path), ("v1", "v2"))).groupBy("guideline_version", "doc_id").agg(F.sum(F.length("surface")).alias("n")).collect()
+    assert len(held) == 2 * 6 and all(r.n <= bound[r.guideline_version, r.doc_id] for r in held)
