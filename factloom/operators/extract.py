@@ -18,23 +18,26 @@ GROUP_STRIDE = 1000  # places from one group to the next, unless a group is larg
 
 
 def response_problem(raw: str = "response") -> Column:
-    """Why a response is unusable, empty when it is fine. One fault rejects all of it."""
+    """Why a response is unusable, empty when it is fine. One fault rejects all of it.
+
+    The response is parsed once, and arrays are told by a cast: the schema of a whole array costs more than the rest.
+    """
     def text_field(obj, name):
         return f"coalesce(schema_of_variant(variant_get({obj}, '$.{name}')) = 'STRING' and " \
                f"variant_get({obj}, '$.{name}', 'string') rlike '\\\\S', false)"
 
-    v = f"try_parse_json({raw})"
-    facts = f"cast(variant_get({v}, '$.facts') as array<variant>)"
-    triples = "cast(variant_get(f, '$.triples') as array<variant>)"
-    has_triples = "coalesce(schema_of_variant(variant_get(f, '$.triples')) like 'ARRAY%', false) and size(" + triples + ") > 0"
+    def let(name, value, use):
+        return f"get(transform(array({value}), {name} -> {use}), 0)"
+
     spo = lambda o: " and ".join(text_field(o, n) for n in ("subject", "predicate", "object"))
+    parts = f"case when coalesce(size(triples), 0) > 0 then forall(triples, t -> {spo('t')}) else {spo('f')} end"
     good_fact = (f"{text_field('f', 'natural_language')} and {text_field('f', 'source_quote')} and "
-                 f"case when {has_triples} then forall({triples}, t -> {spo('t')}) else {spo('f')} end")
-    return F.expr(
-        f"case when {v} is null then 'not valid JSON' "
-        f"when variant_get({v}, '$.facts') is null then 'no facts key' "
-        f"when schema_of_variant(variant_get({v}, '$.facts')) not like 'ARRAY%' then 'facts is not an array' "
-        f"when not forall({facts}, f -> {good_fact}) then 'missing or blank required field' else '' end")
+                 + let("triples", "try_variant_get(f, '$.triples', 'array<variant>')", parts))
+    judged = ("case when v is null then 'not valid JSON' "
+              "when variant_get(v, '$.facts') is null then 'no facts key' "
+              "when facts is null then 'facts is not an array' "
+              f"when not forall(facts, f -> {good_fact}) then 'missing or blank required field' else '' end")
+    return F.expr(let("v", f"try_parse_json({raw})", let("facts", "try_variant_get(v, '$.facts', 'array<variant>')", judged)))
 
 
 RESPONSE = ("struct<facts:array<struct<natural_language:string,source_quote:string,condition:string,temporal_context:string,"
@@ -43,10 +46,13 @@ RESPONSE = ("struct<facts:array<struct<natural_language:string,source_quote:stri
 
 
 def parse_responses(responses: DataFrame, raw: str = "response") -> DataFrame:
-    """One row per triple of every usable response, group fields inherited, ordinals kept."""
+    """One row per triple of every usable response, group fields inherited, ordinals kept.
+
+    The outer explode keeps Spark from inferring a size filter, which would read the response a second time below.
+    """
     keep = [c for c in responses.columns if c != raw]
     parsed = responses.where(response_problem(raw) == "").select(*keep, F.from_json(raw, RESPONSE).alias("_r"))
-    groups = parsed.select(*keep, F.posexplode("_r.facts").alias("group_index", "_f"))
+    groups = parsed.select(*keep, F.posexplode_outer("_r.facts").alias("group_index", "_f")).where("group_index is not null")
     own = F.array(F.struct(*[F.col(f"_f.{c}").alias(c) for c in ("subject", "predicate", "object", "condition", "temporal_context")]))
     triples = F.when(F.size(F.coalesce("_f.triples", F.array())) > 0, F.col("_f.triples")).otherwise(own)
     rows = groups.select(*keep, "group_index", "_f", F.posexplode(triples).alias("triple_index", "_t"))
@@ -67,20 +73,18 @@ def parse_responses(responses: DataFrame, raw: str = "response") -> DataFrame:
 def anchor_quotes(rows: DataFrame, quote: str = "source_quote", text: str = "section_text", base: str = "base_offset") -> DataFrame:
     """Locate quotes in their sections; what is found neither exactly nor closely is dropped.
 
-    Exact search is native. Only the rest crosses into Python, as a filtered branch.
+    Exact search is native. All rows stay in one branch, so that what they come from runs once; of those found exactly,
+    Python sees a null and no text.
     """
-    at = F.instr(F.col(text), F.col(quote))
-    placed = rows.withColumn("_at", at)
-    exact = placed.where("_at > 0").select(
-        *rows.columns, (F.col(base) + F.col("_at") - 1).cast("int").alias("char_start"),
-        (F.col(base) + F.col("_at") - 1 + F.length(quote)).cast("int").alias("char_end"),
-        F.lit(100.0).alias("anchor_score"), F.col(quote).alias("matched_quote"))
-    loose = placed.where("_at = 0 or _at is null").withColumn("_w", fuzzy_anchor(quote, text, ANCHOR_MIN_SCORE)).where(
-        F.col("_w.score") >= ANCHOR_MIN_SCORE).select(
-        *rows.columns, (F.col(base) + F.col("_w.start")).cast("int").alias("char_start"),
-        (F.col(base) + F.col("_w.end")).cast("int").alias("char_end"), F.col("_w.score").alias("anchor_score"),
-        F.col(text).substr(F.col("_w.start") + 1, F.col("_w.end") - F.col("_w.start")).alias("matched_quote"))
-    return exact.unionByName(loose)
+    exact = F.coalesce(F.col("_at") > 0, F.lit(False))
+    placed = rows.withColumn("_at", F.instr(F.col(text), F.col(quote)))
+    placed = placed.withColumn("_w", fuzzy_anchor(F.when(~exact, F.col(quote)), F.when(~exact, F.col(text)), ANCHOR_MIN_SCORE))
+    start = F.when(exact, F.col("_at") - 1).otherwise(F.col("_w.start"))
+    end = F.when(exact, F.col("_at") - 1 + F.length(quote)).otherwise(F.col("_w.end"))
+    return placed.where(exact | (F.col("_w.score") >= ANCHOR_MIN_SCORE)).select(
+        *rows.columns, (F.col(base) + start).cast("int").alias("char_start"), (F.col(base) + end).cast("int").alias("char_end"),
+        F.when(exact, F.lit(100.0)).otherwise(F.col("_w.score")).alias("anchor_score"),
+        F.when(exact, F.col(quote)).otherwise(F.col(text).substr(F.col("_w.start") + 1, F.col("_w.end") - F.col("_w.start"))).alias("matched_quote"))
 
 
 def build_facts(anchored: DataFrame) -> DataFrame:

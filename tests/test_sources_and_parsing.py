@@ -303,3 +303,21 @@ def test_pipeline_and_incremental_run(spark, tmp_path):
 def test_every_query_is_registered_once():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 120
+
+
+def test_responses_are_read_and_anchored_once(spark, tmp_path):
+    rows = [(f'{{"facts": {f}}}',) for f in (
+        "[]", "null", '"[]"', "{}", "[null]", "[1]", '[{"natural_language": "n", "source_quote": "q", "subject": "s", "predicate": "p", "object": "o"}]',
+        '[{"natural_language": "n", "source_quote": "q", "triples": [], "subject": "s", "predicate": "p", "object": 1}]',
+        '[{"natural_language": "n", "source_quote": "q", "triples": {"a": 1}, "subject": "s", "predicate": "p", "object": "o"}]',
+        '[{"natural_language": "n", "source_quote": "q", "triples": [{"subject": "s", "predicate": "p", "object": "o"}, null]}]')]
+    spark.createDataFrame([*rows, ("{}",), ("no",), (None,)], "response string").coalesce(1).write.parquet(f"{tmp_path}/r")
+    read = spark.read.parquet(f"{tmp_path}/r")
+    assert [r.p for r in read.select(X.response_problem().alias("p")).collect()] == [
+        "", *["facts is not an array"] * 3, *["missing or blank required field"] * 2, "", "missing or blank required field", "",
+        "missing or blank required field", "no facts key", "not valid JSON", "not valid JSON"]
+    sections = read.withColumns({"section_text": F.lit("a q b"), "base_offset": F.lit(7)})
+    anchored = X.anchor_quotes(X.parse_responses(sections))
+    assert [(r.char_start, r.char_end, r.anchor_score) for r in anchored.collect()] == [(9, 10, 100.0)] * 2
+    plan = anchored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == plan.count("from_json(") == plan.count("parseJson") == 1
