@@ -9,6 +9,7 @@ from factloom.operators import encode as E
 from factloom.operators import graph as G
 from factloom.operators import pgraph as PG
 from factloom.operators import reified as RG
+from factloom.operators import similarity as M
 
 PAIRS = "guideline_version string, doc_id string, fact_a_id string, fact_b_id string, conflict_label string, cosine double, status string"
 
@@ -128,3 +129,25 @@ def test_weights_are_made_where_the_rows_lie(spark, monkeypatch, task_chars):
     args = ["doc_id"], "fact_id"
     near = _same(E.pair_cosines(pairs, rows, *args, "t", "x", "y"), E.cosine_of_pairs(pairs, E.spread_weights(rows, *args, "t"), *args, "x", "y"))
     assert near["d", "a", "a"] == pytest.approx(1) and 0 < near["d", "a", "b"] < 1 and near[None, "c", "c"] == near["h", "a", "b"] == 0 and len(near) == 9
+
+
+@pytest.mark.parametrize("task_cells,small", [(100, 0), (100, 10**9), (2, 0)])
+def test_matrices_are_made_where_documents_lie(make_facts, monkeypatch, task_cells, small):
+    monkeypatch.setattr(M, "TASK_CELLS", task_cells)
+    monkeypatch.setattr(M, "HELD_CELLS", 6)
+    monkeypatch.setattr(E, "SMALL_PRODUCT", small)
+    monkeypatch.setattr(E, "MEETING_COST", 3)
+    monkeypatch.setattr(E, "MEETINGS", 4)
+    said = ["the council adopts a budget", "member states close the frontier", "council budgets", "a deficit", "", "the frontier of the council"]
+    rows = [fact(a, f"{a}{i}{d}", "", "", "", nl=said[(i * k) % 6], doc=d, pos=i) for a, k in (("A", 1), ("B", 5)) for d in ("d1", "d2") for i in range(5)]
+    facts = make_facts([*rows, rows[0], fact("A", "x", "s", "p", "o", doc="d3"), fact("B", "y", "s", "p", "o", doc=None), fact("A", "z", "s", "p", "o", doc=None)])
+    parts = M.matrix_parts(facts, "A", "B", named=False)
+    if task_cells > 2:
+        assert "FlatMapGroupsInPandas" not in _plan(parts) and "regexp_extract_all" not in _plan(parts)
+    got = sorted((r.doc_id, r.fact_a_id, len(r.cosines)) for r in parts.collect())
+    assert sum(n for *_, n in got) == 6 * 5 + 25 and {d for d, *_ in got} == {"d1", "d2"}
+    cells = {(r.fact_a_id, r.fact_b_id): r.cosine for r in M.matrix_cells(facts, "A", "B").collect()}
+    whole = {}
+    for r in M.matrix_rows(facts.where("doc_id = 'd2'"), "A", "B").collect():
+        whole |= {(r.fact_a_id, f"B{i}d2"): c for i, c in enumerate(r.cosines)}
+    assert {k: v for k, v in cells.items() if k[0].endswith("d2")} == pytest.approx(whole) and len(cells) == 50
