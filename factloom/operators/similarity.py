@@ -87,7 +87,7 @@ def _whole_matrices(named: bool):
             step = max(1, HELD_CELLS // len(right))
             for at in range(0, len(left), step):
                 here = left[at:at + step]
-                cos = held.cosines(d, text[here], text[right]) * np.outer(known[here], known[right])
+                cos = held.vectors.cosines(d, text[here], text[right]) * np.outer(known[here], known[right])
                 found.append(_part(rows, here, ids.take(pa.array(here)), ids.take(pa.array(right)), np.floor(cos * 1000 + 0.5) / 1000, named))
         return pa.concat_tables(found) if found else pa.table({c: pa.array([], t) for c, t in _part_types().items()})
 

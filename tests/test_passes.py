@@ -1,5 +1,6 @@
 """Operators that read their rows once: what that is worth shows in the plan, and that it changes nothing in the rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,9 @@ from factloom.operators import graph as G
 from factloom.operators import pgraph as PG
 from factloom.operators import reified as RG
 from factloom.operators import similarity as M
+from factloom.plans import phase2
+from factloom.sources.tables import facts
+from factloom.workload import chain_queries
 
 PAIRS = "guideline_version string, doc_id string, fact_a_id string, fact_b_id string, conflict_label string, cosine double, status string"
 
@@ -151,3 +155,36 @@ def test_matrices_are_made_where_documents_lie(make_facts, monkeypatch, task_cel
     for r in M.matrix_rows(facts.where("doc_id = 'd2'"), "A", "B").collect():
         whole |= {(r.fact_a_id, f"B{i}d2"): c for i, c in enumerate(r.cosines)}
     assert {k: v for k, v in cells.items() if k[0].endswith("d2")} == pytest.approx(whole) and len(cells) == 50
+
+
+def test_large_products_meet_on_rare_windows(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice("council budget the member states frontier of deficit path".split(), rng.integers(0, 9))) for _ in range(60)]
+    document = np.repeat([0, 1, 2], 20)
+    v = E.DocumentVectors(texts, document)
+    for d in range(3):
+        own = np.flatnonzero(document == d)
+        left, right = v.text[own[:9]], v.text[own[6:]]
+        want = v.cosines(d, left, right)
+        monkeypatch.setattr(E, "SMALL_PRODUCT", 0)
+        monkeypatch.setattr(E.DocumentVectors, "_product", None)
+        for cost, meetings in ((0, 1), (3, 7), (150, 10**6), (10**9, 5)):
+            monkeypatch.setattr(E, "MEETING_COST", cost)
+            monkeypatch.setattr(E, "MEETINGS", meetings)
+            np.testing.assert_allclose(v.cosines(d, left, right), want, atol=1e-12)
+        monkeypatch.undo()
+
+
+def test_derived_facts_are_not_stored(spark, tmp_path, monkeypatch):
+    text = "The board pays 3 fees. Members may split it if all agree. The court never decides. " * 4
+    spark.createDataFrame([(1, text), (2, "One."), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    whole, dealt = phase2.checkpoint, phase2.checkpoint_dealt
+    monkeypatch.setattr(phase2, "checkpoint", lambda df: kept.append(df.columns) or whole(df))
+    monkeypatch.setattr(phase2, "checkpoint_dealt", lambda df: kept.append(df.columns) or dealt(df))
+    out = chain_queries._run(spark, str(tmp_path))
+    assert len(kept) == 2 and not any({"natural_language", "source_locator", "layer1_reason", "a_quote"} & set(c) for c in kept)
+    plain = phase2.run(facts(spark, str(tmp_path)))
+    assert set(plain) - set(out) == {"pairs"}
+    for name in ("label_counts", "graph_edges", "graph_nodes", "statements", "agreement"):
+        assert _rows(out[name].select(*plain[name].columns)) == _rows(plain[name])
