@@ -59,6 +59,16 @@ def test_edges_group_their_facts_once(resolved, pairs):
     assert (alone.groups, alone.qualifiers, alone.conditions, alone.temporals) == (None, None, None, None)
 
 
+def test_members_of_edges_stay_with_their_documents(resolved, pairs):
+    members = G.edge_members(resolved, pairs)
+    edges = {r.edge_id: r for r in G.edges(resolved, pairs).collect()}
+    found = members.collect()
+    assert len({(r.edge_id, r.fact_id) for r in found}) == len(found) == sum(e.n_facts for e in edges.values())
+    assert all(edges[r.edge_id].edge_name == r.edge_name for r in found)
+    line = next(x for x in _plan(members).splitlines() if "Aggregate" in x)
+    assert "doc_id" in line.split("],")[0] and "sha1" not in line.split("],")[0]
+
+
 def test_qualifiers_of_plain_names_cost_nothing(spark):
     names = [None, "", " ", "null", "the board", "Rule of 5 May 2020", "a b c d e f g h", "a b c OF d e f g h", "a b c of, d e f g h", "a b in d e f g h ٣", "(2019) x", "x\x1cof\x1cy a b c d e",
              "one two three four five concerning six seven."]
